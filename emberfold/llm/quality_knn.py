@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfold.llm.common import remainder
+from emberfold.llm.common import remainder, settle, small
 from emberfold.llm.textbits import gram_counts
 
 GRAMS, STEPS, DESCRIPTORS = 1024, 8, 6
@@ -97,19 +97,22 @@ class Voters:
         return np.clip((weight * self.labels[near]).sum(1) / weight.sum(1), 0, 1).astype(float)
 
 
-def fit(labelled: DataFrame, sample: int = 3000, dims: int = 48, k: int = 15, seed: int = 7) -> Voters | float:
-    """Fit on about ``sample`` rows of ``labelled`` (doc_id, text, quality), half of them of either label if there are.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, dims: int = 48, k: int = 15, seed: int = 7) -> Voters | float:
+    """Fit on about ``sample`` rows of ``docs`` that ``labels`` (doc_id, quality) marks, half of either label if there are.
 
-    The driver holds ``sample`` vectors of ``TERMS`` halves; the broadcast holds ``sample`` x ``dims`` floats. Returns
-    the only label, or 1.0, instead if there are fewer than two labels.
+    Ids are drawn from ``labels`` first, so that texts are never shuffled. The driver holds ``sample`` vectors of
+    ``TERMS`` halves; the broadcast holds ``sample`` x ``dims`` floats. Returns the only label, or 1.0, instead if there
+    are fewer than two labels.
     """
-    good = labelled.where(F.col("text").isNotNull() & F.col("quality").isin(0, 1))
+    good = labels.where(F.col("quality").isin(0, 1))
     count = {r["quality"]: r["n"] for r in good.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(count) < 2:
         return float(max(count, default=1))
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("quality") == 1, min(1.0, sample / 2 / count[1])).otherwise(min(1.0, sample / 2 / count[0]))
-    rows = good.where(draw < share).select("text", "quality").mapInPandas(_sample, "quality int, x binary").collect()
+    picked = settle(good.where(draw < share))
+    drawn = docs.select("doc_id", "text").where("text is not null").join(small(picked), "doc_id")
+    rows = drawn.select("text", "quality").mapInPandas(_sample, "quality int, x binary").collect()
     rows = sorted((bytes(r["x"]), r["quality"]) for r in rows)
     labels = np.array([q for _, q in rows], float)
     if len(set(labels)) < 2:
@@ -148,7 +151,7 @@ def score(docs: DataFrame, model: Voters | float, threshold: float = 0.3, keep:
 def _model(docs: DataFrame, labels: DataFrame) -> tuple[Voters | float, Column]:
     out = remainder("doc_id", 5) == 0
     learn = labels.where(~out & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return fit(docs.select("doc_id", "text").join(learn, "doc_id")), out
+    return fit(docs, learn), out
 
 
 def held_out_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
