@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfold.llm.common import remainder
+from emberfold.llm.common import remainder, settle, small
 from emberfold.llm.textbits import mix
 
 P, SKIP, DECAY = 4, 2, 0.5
@@ -175,21 +175,23 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a[0], 0.1)), float(a[1])
 
 
-def fit(labelled: DataFrame, sample: int = 3000, longest: int = 20_000, landmarks: int = 160, seed: int = 7) -> Machine | float:
-    """Fit on about ``sample`` toxic and as many clean texts of ``labelled`` (doc_id, text, toxic).
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 20_000, landmarks: int = 160, seed: int = 7) -> Machine | float:
+    """Fit on about ``sample`` toxic and as many clean texts of ``docs`` that ``labels`` (doc_id, toxic) marks.
 
-    ``sample`` texts a class of at most ``longest`` characters bound what the driver holds. Returns the share of toxic
-    rows instead, if one of the classes is missing.
+    Ids are drawn from ``labels`` first, so that texts are never shuffled. ``sample`` texts a class of at most
+    ``longest`` characters bound what the driver holds. Returns the share of toxic rows instead, if one of the classes
+    is missing.
     """
-    good = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1))
+    good = labels.where(F.col("toxic").isin(0, 1))
     count = {r["toxic"]: r["n"] for r in good.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(count) < 2:
         return float(max(count, default=0))
-    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("toxic") == 1, min(1.0, sample / count[1])).otherwise(min(1.0, sample / count[0]))
+    picked = settle(good.where(draw < share))
+    drawn = docs.select("doc_id", "text").where(F.length("text") <= longest).join(small(picked), "doc_id")
     # a text that repeats is one example
-    picked = good.where((F.length("text") <= longest) & (draw < share)).groupBy("text").agg(F.max("toxic").alias("toxic"))
-    rows = sorted((r["text"], r["toxic"]) for r in picked.collect())
+    rows = sorted((r["text"], r["toxic"]) for r in drawn.groupBy("text").agg(F.max("toxic").alias("toxic")).collect())
     bags, label = [sorted(tokens(t)) for t, _ in rows], np.array([x for _, x in rows])
     del rows
     if len(set(label)) < 2:
@@ -260,5 +262,5 @@ def held_out_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from labelled ids whose crc32 by 3 is not 1, score every row."""
     out = remainder("doc_id", 3) == 1
     learn = labels.where(~out & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = fit(docs.select("doc_id", "text").join(learn, "doc_id"))
+    model = fit(docs, learn)
     return score(docs, model, keep=("doc_id", out.alias("held_out")))
