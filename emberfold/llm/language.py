@@ -1,6 +1,6 @@
 """Language identification by the nearest of several centroids per language.
 
-A text is a TF-IDF vector of hashed character trigrams (of the UTF-8 bytes of the lower-cased text). Each language has
+A text is a TF-IDF vector of hashed character trigrams (of the UTF-8 bytes of the lower-cased words). Each language has
 up to ``per_lang`` centroids, found by spherical k-means on a bounded sample of labelled texts; a text takes the
 language of the centroid with the largest cosine. A text further from its centroid than the centroid's own members
 (mean similarity less three standard deviations) is rejected.
@@ -8,6 +8,7 @@ language of the centroid with the largest cosine. A text further from its centro
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,12 @@ from emberfold.llm.textbits import gram_counts
 
 BINS = 4096
 LETTER = r"\p{L}"
+APART = re.compile(r"[\W\d_]+")
 
 
 def _counts(texts: list[str]) -> np.ndarray:
-    # blanks around and between words, so that grams see where words begin
-    return gram_counts([f" {t.lower()} ".encode() for t in texts], 3, BINS)
+    # one blank around each word, so that grams see where words begin and no punctuation
+    return gram_counts([f" {APART.sub(' ', t.lower())} ".encode() for t in texts], 3, BINS)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -61,3 +61,54 @@ def gram_counts(texts: list[bytes], n: int, bins: int, lut: np.ndarray | None =
         part = np.bincount(flat, minlength=len(group) * bins).reshape(len(group), bins)
         np.add.at(out, [i for i, _, _ in group], part.astype(np.float32))
     return out
+
+
+def whole(texts: Iterable[bytes], most: int = PIECE) -> Iterator[list[int]]:
+    """Numbers of texts in groups of about ``most`` bytes; a long text is a group of its own."""
+    out: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if out and size + len(t) > most or len(out) >= TEXTS:
+            yield out
+            out, size = [], 0
+        out.append(i)
+        size += len(t)
+    if out:
+        yield out
+
+
+BASE = 0x5851F42D4C957F2D
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+class Powers:
+    """Powers of BASE and of its inverse modulo 2**64, as many as were asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            most = max(n, PIECE + (1 << 12))
+            steps = np.full(most, BASE, np.uint64), np.full(most, BASE_INVERSE, np.uint64)
+            steps[0][0] = steps[1][0] = 1
+            self.up, self.down = np.cumprod(steps[0]), np.cumprod(steps[1])
+        return self.up[:n], self.down[:n]
+
+
+POWERS = Powers()
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Running sums of values times powers; ``piece_hash`` reads the hash of any stretch from them."""
+    up, _ = POWERS.get(len(values) + 1)
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=out[1:])
+    return out
+
+
+def piece_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches [start, stop), equal for equal content wherever it stands."""
+    _, down = POWERS.get(len(sums))
+    return mix((sums[stop] - sums[start]) * down[start])

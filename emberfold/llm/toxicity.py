@@ -5,7 +5,7 @@ and each skipped letter multiplies its weight by ``DECAY``, so that inserted let
 digits inside words are removed, and letters that stand alone in a row are joined, before words are compared.
 
 The machine is trained on labelled sentences (the words of a document, a bag with one label) as multiple instances: a
-toxic bag is represented by its highest-scoring word, a clean one by all. With the landmarks' weights ``w`` the decision
+toxic bag is represented by its highest-scoring words, a clean one by all. With the landmarks' weights ``w`` the decision
 ``w . K(landmarks, word)`` is a weighted sum over the word's own subsequences, so the landmarks fold into one table of
 weights per subsequence, and scoring a word is one lookup for each of its subsequences.
 """
@@ -164,6 +164,15 @@ def _train(words: list[str], y: np.ndarray, weight: np.ndarray, landmarks: list[
     return Machine((basis.T @ (half @ coef)).astype(np.float32), bias, 2.0, 0.0)
 
 
+def _top(bags: list[list[str]], by: dict[str, float], good, most: int = 3) -> list[str]:
+    """Up to ``most`` words of each bag, the highest first: the first one always, others if they are ``good``."""
+    out = []
+    for bag in bags:
+        order = sorted(bag, key=lambda w: (-by[w], w))[:most]
+        out += order[:1] + [w for w in order[1:] if good(w, by[order[0]])]
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of P(y = 1 | x), lightly regularised."""
     a = np.zeros(2)
@@ -175,7 +184,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a[0], 0.1)), float(a[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 20_000, landmarks: int = 160, seed: int = 7) -> Machine | float:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 20_000, landmarks: int = 240, seed: int = 7) -> Machine | float:
     """Fit on about ``sample`` toxic and as many clean texts of ``docs`` that ``labels`` (doc_id, toxic) marks.
 
     Ids are drawn from ``labels`` first, so that texts are never shuffled. ``sample`` texts a class of at most
@@ -202,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 2
         for w in bag:
             seen.setdefault(w, [0, 0])[x] += 1
     ratio = (label == 0).sum() / (label == 1).sum()
-    contrast = {w: (t * ratio + 0.1) / (c + 1.0) * min(t, 3) for w, (c, t) in seen.items()}
+    contrast = {w: (t * ratio + 0.1) / (c + 1.0) for w, (c, t) in seen.items()}
     rng = np.random.default_rng(seed)
     clean = sorted(w for w, (c, _) in seen.items() if c)
     clean = [clean[i] for i in rng.choice(len(clean), min(3000, len(clean)), replace=False)] if clean else []
@@ -210,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 2
     clean_bags = [b for b, x in zip(bags, label, strict=True) if x == 0 and b]
     if not toxic_bags:
         return 0.0
-    witness = [max(b, key=lambda w: (contrast[w], w)) for b in toxic_bags]
+    witness = _top(toxic_bags, contrast, lambda w, best: contrast[w] > 3 and contrast[w] > best / 4)
     hard: set[str] = set()
     machine = None
     for _ in range(4):
@@ -227,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 2
         machine = _train(positive + negative, y, weight, marks)
         words = list(seen)
         value = dict(zip(words, machine.words(words), strict=True))
-        witness = [max(b, key=lambda w: (value[w], w)) for b in toxic_bags]
+        witness = _top(toxic_bags, value, lambda w, best: contrast[w] > 3 and value[w] > best / 2)
         # clean documents' best words are negatives, unless they are seen in many more toxic ones
         worst = {max(b, key=lambda w: (value[w], w)) for b in clean_bags}
         hard |= {w for w in worst if value[w] > -0.5 and contrast[w] < 5}
