@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberfold.llm import language, mixing, quality_knn, toxicity
+from emberfold.llm import language, mixing, near_dup, quality_knn, repeats, toxicity
 from emberfold.llm.common import table
 
 
@@ -26,11 +26,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_repeats": op7_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {}
