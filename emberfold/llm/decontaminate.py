@@ -53,9 +53,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     sizes = [r[0] for r in grams.select(F.least("length", F.lit(shingle)).alias("k")).distinct().collect()]
     asked = small(grams.select("gram").distinct())
 
+    def sized(k: int) -> Column:
+        return let(item_words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), shingle_hashes(w, k).alias("grams")))
+
     seen = None
     for k in sorted(sizes):
-        each = docs.select(_key(F.col("text")).alias("key"), let(item_words(F.col("text")), lambda w, k=k: F.struct(F.size(w).alias("n"), shingle_hashes(w, k).alias("grams"))).alias("s"))
+        each = docs.select(_key(F.col("text")).alias("key"), sized(k).alias("s"))
         each = each.select("key", F.col("s.n").alias("n"), F.posexplode("s.grams").alias("pos", "gram")).join(asked, "gram")
         seen = each if seen is None else seen.unionByName(each)
     if seen is None:
