@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,8 @@ LEAST, GRAM = 50, 16
 SPAN = LEAST - GRAM + 1  # grams in a window
 #: Bytes of text in a task whose runs are compared before they are dealt out.
 AHEAD = 8 << 20
-#: Runs of an anchor go to one of so many parts, which Spark deals to its partitions.
-PARTS = 1 << 10
+#: Runs of an anchor go to one of so many parts for each shuffle partition (and LEAST_PARTS at least), which Spark deals out.
+SHARE, LEAST_PARTS = 16, 1 << 10
 LAST = (1 << 63) - 1
 
 
@@ -129,7 +130,7 @@ def _leaders(key: list[np.ndarray], doc: np.ndarray, order: np.ndarray) -> tuple
     return new, doc[order][at][np.cumsum(new) - 1]
 
 
-def _deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _deal(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     """Runs of many documents, in parts by their anchor; those already seen in a smaller document only as removed."""
 
     def flush(docs: list[tuple[int, int, bytes]]) -> Iterator[pd.DataFrame]:
@@ -143,7 +144,7 @@ def _deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(len(doc), bool)
         seen[order] = doc[order] > leader
         keep = order[~seen[order]]
-        part = (anchor[keep] >> np.uint64(56)).astype(np.int64) * 4 + ((anchor[keep] >> np.uint64(54)) & np.uint64(3)).astype(np.int64)
+        part = (anchor[keep] >> np.uint64(64 - bits)).astype(np.int64)
         cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         rows = []
         for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
@@ -154,7 +155,7 @@ def _deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(gone):
             values = {"doc": gone["doc"].to_numpy().astype(np.uint64), "twin": gone["twin"].to_numpy(), "first": gone["first"].to_numpy()}
             # lengths of merged runs take the place of anchors, and the part is none
-            rows.append({"part": -1 - int(doc[0] % PARTS), "size": len(gone), "run": b"", "n": b"", "anchor": _planes(gone["n"].to_numpy().astype(np.uint64), 7)} | {k: _planes(v.astype(np.uint64), WIDTHS[k]) for k, v in values.items()})
+            rows.append({"part": -1 - int(doc[0] % (1 << bits)), "size": len(gone), "run": b"", "n": b"", "anchor": _planes(gone["n"].to_numpy().astype(np.uint64), 7)} | {k: _planes(v.astype(np.uint64), WIDTHS[k]) for k, v in values.items()})
         yield pd.DataFrame(rows)[["part", "size", *WIDTHS]]
 
     held: list[tuple[int, int, bytes]] = []
@@ -290,7 +291,8 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = fresh.mapInPandas(_deal, DEALT).repartition(parts, "part")
+    bits = min(30, (max(LEAST_PARTS, SHARE * parts) - 1).bit_length())
+    dealt = fresh.mapInPandas(partial(_deal, bits=bits), DEALT).repartition(parts, "part")
     found = settle(dealt.mapInPandas(_settle_runs, SPANS))
     look = found.where("anchor is not null").groupBy("doc", "twin").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("look"))
     contexts = fresh.join(look, ["doc", "twin"]).mapInPandas(_contexts, CONTEXTS)
