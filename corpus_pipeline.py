@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberfold.llm import mixing, quality_knn
-from emberfold.llm.common import table
+from emberfold.llm import decontaminate, mixing, near_dup, quality_knn, secret_scan
+from emberfold.llm.common import settle, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,20 +13,37 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_knn.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates (five words, similarity 0.8)."""
+    return near_dup.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each document."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality", good_quality), ("mix", mixed)]
+STAGES = [("quality", good_quality), ("near_dup", without_copies), ("decontaminate", decontaminated), ("secrets", without_secrets), ("mix", mixed)]
 
 #: Neighbour votes in a learned space have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``."""
+    """All stages in turn over ``documents``; between stages the lineage is cut."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = settle(docs)
     return docs
