@@ -1,11 +1,11 @@
 """Near-duplicates by MinHash: universal hash minima, bands, verification, and connected components.
 
 Documents with the same set of shingles form a class that its smallest doc_id stands for, and only these take part in
-what follows. A band bucket is never paired out. Its members are first compared with its smallest member alone (a star);
-after the stars' links are merged into components, a bucket is looked at again only if it still holds several of them,
-and then only pairs are made that lie in different components, whose set sizes allow the similarity, and whose
-distances to the bucket's smallest member differ by no more than the triangle inequality allows. Every link is confirmed
-on the whole sets.
+what follows. A band bucket is never paired out. Its members are first compared with its smallest member alone (a star),
+and the stars' links are merged into components. A bucket is looked at again only if it still holds several of them. Of
+the documents in such buckets, only pairs of different components are made that meet in the prefixes of their sets, the
+items ordered by how rare they are there, with bounds on sizes and positions: edits of a text are rarer than what its
+copies share, so that a large group of near copies makes few pairs. Every link is confirmed on the whole sets.
 
 With 48 bands of 6 minima a pair of similarity 0.8 shares no band with a probability of 5e-7, one of 0.85 of 2e-11.
 """
@@ -136,6 +136,29 @@ def _agree(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([(float(e.mean()) - 1 / 256) / (1 - 1 / 256) for e in x], index=a.index)
 
 
+def _prefix_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of different labels, one of them odd, that can be similar by the prefixes of their sets in order of rarity.
+
+    ``members`` has (doc_id, label, odd). Two sets of n <= m items that are similar share at least p (n + m) / (100 + p)
+    of them, so that they meet within the first n - 2 p n / (100 + p) + 1 items of the one and the first
+    m - p m / 100 + 1 of the other, and as many are left from where they first meet.
+    """
+    full = sets.withColumn("sid", F.xxhash64("items")).select("doc_id", "sid", F.size("items").alias("n"), F.explode("items").alias("item"))
+    full = settle(full)
+    often = settle(full.groupBy("item").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    ranked = full.join(small(often), "item", "left").groupBy("doc_id", "sid", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "item"))).alias("items"))
+    wide = F.expr(f"n - (({percent}L * n + 99) div 100) + 1").cast("int")
+    narrow = F.expr(f"n - ((2L * {percent} * n + {99 + percent}) div {100 + percent}) + 1").cast("int")
+    rows = ranked.select("doc_id", "n", narrow.alias("narrow"), F.posexplode(F.slice("items", F.lit(1), wide)).alias("at", "x")).select("doc_id", "n", "narrow", "at", F.col("x.item").alias("item"))
+    rows = settle(rows.join(small(members), "doc_id"))
+    left = rows.where("odd").drop("odd")
+    right = rows.select("item", *[F.col(c).alias(f"{c}_v") for c in ("doc_id", "n", "narrow", "at", "label")])
+    fits = f"100L * least(n, n_v) >= {percent}L * greatest(n, n_v) and {100 + percent}L * least(n - at, n_v - at_v) >= {percent}L * (n + n_v)"
+    near = "(n <= n_v and at < narrow) or (n_v <= n and at_v < narrow_v)"
+    pairs = left.join(right, "item").where(f"label <> label_v and ({fits}) and ({near})")
+    return pairs.select(F.least("doc_id", "doc_id_v").alias("u"), F.greatest("doc_id", "doc_id_v").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``.
 
@@ -164,21 +187,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     links = settle(known.where(linked).select("u", "v").union(bridges))
     found = settle(components(links).dropDuplicates(["node"]))
 
-    # buckets that still hold several components
-    label = F.coalesce("component", "doc_id")
-    near = known.select(F.col("u").alias("doc_id"), F.col("v").alias("centre"), (1 - F.col("both") / F.col("either")).alias("far")).groupBy("doc_id", "centre").agg(F.min("far").alias("near"), F.max("far").alias("far"))
-    told = crowd.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", label)
-    mixed = told.where("doc_id <> centre").groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
-    told = settle(told.where("doc_id <> centre").join(mixed, "band").join(near, ["doc_id", "centre"]).select("band", "doc_id", "size", "label", "near", "far"))
-    slack = 1 - percent / 100 + 1e-9
-    # distances to the centre that may be linked lie in the same or the next step
-    step = F.floor(F.col("near") / slack)
-    left = told.withColumn("step", step)
-    right = told.select("band", *[F.col(c).alias(f"{c}_v") for c in ("doc_id", "size", "label", "near", "far")], step.alias("step"))
-    right = right.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    pair = left.join(right, ["band", "step"]).where(f"doc_id < doc_id_v and label <> label_v and 100L * least(size, size_v) >= {percent}L * greatest(size, size_v) and near - far_v <= {slack} and near_v - far <= {slack}")
-    rest = settle(pair.select(F.col("doc_id").alias("u"), F.col("doc_id_v").alias("v")).distinct().join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
-    if rest.head(1):
+    # buckets that still hold several components: those of their members that lie outside the most common one
+    told = crowd.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    votes = told.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    mixed = told.join(votes.where("labels > 1").select("band", F.col("main.label").alias("main")), "band")
+    mixed = settle(mixed.groupBy("doc_id", "label").agg(F.max(F.col("label") != F.col("main")).alias("odd")))
+    if mixed.head(1):
+        rest = settle(_prefix_pairs(_sets(docs, mixed.select("doc_id"), n), mixed, percent))
         sign = reps.select("doc_id", "signature").dropDuplicates(["doc_id"])
         both = rest.join(sign.select(F.col("doc_id").alias("u"), F.col("signature").alias("a")), "u").join(sign.select(F.col("doc_id").alias("v"), F.col("signature").alias("b")), "v")
         # six standard deviations of the estimate below the threshold
@@ -193,3 +208,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     out = rows.select("doc_id", "n_shingles").join(belongs, "doc_id", "left").withColumn("node", node)
     out = out.join(found, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with their own columns, of the smallest doc_id of each group of near-duplicates."""
+    gone = settle(near_duplicates(docs, n, percent).where("not kept").select("doc_id").distinct())
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
