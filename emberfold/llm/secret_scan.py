@@ -101,9 +101,9 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span replaced by HIDDEN (spans that touch or overlap as one), and n_chars brought up to date."""
-    spans = settle(scan(docs, scope).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"]))
+    spans = settle(scan(docs, scope).where(F.size("spans") > 0).select(F.col("key").alias("_text_digest"), F.col("spans").alias("_found_spans")).dropDuplicates(["_text_digest"]))
     text = F.col("text")
-    rows = docs.withColumn("_key", F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))).join(small(spans), "_key", "left")
+    rows = docs.withColumn("_text_digest", F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))).join(small(spans), "_text_digest", "left")
 
     def merge(a: Column, s: Column) -> Column:
         last = F.get(a, F.size(a) - 1)
@@ -115,11 +115,11 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         kept = F.transform(m, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit(HIDDEN)))
         return F.concat(F.array_join(kept, ""), F.substring(text, before(F.size(m)) + 1, F.length(text)))
 
-    merged = F.aggregate("_spans", F.array().cast("array<struct<start:int,stop:int>>"), merge)
-    new = {"text": F.when(F.col("_spans").isNotNull(), let(merged, hide)).otherwise(text)}
+    merged = F.aggregate("_found_spans", F.array().cast("array<struct<start:int,stop:int>>"), merge)
+    new = {"text": F.when(F.col("_found_spans").isNotNull(), let(merged, hide)).otherwise(text)}
     out = rows.withColumns(new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_found_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
