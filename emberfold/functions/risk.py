@@ -51,7 +51,7 @@ def age_score(hours: Column) -> Column:
 
 def age_hours(detected: Column, reference: Column) -> Column:
     """Hours between two times in milliseconds, 0 at least; 24 if the time is unknown."""
-    return F.coalesce(F.greatest(F.lit(0.0), (reference - detected) / 3_600_000.0), F.lit(24.0))
+    return F.when(detected.isNull(), 24.0).otherwise(F.greatest(F.lit(0.0), (reference - detected) / 3_600_000.0))
 
 
 def age_opacity(hours: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows up to which a slim table (ids, short strings) is broadcast; beyond it the join shuffles.
@@ -34,9 +34,13 @@ def settle(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weigh: Column | None = None) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows; otherwise as it is, for a shuffled join.
 
-    Call it on settled or otherwise cheap tables: it counts up to ``rows + 1`` rows.
+    ``weigh`` is what a row counts for, where rows hold arrays: with it the sum is bounded. Call it on settled or
+    otherwise cheap tables: without ``weigh`` it counts up to ``rows + 1`` rows, with it all of them.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    if weigh is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    total = df.agg(F.sum(weigh)).first()[0]
+    return F.broadcast(df) if (total or 0) <= rows else df
