@@ -76,7 +76,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     near = settle(near)
 
     # only texts with candidates are read as words again
-    rows = docs.select("doc_id", "text", _key(F.col("text")).alias("key")).join(small(near), "key", "left")
+    rows = docs.select("doc_id", "text", _key(F.col("text")).alias("key")).join(small(near, weigh=F.size("near")), "key", "left")
     sure = lambda w: F.filter(F.sort_array("near"), lambda c: F.array_join(F.slice(w, c["start"] + 1, c["stop"] - c["start"]), " ") == c["window"])
     told = let(item_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), let(sure(w), lambda s: F.struct(covered(s).alias("n_hit"), F.array_distinct(F.transform(s, lambda x: x["window"])).alias("windows"))).alias("s")))
     n = F.size(item_words(F.col("text"))).cast("long")
@@ -84,7 +84,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     rows = settle(rows.select("doc_id", "key", F.coalesce("t.n_words", "n_words").alias("n_words"), F.coalesce("t.s.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.col("t.s.windows").alias("windows")))
     items = rows.where("n_hit > 0").select("key", F.explode("windows").alias("window")).distinct().join(small(owned), "window")
     items = items.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    out = rows.drop("windows").join(small(settle(items)), "key", "left")
+    out = rows.drop("windows").join(small(settle(items), weigh=F.size("items")), "key", "left")
     return out.withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": F.col("n_hit") > 0})
 
 

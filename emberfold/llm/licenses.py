@@ -140,7 +140,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     asked = rows.where("size(parts) > 0").select("parts").distinct().select("parts", F.explode("parts").alias("digest"))
     found = asked.join(small(known), "digest").groupBy("parts").agg(F.sort_array(F.collect_set("license")).alias("found"))
     whole = known.withColumnRenamed("license", "whole")
-    out = rows.join(small(whole), "digest", "left").join(small(settle(found)), "parts", "left")
+    out = rows.join(small(whole), "digest", "left").join(small(settle(found), weigh=F.size("parts") + F.size("found")), "parts", "left")
     none = F.array().cast("array<string>")
     mine = F.when(F.col("whole").isNull(), none).otherwise(F.array("whole"))
     licenses = F.sort_array(F.array_union(mine, F.coalesce("found", none)))
