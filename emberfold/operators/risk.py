@@ -9,11 +9,12 @@ from emberfold.functions import risk as R
 from emberfold.functions.geo import angle_diff, bearing_deg
 from emberfold.functions.numbers import confidence_weight, round_up
 from emberfold.operators import spatial
+from emberfold.runtime import settle
 
 
 def analyze_detections(dets: DataFrame, segs: DataFrame, subs: DataFrame, km: float = 25.0, near_km: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nearest assets of each det with distance and band; the lines within ``near_km``; the substations within ``near_km``."""
-    lines, places = spatial.line_hits(dets, segs, km), spatial.point_hits(dets, subs, km)
+    lines, places = settle(spatial.by_asset(spatial.line_hits(dets, segs, km))), spatial.point_hits(dets, subs, km)
     near = dets.select("det").join(spatial.nearest_line(lines), "det", "left").join(spatial.nearest_place(places), "det", "left")
     near = near.withColumn("min_km", F.least("line_km", "sub_km"))
     near = near.withColumn("band", R.impact_band(F.col("min_km")))

@@ -64,6 +64,13 @@ def point_hits(points: DataFrame, places: DataFrame, km: float, size: float = CE
     return hits.select("det", "sub", d.alias("km"), "sub_lat", "sub_lon").where(F.col("km") <= km)
 
 
+def by_asset(hits: DataFrame) -> DataFrame:
+    """The nearest segment of each line to each det, in the columns of ``hits``: what both nearest and near lines are made of."""
+    rest = ("grid_class", "near_lat", "near_lon", "mid_lat", "mid_lon")
+    best = hits.groupBy("det", "asset_key").agg(F.min(F.struct("km", "sid", *rest)).alias("b"))
+    return best.select("det", "asset_key", "b.km", "b.sid", *[f"b.{c}" for c in rest])
+
+
 def nearest_line(hits: DataFrame) -> DataFrame:
     """The nearest segment of each det; of equally near ones the first."""
     best = hits.groupBy("det").agg(F.min(F.struct("km", "sid", "asset_key", "grid_class", "near_lat", "near_lon", "mid_lat", "mid_lon")).alias("l"))

@@ -11,6 +11,7 @@ from emberfold.plans import tables as T
 from emberfold.plans.scalar import _steps
 from emberfold.plans.space import NEAR, REACH
 from emberfold.functions import risk as R
+from emberfold.runtime import settle
 from emberfold.sources import sinks
 
 BOOK = T.Book()
@@ -23,8 +24,9 @@ def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Members and events of the last 24 hours whose strongest detection is at the threshold or above."""
     found = clusters.cluster(T.recent(spark, sf_dir)).withColumnRenamed("cluster", "event")
     events = clusters.summarize(found.withColumnRenamed("event", "cluster")).withColumnRenamed("cluster", "event").where(F.col("max_frp") >= THRESHOLD)
+    events = settle(events)
     members = found.join(events.select("event"), "event", "left_semi").withColumn("key", F.col("det").cast("string"))
-    return members, events
+    return settle(members), events
 
 
 def impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
