@@ -98,13 +98,13 @@ HITS = f"{T.R}, {T.S}, {T.B}, lh AS (SELECT det, sid, asset_key, grid_class, {SE
 NEAR = f"{HITS}, nl AS (SELECT * FROM lh WHERE km <= 25 QUALIFY row_number() OVER (PARTITION BY det ORDER BY km, sid) = 1), ns AS (SELECT * FROM sh WHERE km <= 25 QUALIFY row_number() OVER (PARTITION BY det ORDER BY km, sub) = 1)"
 
 
-@BOOK.add("J1_nearest_assets", f"WITH {NEAR} SELECT det, nl.sid, nl.asset_key, round(nl.km, 6) AS line_km, round(nl.near_lat, 6) AS near_lat, round(nl.near_lon, 6) AS near_lon, ns.sub, round(ns.km, 6) AS sub_km FROM recent LEFT JOIN nl USING (det) LEFT JOIN ns USING (det)")
+@BOOK.add("J1_nearest_assets", f"WITH {NEAR} SELECT det, CAST(nl.sid AS VARCHAR) AS sid, nl.asset_key, round(nl.km, 6) AS line_km, round(nl.near_lat, 6) AS near_lat, round(nl.near_lon, 6) AS near_lon, CAST(ns.sub AS VARCHAR) AS sub, round(ns.km, 6) AS sub_km FROM recent LEFT JOIN nl USING (det) LEFT JOIN ns USING (det)")
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = T.recent(spark, sf_dir)
     line = spatial.nearest_line(spatial.line_hits(points, T.segments(spark, sf_dir), 25.0))
     sub = spatial.nearest_place(spatial.point_hits(points, T.substations(spark, sf_dir), 25.0))
     out = points.select("det").join(line, "det", "left").join(sub, "det", "left")
-    return out.select("det", F.col("line_sid").alias("sid"), F.col("line_asset_key").alias("asset_key"), r6(F.col("line_km"), "line_km"), r6(F.col("line_near_lat"), "near_lat"), r6(F.col("line_near_lon"), "near_lon"), "sub", r6(F.col("sub_km"), "sub_km"))
+    return out.select("det", F.col("line_sid").cast("string").alias("sid"), F.col("line_asset_key").alias("asset_key"), r6(F.col("line_km"), "line_km"), r6(F.col("line_near_lat"), "near_lat"), r6(F.col("line_near_lon"), "near_lon"), F.col("sub").cast("string").alias("sub"), r6(F.col("sub_km"), "sub_km"))
 
 
 @BOOK.add("J2_assets_within", f"WITH {HITS} SELECT det, asset_key, round(min(km), 6) AS km FROM lh WHERE km <= 10 GROUP BY ALL")
