@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberfold.llm.common import settle, small
+from emberfold.llm.common import LOWER, SPACE, UPPER, settle, small
 from emberfold.llm.textbits import BYTES, mix, piece_hash, prefix_sums, whole
 from emberfold.operators.graph import components
 
@@ -214,3 +214,18 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with their own columns, of the smallest doc_id of each group of near-duplicates."""
     gone = settle(near_duplicates(docs, n, percent).where("not kept").select("doc_id").distinct())
     return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def oracle(n: int = 2, percent: int = 80) -> str:
+    """DuckDB SQL of the query's columns: all shared shingles are counted, and links are followed to their end."""
+    low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({low}, '{SPACE}'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: {run}) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+    c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT u, v FROM p JOIN c x ON x.doc_id = u JOIN c y ON y.doc_id = v WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+    b AS (SELECT u AS a, v AS b FROM e UNION ALL SELECT v, u FROM e),
+    reach(a, b) AS (SELECT doc_id, doc_id FROM c UNION SELECT r.a, b.b FROM reach r JOIN b ON r.b = b.a),
+    m AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""

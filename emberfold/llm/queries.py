@@ -72,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_secrets": secret_scan.oracle(),
+    "op6_near_duplicates": near_dup.oracle(),
+    "op7_repeats": repeats.oracle(),
     "op8_licenses": licenses.oracle(),
     "op9_quality_rules": quality_rules.oracle(),
     "op10_decontamination": decontaminate.oracle(),

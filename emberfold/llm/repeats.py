@@ -327,3 +327,17 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rest = rest.withColumn("c", cut("text", "gone")).select("doc_id", "c.*")
     out = rest.unionByName(whole)
     return out if with_text else out.drop("kept_text")
+
+
+def oracle() -> str:
+    """DuckDB SQL of the query's columns: every window of LEAST bytes, by a 64-bit hash, with its smallest document."""
+    return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    c AS (SELECT doc_id, j, substr(h, 2 * j + 1, 2 * (256 + {LEAST - 1})) AS c FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 256)) AS j FROM d)),
+    w AS (SELECT doc_id, j + k AS i, hash(substr(c, 2 * k - 1, {2 * LEAST})) AS s FROM (SELECT doc_id, j, c, unnest(range(1, least(256, len(c) // 2 - {LEAST - 1}) + 1)) AS k FROM c)),
+    f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+    bad AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -{LEAST}) + {LEAST} AS new FROM w JOIN f USING (s) WHERE doc_id > least),
+    g AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM bad),
+    r AS (SELECT doc_id, k, min(i) AS a, max(i) + {LEAST} AS b FROM g GROUP BY ALL),
+    t AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 1) AS z FROM r),
+    x AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS stop, string_agg(substr(h, 2 * z - 1, 2 * (a - z)), '' ORDER BY k) AS kept FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * stop - 1), h))) AS kept_sha256 FROM d LEFT JOIN x USING (doc_id)"""
