@@ -3,7 +3,8 @@
 Each rule votes good (1) or bad (-1) or abstains (0). There are few patterns of votes (three to the number of rules at
 most), so that the votes of all documents are counted by pattern, and expectation-maximisation over the patterns
 estimates how often each rule is right on good and on bad documents. A document is kept if its posterior probability of
-being good is at least one half and it passes the two rules that always hold (enough words, not mostly repeats).
+being good is at least one half and it passes the two rules that always hold (enough words, not mostly repeats); the
+model is learnt from all documents that pass these.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ SYMBOLS = "#*$%&|<>"
 #: ASCII characters of words that are neither letters nor the symbols above.
 OTHER = "0123456789!\"'()+,-./:;=?@[\\]^_`{}~"
 ROUNDS = 15
+#: Weight of a bad vote before anything is learnt; a good one weighs 1. Most documents are good, and most rules vote good
+#: on most bad documents, so that equal weights would never find these.
+BAD = 10
 #: Pseudo-counts of a rule's right and wrong votes.
 RIGHT, WRONG = 8.0, 2.0
 
@@ -31,12 +35,16 @@ RULES: dict[str, tuple[str, str]] = {
     "word_length": ("n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 12 * n_words)", "word_chars BETWEEN 3 * n_words AND 9 * n_words AND n_words > 0"),
     "symbols": ("4 * n_symbols > n_words", "50 * n_symbols <= n_words"),
     "letters": ("10 * n_letters < 6 * word_chars", "10 * n_letters >= 8 * word_chars"),
-    "lines": ("10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 AND n_lines > 1"),
+    "lines": ("2 * n_dup_lines > n_lines", "n_dup_lines = 0 AND n_lines > 1"),
     "repeats": ("100 * n_repeat_words > 30 * n_words", "20 * n_repeat_words <= n_words AND n_words >= 20"),
     "endings": ("n_lines > 1 AND 10 * n_closed < n_lines", "2 * n_closed >= n_lines"),
 }
 
 
+#: The rules that always hold.
+FAILED = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
+
+
 def repeated_words(words: Column) -> Column:
     """How many words lie in runs of WINDOW words that are found twice or more."""
 
@@ -88,8 +96,8 @@ def _log_odds(rules: list[str], prior: float, right: dict[str, tuple[float, floa
 
 
 def learn(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> str:
-    """SQL of a document's log odds of being good, from the counts ``n`` of vote patterns; starts from the sum of votes."""
-    odds = f"({' + '.join(rules)}) * 1D"
+    """SQL of a document's log odds of being good, from the counts ``n`` of vote patterns; starts from weighted votes."""
+    odds = " + ".join(f"CASE {r} WHEN 1 THEN 1D WHEN -1 THEN -{BAD}D ELSE 0D END" for r in rules)
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-F.expr(odds)))
         n = F.col("n").cast("double")
@@ -117,12 +125,13 @@ def judge(docs: DataFrame, rules: dict[str, tuple[str, str]] | None = None, keep
     rules = rules or RULES
     names = list(rules)
     vote = lambda bad, good: F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END")
-    votes = settle(measure(docs, keep).withColumns({f"vote_{r}": vote(*rules[r]) for r in names}))
+    failed = F.expr(FAILED)
+    votes = settle(measure(docs, keep).withColumn("base_failed", failed).withColumns({f"vote_{r}": vote(*rules[r]) for r in names}))
     ballots = [f"vote_{r}" for r in names]
-    patterns = settle(votes.groupBy(*ballots).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
+    # documents that fail the fixed rules would be all that the model finds to be bad
+    patterns = settle(votes.where("not base_failed").groupBy(*ballots).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
     odds = learn(patterns, ballots)
-    failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
-    out = votes.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-F.expr(odds))))
+    out = votes.withColumn("posterior", 1 / (1 + F.exp(-F.expr(odds))))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
 
@@ -145,8 +154,8 @@ def oracle() -> str:
           CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(length({drop(BLANKS + SYMBOLS + OTHER)}) AS BIGINT) AS n_letters,
           CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(list_filter(ls, lambda x: regexp_matches(x, '[.!?:"]{ws}*$'))) AS BIGINT) AS n_closed FROM w LEFT JOIN cov USING (rid)),
         v AS MATERIALIZED (SELECT *, {votes} FROM f),
-        pat AS MATERIALIZED (SELECT {', '.join(names)}, count(*) AS n FROM v GROUP BY ALL),
-        o0 AS MATERIALIZED (SELECT *, CAST({' + '.join(names)} AS DOUBLE) AS o FROM pat)"""
+        pat AS MATERIALIZED (SELECT {', '.join(names)}, count(*) AS n FROM v WHERE NOT {FAILED} GROUP BY ALL),
+        o0 AS MATERIALIZED (SELECT *, CAST({' + '.join(f'CASE {n} WHEN 1 THEN 1 WHEN -1 THEN -{BAD} ELSE 0 END' for n in names)} AS DOUBLE) AS o FROM pat)"""
     ]
     share = lambda a, b: f"least(0.99, greatest(0.01, ({a} + {RIGHT}) / ({b} + {RIGHT + WRONG})))"
     for k in range(1, ROUNDS + 1):
@@ -156,8 +165,7 @@ def oracle() -> str:
         parts.append(f"m{k} AS MATERIALIZED (SELECT least(0.99, greatest(0.01, sum({good}) / sum(n))) AS prior{sums} FROM o{k - 1})")
         parts.append(f"o{k} AS MATERIALIZED (SELECT pat.*, ln(prior / (1 - prior)){odds} AS o FROM pat, m{k})")
     on = " AND ".join(f"v.{n} = o.{n}" for n in names)
-    failed = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
-    return ", ".join(parts) + f" SELECT doc_id, {', '.join(COUNTS)}, {failed} AS base_failed, NOT {failed} AND o.o >= 0 AS kept FROM v JOIN o{ROUNDS} o ON {on}"
+    return ", ".join(parts) + f" SELECT doc_id, {', '.join(COUNTS)}, {FAILED} AS base_failed, NOT {FAILED} AND coalesce(o.o, 0) >= 0 AS kept FROM v LEFT JOIN o{ROUNDS} o ON {on}"
 
 
 def _quoted(c: str) -> str:
