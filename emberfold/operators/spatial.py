@@ -48,9 +48,14 @@ def segment_cells(segs: DataFrame, size: float = CELL) -> DataFrame:
     return cells(segs, lo("lon"), lo("lat"), hi("lon"), hi("lat"), size)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key``: few input files must not mean few tasks for all pairs, and what follows groups by the key."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def line_hits(points: DataFrame, segs: DataFrame, km: float, size: float = CELL) -> DataFrame:
     """(det, lat, lon, sid, asset_key, grid_class, km, near_lat, near_lon, mid_lat, mid_lon) of segments within ``km``, with repeats."""
-    hits = around(points.select("det", "lat", "lon"), km, size).join(segment_cells(segs, size), ["cx", "cy"])
+    hits = around(spread(points.select("det", "lat", "lon"), "det"), km, size).join(segment_cells(segs, size), ["cx", "cy"])
     d, la, lo = segment_nearest(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     mid = [((F.col(f"a_{x}") + F.col(f"b_{x}")) / 2).alias(f"mid_{x}") for x in ("lat", "lon")]
     return hits.select("det", "lat", "lon", "sid", "asset_key", "grid_class", d.alias("km"), la.alias("near_lat"), lo.alias("near_lon"), *mid).where(F.col("km") <= km)
@@ -59,7 +64,7 @@ def line_hits(points: DataFrame, segs: DataFrame, km: float, size: float = CELL)
 def point_hits(points: DataFrame, places: DataFrame, km: float, size: float = CELL) -> DataFrame:
     """(det, sub, km, sub_lat, sub_lon) of ``places`` (sub, lat, lon) within ``km``."""
     there = place_cells(places, size).select("cx", "cy", "sub", F.col("lat").alias("sub_lat"), F.col("lon").alias("sub_lon"))
-    hits = around(points.select("det", "lat", "lon"), km, size).join(there, ["cx", "cy"])
+    hits = around(spread(points.select("det", "lat", "lon"), "det"), km, size).join(there, ["cx", "cy"])
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("sub_lat"), F.col("sub_lon"))
     return hits.select("det", "sub", d.alias("km"), "sub_lat", "sub_lon").where(F.col("km") <= km)
 
@@ -100,7 +105,7 @@ def lines_in_sector(events: DataFrame, segs: DataFrame, half: float, most_km: fl
     A segment is seen by its ends and its middle, of which the one nearest in angle counts; a line is as far as its
     nearest such segment.
     """
-    asked = around(events.where("direction is not null"), most_km, size)
+    asked = around(spread(events.where("direction is not null"), "event"), most_km, size)
     hits = asked.join(segment_cells(segs, size), ["cx", "cy"])
     see = lambda la, lo: _in_sector(F.col("lat"), F.col("lon"), la, lo, F.col("direction"), F.col("reach"), half)
     a, b = see(F.col("a_lat"), F.col("a_lon")), see(F.col("b_lat"), F.col("b_lon"))
@@ -112,7 +117,7 @@ def lines_in_sector(events: DataFrame, segs: DataFrame, half: float, most_km: fl
 
 def places_in_sector(events: DataFrame, places: DataFrame, half: float, most_km: float, size: float = CELL) -> DataFrame:
     there = place_cells(places, size).select("cx", "cy", "sub", F.col("lat").alias("sub_lat"), F.col("lon").alias("sub_lon"))
-    hits = around(events.where("direction is not null"), most_km, size).join(there, ["cx", "cy"])
+    hits = around(spread(events.where("direction is not null"), "event"), most_km, size).join(there, ["cx", "cy"])
     hit = _in_sector(F.col("lat"), F.col("lon"), F.col("sub_lat"), F.col("sub_lon"), F.col("direction"), F.col("reach"), half)
     hits = hits.withColumn("hit", hit).where("hit is not null")
     best = hits.groupBy("event", "sub").agg(F.min(F.struct("hit.km", "hit.bearing")).alias("b"))
