@@ -48,21 +48,28 @@ def segment_cells(segs: DataFrame, size: float = CELL) -> DataFrame:
     return cells(segs, lo("lon"), lo("lat"), hi("lon"), hi("lat"), size)
 
 
+def cell_for(km: float) -> float:
+    """Degrees of a cell for a radius: a third of it, so that the cells around a point hold little beyond the circle."""
+    return max(0.02, km / 111.0 / 3)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt out by ``key``: few input files must not mean few tasks for all pairs, and what follows groups by the key."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def line_hits(points: DataFrame, segs: DataFrame, km: float, size: float = CELL) -> DataFrame:
+def line_hits(points: DataFrame, segs: DataFrame, km: float, size: float | None = None) -> DataFrame:
     """(det, lat, lon, sid, asset_key, grid_class, km, near_lat, near_lon, mid_lat, mid_lon) of segments within ``km``, with repeats."""
+    size = size or cell_for(km)
     hits = around(spread(points.select("det", "lat", "lon"), "det"), km, size).join(segment_cells(segs, size), ["cx", "cy"])
     d, la, lo = segment_nearest(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     mid = [((F.col(f"a_{x}") + F.col(f"b_{x}")) / 2).alias(f"mid_{x}") for x in ("lat", "lon")]
     return hits.select("det", "lat", "lon", "sid", "asset_key", "grid_class", d.alias("km"), la.alias("near_lat"), lo.alias("near_lon"), *mid).where(F.col("km") <= km)
 
 
-def point_hits(points: DataFrame, places: DataFrame, km: float, size: float = CELL) -> DataFrame:
+def point_hits(points: DataFrame, places: DataFrame, km: float, size: float | None = None) -> DataFrame:
     """(det, sub, km, sub_lat, sub_lon) of ``places`` (sub, lat, lon) within ``km``."""
+    size = size or cell_for(km)
     there = place_cells(places, size).select("cx", "cy", "sub", F.col("lat").alias("sub_lat"), F.col("lon").alias("sub_lon"))
     hits = around(spread(points.select("det", "lat", "lon"), "det"), km, size).join(there, ["cx", "cy"])
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("sub_lat"), F.col("sub_lon"))
@@ -99,12 +106,13 @@ def _in_sector(lat: Column, lon: Column, to_lat: Column, to_lon: Column, directi
     return F.when((d <= reach) & (d >= 0.05) & (off <= half), F.struct(off.alias("off"), d.alias("km"), b.alias("bearing")))
 
 
-def lines_in_sector(events: DataFrame, segs: DataFrame, half: float, most_km: float, size: float = CELL) -> DataFrame:
+def lines_in_sector(events: DataFrame, segs: DataFrame, half: float, most_km: float, size: float | None = None) -> DataFrame:
     """(event, asset_key, km, bearing) of lines in the sector of each event (event, lat, lon, direction, reach).
 
     A segment is seen by its ends and its middle, of which the one nearest in angle counts; a line is as far as its
     nearest such segment.
     """
+    size = size or cell_for(most_km)
     asked = around(spread(events.where("direction is not null"), "event"), most_km, size)
     hits = asked.join(segment_cells(segs, size), ["cx", "cy"])
     see = lambda la, lo: _in_sector(F.col("lat"), F.col("lon"), la, lo, F.col("direction"), F.col("reach"), half)
@@ -115,7 +123,8 @@ def lines_in_sector(events: DataFrame, segs: DataFrame, half: float, most_km: fl
     return best.select("event", "asset_key", "b.km", "b.bearing")
 
 
-def places_in_sector(events: DataFrame, places: DataFrame, half: float, most_km: float, size: float = CELL) -> DataFrame:
+def places_in_sector(events: DataFrame, places: DataFrame, half: float, most_km: float, size: float | None = None) -> DataFrame:
+    size = size or cell_for(most_km)
     there = place_cells(places, size).select("cx", "cy", "sub", F.col("lat").alias("sub_lat"), F.col("lon").alias("sub_lon"))
     hits = around(spread(events.where("direction is not null"), "event"), most_km, size).join(there, ["cx", "cy"])
     hit = _in_sector(F.col("lat"), F.col("lon"), F.col("sub_lat"), F.col("sub_lon"), F.col("direction"), F.col("reach"), half)
