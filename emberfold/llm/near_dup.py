@@ -141,9 +141,10 @@ def _prefix_pairs(sets: DataFrame, members: DataFrame, percent: int) -> DataFram
 
     ``members`` has (doc_id, label, odd). Two sets of n <= m items that are similar share at least p (n + m) / (100 + p)
     of them, so that they meet within the first n - 2 p n / (100 + p) + 1 items of the one and the first
-    m - p m / 100 + 1 of the other, and as many are left from where they first meet.
+    m - p m / 100 + 1 of the other, and as many are left from where they first meet. Rows of a document that have one set
+    count once, so that positions are those of distinct items.
     """
-    full = sets.withColumn("sid", F.xxhash64("items")).select("doc_id", "sid", F.size("items").alias("n"), F.explode("items").alias("item"))
+    full = sets.withColumn("sid", F.xxhash64("items")).dropDuplicates(["doc_id", "sid"]).select("doc_id", "sid", F.size("items").alias("n"), F.explode("items").alias("item"))
     full = settle(full)
     often = settle(full.groupBy("item").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
     ranked = full.join(small(often), "item", "left").groupBy("doc_id", "sid", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "item"))).alias("items"))
@@ -194,11 +195,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     mixed = settle(mixed.groupBy("doc_id", "label").agg(F.max(F.col("label") != F.col("main")).alias("odd")))
     if mixed.head(1):
         rest = settle(_prefix_pairs(_sets(docs, mixed.select("doc_id"), n), mixed, percent))
-        sign = reps.select("doc_id", "signature").dropDuplicates(["doc_id"])
+        # a document of several sets has several signatures, and any two of a pair may agree
+        sign = reps.select("doc_id", "key", "signature").dropDuplicates(["doc_id", "key"]).drop("key")
         both = rest.join(sign.select(F.col("doc_id").alias("u"), F.col("signature").alias("a")), "u").join(sign.select(F.col("doc_id").alias("v"), F.col("signature").alias("b")), "v")
         # six standard deviations of the estimate below the threshold
         agree = F.pandas_udf(_agree, "double")
-        rest = settle(both.where(agree("a", "b") >= percent / 100 - 6 * (0.25 / MINIMA) ** 0.5).select("u", "v"))
+        rest = settle(both.where(agree("a", "b") >= percent / 100 - 6 * (0.25 / MINIMA) ** 0.5).select("u", "v").distinct())
         more = settle(_similar(docs, rest, n).where(linked).select("u", "v"))
         if more.head(1):
             found = settle(components(links.union(more)).dropDuplicates(["node"]))

@@ -59,6 +59,26 @@ def test_components(spark, n):
     assert all(r["n_shingles"] == len(shingles(dict((x[0], x[1]) for x in rows)[r["doc_id"]], n)) for r in got)
 
 
+def test_prefixes_of_repeated_rows(spark):
+    shared = list(range(1000, 1018))
+    rows = [(1, [1, 2, *shared]), (2, [3, 4, *shared]), (2, [3, 4, *shared])]
+    members = spark.createDataFrame([(1, 1, True), (2, 2, True)], "doc_id long, label long, odd boolean")
+    got = near_dup._prefix_pairs(spark.createDataFrame(rows, "doc_id long, items array<long>"), members, 80).collect()
+    assert [(r["u"], r["v"]) for r in got] == [(1, 2)]
+
+
+@pytest.mark.parametrize("shape", ["repeated", "two texts"])
+def test_components_of_repeated_doc_ids(spark, shape):
+    rows = near_copies()
+    if shape == "repeated":
+        rows += rows[1::2] * 2
+    else:
+        rng = random.Random(2)
+        rows += [(r[0], prose(rng, 60, 10**6), *r[2:]) for r in rows]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == plain_components(rows, 2)
+
+
 def test_awkward_components(awkward, nothing):
     got = near_dup.near_duplicates(awkward, 2).collect()
     want = plain_components(awkward_rows(), 2)
