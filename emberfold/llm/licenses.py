@@ -101,6 +101,16 @@ def known_texts() -> list[tuple[str, str]]:
     return out + [(k, f"Licensed under {n}") for k, n in names] + [(k, f"SPDX-License-Identifier: {k}") for k in {k for k, _ in names}]
 
 
+def _can_be_known(x: Column) -> Column:
+    """Necessary for one of ``known_texts``, so that other parts need no canonical form.
+
+    Texts and SPDX lines hold one of the first words, a notice also "under" and its licence's name. Only the step that
+    takes URL schemes out can join letters into a word, so that parts with one always pass.
+    """
+    notice = x.rlike("(?i)(^|[^a-z0-9])under($|[^a-z0-9])") & x.rlike("(?i)mit|isc|bsd|apache|gpl|cc|creative")
+    return x.rlike("(?i)licen[cs]|SPDX|warrant|permission|https?://") | notice
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for one without letters and digits."""
     out = F.translate(text, UPPER, LOWER)
@@ -116,12 +126,12 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = Non
     return all_.select(F.md5(canonical(F.col("text")).cast("binary")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def _parts(text: Column) -> Column:
-    """The digests of a text's paragraphs and lines that can be a licence: those that name one or are long enough."""
+def _parts(text: Column, every: bool) -> Column:
+    """The digests of a text's paragraphs and lines that can be a licence, or of every one of them."""
     lines = F.split(text, "\n", -1)
     paragraphs = F.split(text, "\n[\\x20\\x09\\x0D]*\n", -1)
-    worth = F.filter(F.array_distinct(F.concat(lines, paragraphs)), lambda x: x.rlike("(?i)licen[cs]|SPDX|warrant|permission"))
-    return F.transform(worth, lambda x: F.md5(canonical(x).cast("binary")))
+    all_ = F.array_distinct(F.concat(lines, paragraphs))
+    return F.transform(all_ if every else F.filter(all_, _can_be_known), lambda x: F.md5(canonical(x).cast("binary")))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -129,12 +139,13 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     A null or empty text has the digest of nothing and no licence. Rows that repeat each have their own result, null ids
     and other columns change nothing, an empty table gives an empty table. ``known`` (digest, license) is broadcast up
-    to a size that is checked.
+    to a size that is checked; with a table of one's own every line and paragraph is looked up.
     """
     spark = docs.sparkSession
+    every = known is not None
     known = settle(known_digests(spark) if known is None else known)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.md5(canonical(text).cast("binary")).alias("digest"), let(text, lambda t: F.when(t.rlike("(?i)licen[cs]|SPDX|warrant|permission"), _parts(t))).alias("parts"))
+    rows = docs.select("doc_id", F.md5(canonical(text).cast("binary")).alias("digest"), let(text, lambda t: F.when(F.lit(True) if every else _can_be_known(t), _parts(t, every))).alias("parts"))
     rows = settle(rows)
     # rows with equal parts have equal results
     asked = rows.where("size(parts) > 0").select("parts").distinct().select("parts", F.explode("parts").alias("digest"))

@@ -140,6 +140,19 @@ def test_licences(spark):
     assert got[10] == (None, ["Apache-2.0"])
 
 
+def test_notices_inside_documents(spark):
+    """Every verb that the canonical form makes equal, and every name, between other text."""
+    verbs = ["licensed", "released", "distributed", "available", "published", "provided"]
+    notices = [("CC-BY-4.0", f"This work is {v} under CC BY 4.0") for v in verbs] + [("GPL-3.0", f"{v.title()} under GPLv3.") for v in verbs]
+    notices += [(k, t.replace("Licensed under", "This software is available under the terms of")) for k, t in licenses.known_texts() if t.startswith("Licensed under ") and t != licenses.APACHE_HEADER]
+    notices += [("Apache-2.0", "é_under_Apache 2.0"), ("GPL-3.0", "unhttp://der GPLv3")]
+    docs = spark.createDataFrame([(i, f"Prose before.\n{t}\nand after") for i, (_, t) in enumerate(notices)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
+    assert got == {i: [k] for i, (k, _) in enumerate(notices)}
+    own = licenses.known_digests(spark, [("Own", "Do as you like.")])
+    assert [r["licenses"] for r in licenses.scan(spark.createDataFrame([(1, "a\nDo as you like\nb")], "doc_id long, text string"), own).collect()] == [["Own"]]
+
+
 @pytest.mark.parametrize("run", [secret_scan.scan, licenses.scan, quality_rules.judge])
 def test_awkward_and_empty(run, awkward, nothing):
     assert by_id(run(awkward), "doc_id") == by_id(awkward, "doc_id")
