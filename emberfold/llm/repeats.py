@@ -22,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberfold.llm.common import settle, small
@@ -101,9 +101,9 @@ def _unplanes(data: bytes, n: int, width: int) -> np.ndarray:
     return full.reshape(-1).view("<u8")
 
 
-WIDTHS = {"anchor": 7, "run": 6, "doc": 8, "twin": 2, "first": 6, "n": 1}
+WIDTHS = {"anchor": 7, "run": 6, "doc": 8, "twin": 8, "first": 6, "n": 1}
 DEALT = "part int, size int, " + ", ".join(f"{k} binary" for k in WIDTHS)
-SPANS = "doc long, twin int, anchor long, first long, n int"
+SPANS = "doc long, twin long, anchor long, first long, n int"
 
 
 def _merged(doc: np.ndarray, twin: np.ndarray, first: np.ndarray, n: np.ndarray) -> pd.DataFrame:
@@ -203,7 +203,7 @@ def _settle_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc": doc[look], "twin": twin[look], "anchor": pd.array(anchor[look].astype(np.int64), "Int64"), "first": first[look], "n": n[look]})
 
 
-CONTEXTS = "anchor long, doc long, twin int, first long, n int, bytes binary"
+CONTEXTS = "anchor long, doc long, twin long, first long, n int, bytes binary"
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,8 +285,9 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     copies = settle(ids.join(small(firsts), "digest").where("doc > least").select("doc", "digest").distinct())
     many = ids.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc")
     twins = ids.join(small(settle(many)), "doc", "left_semi").distinct()
-    twins = settle(twins.withColumn("twin", F.row_number().over(Window.partitionBy("doc").orderBy("digest")) - 1))
-    base = base.join(small(twins), ["doc", "digest"], "left").withColumn("twin", F.coalesce("twin", F.lit(0)))
+    # numbers of rows, which the checkpoint fixes: texts of one doc_id can be as many as the table's rows
+    twins = settle(twins.withColumn("twin", F.monotonically_increasing_id() + 1))
+    base = base.join(small(twins), ["doc", "digest"], "left").withColumn("twin", F.coalesce("twin", F.lit(0).cast("long")))
     fresh = base.join(small(copies), ["doc", "digest"], "left_anti").select("doc", "twin", "text")
 
     spark = docs.sparkSession

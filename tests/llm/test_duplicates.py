@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import pandas as pd
 import pytest
 
 from emberfold.llm import near_dup, repeats
@@ -145,6 +146,16 @@ def test_awkward_passages(awkward, nothing):
     assert repeats.drop_repeats(nothing).count() == 0
 
 
+def test_many_texts_of_one_doc_id():
+    """Which text of a doc_id a span belongs to survives the way through the parts, however many texts there are."""
+    twins = [3, 3 + (1 << 16), (5 << 33) + 3]
+    text = prose(random.Random(4), 40)
+    docs = pd.DataFrame({"doc": [1] + [repeats.LAST] * 3, "twin": [0, *twins], "text": [text, *[f"{k} {text}" for k in "abc"]]})
+    parts = pd.concat(repeats._deal(iter([docs]), bits=10))
+    found = pd.concat(repeats._settle_runs(iter([parts])))
+    assert set(found.loc[found["doc"] == repeats.LAST, "twin"]) == set(twins)
+
+
 def test_kept_text(spark):
     rows = passages()[:30]
     got = repeats.drop_repeats(spark.createDataFrame(rows, SCHEMA), with_text=True).collect()
