@@ -11,6 +11,11 @@ has put aside the runs it has already seen in a smaller document. Equal runs are
 document keeps them. Only what is left of an anchor with several different runs needs an order: their windows are read
 from the texts, sorted as suffixes, and looked at with their neighbours of smaller documents.
 
+Where a common passage begins or ends, its anchor has a different run in every document. Anchors with many runs, as found
+in a share of the texts, are split: their runs are dealt out by the run's hash, and those left by their windows' hashes,
+after each task has put aside the windows it has already seen in a smaller document. The share only decides what is
+split; the result is the same for any.
+
 Whole copies of a text are settled by a digest first.
 """
 
@@ -35,6 +40,9 @@ AHEAD = 8 << 20
 #: Runs of an anchor go to one of so many parts for each shuffle partition (and LEAST_PARTS at least), which Spark deals out.
 SHARE, LEAST_PARTS = 16, 1 << 10
 LAST = (1 << 63) - 1
+#: Anchors with about so many runs are split; they are counted in one of SAMPLE texts.
+CROWD, SAMPLE = 20_000, 8
+ANCHOR = np.uint64((1 << 56) - 1)
 
 
 def _words(buf: np.ndarray) -> np.ndarray:
@@ -130,8 +138,36 @@ def _leaders(key: list[np.ndarray], doc: np.ndarray, order: np.ndarray) -> tuple
     return new, doc[order][at][np.cumsum(new) - 1]
 
 
-def _deal(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
-    """Runs of many documents, in parts by their anchor; those already seen in a smaller document only as removed."""
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Anchors that several runs of a task's texts have in common, and how many."""
+
+    def flush(texts: list[bytes]) -> pd.DataFrame:
+        anchor, n = np.unique(runs(texts)[3] & ANCHOR, return_counts=True)
+        return pd.DataFrame({"anchor": anchor[n > 1].astype(np.int64), "n": n[n > 1]})
+
+    held: list[bytes] = []
+    size = 0
+    for b in batches:
+        for text in b["text"]:
+            held.append(text.encode())
+            size += len(held[-1])
+            if size >= AHEAD:
+                yield flush(held)
+                held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def _crowded(fresh: DataFrame) -> np.ndarray:
+    """Sorted anchors to be split; at most the table's runs by CROWD, 8 bytes each."""
+    share = fresh.where(F.pmod(F.xxhash64("doc", "twin", F.octet_length("text")), F.lit(SAMPLE)) == 0).select("text")
+    counts = share.mapInPandas(_count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r[0] for r in counts.where(F.col("n") * SAMPLE >= CROWD).select("anchor").collect()], np.int64))
+
+
+def _deal(batches: Iterator[pd.DataFrame], bits: int, crowded: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """Runs of many documents, in parts by their anchor (and run, if the anchor is crowded); those already seen in a smaller document only as removed."""
+    split = np.zeros(0, np.int64) if crowded is None else crowded
 
     def flush(docs: list[tuple[int, int, bytes]]) -> Iterator[pd.DataFrame]:
         own, first, n, anchor, run = runs([t for _, _, t in docs])
@@ -144,7 +180,10 @@ def _deal(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
         seen = np.zeros(len(doc), bool)
         seen[order] = doc[order] > leader
         keep = order[~seen[order]]
-        part = (anchor[keep] >> np.uint64(64 - bits)).astype(np.int64)
+        dealt = np.where(np.isin((anchor[keep] & ANCHOR).astype(np.int64), split), mix(anchor[keep] ^ run[keep]), anchor[keep])
+        part = (dealt >> np.uint64(64 - bits)).astype(np.int64)
+        by_part = np.argsort(part, kind="stable")
+        keep, part = keep[by_part], part[by_part]
         cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         rows = []
         for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
@@ -171,7 +210,7 @@ def _deal(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
         yield from flush(held)
 
 
-def _settle_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _settle_runs(batches: Iterator[pd.DataFrame], crowded: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
     """Of whole parts: removed runs (null anchor), and runs that must be looked at (with their anchor)."""
     parts: list[list[np.ndarray]] = []
     for b in batches:
@@ -182,6 +221,8 @@ def _settle_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"doc": cols[0], "twin": cols[1], "anchor": pd.array([None] * r.size, "Int64"), "first": cols[2], "n": n})
             else:
                 parts.append([_unplanes(getattr(r, k), r.size, w) for k, w in WIDTHS.items()])
+                # equal runs of one anchor have one part, which sets apart more runs than 6 bytes do
+                parts[-1][1] |= np.uint64((int(r.part) & 0xFFFF) << 48)
     if not parts:
         return
     anchor, run, doc, twin, first, n = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -198,27 +239,62 @@ def _settle_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     kinds = np.add.reduceat(new.astype(np.int64), starts)
     spread = np.maximum.reduceat(np.where(left, d, -1), starts) > np.minimum.reduceat(np.where(left, d, LAST), starts)
     sizes = np.diff(np.concatenate((starts, [len(a)])))
-    look = order[np.repeat((kinds > 1) & spread, sizes) & left]
+    # what a crowded anchor has elsewhere isn't known here
+    split = np.zeros(0, np.int64) if crowded is None else crowded
+    look = order[np.repeat(((kinds > 1) & spread) | np.isin(a[starts].astype(np.int64), split), sizes) & left]
     if len(look):
         yield pd.DataFrame({"doc": doc[look], "twin": twin[look], "anchor": pd.array(anchor[look].astype(np.int64), "Int64"), "first": first[look], "n": n[look]})
 
 
-CONTEXTS = "anchor long, doc long, twin long, first long, n int, bytes binary"
+CONTEXTS = "spot long, doc long, twin long, first long, n int, bytes binary"
+
 
+def _contexts(batches: Iterator[pd.DataFrame], crowded: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """The bytes of the runs that must be looked at, to meet at their anchor, or window by window at the window's hash.
+
+    Windows that are already removed here have no bytes.
+    """
+    split = frozenset(() if crowded is None else crowded.tolist())
+    names = ["spot", "doc", "twin", "first", "n", "bytes"]
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of the runs that must be looked at."""
+    def windows(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        part = pd.DataFrame(rows, columns=names)
+        n = part["n"].to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(part)), n)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        doc, twin, first = part["doc"].to_numpy()[row], part["twin"].to_numpy()[row], part["first"].to_numpy()[row] + offset
+        bad = repeated_suffixes(part["bytes"].tolist(), n, part["doc"].to_numpy())
+        gone = _merged(doc[bad], twin[bad], first[bad], np.ones(int(bad.sum()), np.int64))
+        yield gone.assign(spot=gone["first"] ^ gone["doc"], bytes=None)[names]
+        left = np.flatnonzero(~bad)
+        for at in np.array_split(left, len(left) // 100_000 + 1):
+            own = [rows[r][5][o : o + LEAST] for r, o in zip(row[at], offset[at], strict=True)]
+            spot = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in own]
+            yield pd.DataFrame({"spot": np.array(spot, np.int64), "doc": doc[at], "twin": twin[at], "first": first[at], "n": 1, "bytes": own})
+
+    crowd: list[tuple] = []
+    size = 0
     for b in batches:
         rows = []
         for r in b.itertuples(index=False):
             text = r.text.encode()
             for s in r.look:
-                rows.append((s["anchor"], r.doc, r.twin, s["first"], s["n"], text[s["first"] : s["first"] + s["n"] - 1 + LEAST]))
+                one = (s["anchor"], r.doc, r.twin, s["first"], s["n"], text[s["first"] : s["first"] + s["n"] - 1 + LEAST])
+                if s["anchor"] in split:
+                    crowd.append(one)
+                    size += s["n"]
+                else:
+                    rows.append(one)
             if len(rows) >= 50_000:
-                yield pd.DataFrame(rows, columns=["anchor", "doc", "twin", "first", "n", "bytes"])
+                yield pd.DataFrame(rows, columns=names)
                 rows = []
+            if size >= 400_000:
+                yield from windows(crowd)
+                crowd, size = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=["anchor", "doc", "twin", "first", "n", "bytes"])
+            yield pd.DataFrame(rows, columns=names)
+    if crowd:
+        yield from windows(crowd)
 
 
 def repeated_suffixes(texts: list[bytes], windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -241,7 +317,7 @@ def repeated_suffixes(texts: list[bytes], windows: np.ndarray, doc: np.ndarray)
 
 
 def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of partitions that hold all runs of their anchors: removed windows."""
+    """Of partitions that hold all runs of their anchors, or all windows of their hashes: removed windows."""
 
     def flush(part: pd.DataFrame) -> pd.DataFrame:
         n = part["n"].to_numpy().astype(np.int64)
@@ -251,17 +327,23 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         offset = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[at]
         return _merged(part["doc"].to_numpy()[row], part["twin"].to_numpy()[row], part["first"].to_numpy()[row] + offset, np.ones(len(at), np.int64))
 
-    # rows come in the order of anchors
+    # rows come in the order of spots
     held: list[pd.DataFrame] = []
     size = 0
     for b in batches:
+        done = b[b["bytes"].isna()]
+        if len(done):
+            yield _merged(*(done[k].to_numpy().astype(np.int64) for k in ("doc", "twin", "first", "n")))
+            b = b[b["bytes"].notna()]
+        if not len(b):
+            continue
         held.append(b)
         size += int(b["n"].sum())
         if size >= 400_000:
             whole = pd.concat(held, ignore_index=True)
-            last = whole["anchor"].iloc[-1]
-            done = whole[whole["anchor"] != last]
-            held = [whole[whole["anchor"] == last]]
+            last = whole["spot"].iloc[-1]
+            done = whole[whole["spot"] != last]
+            held = [whole[whole["spot"] == last]]
             size = int(held[0]["n"].sum())
             if len(done):
                 yield flush(done)
@@ -293,11 +375,12 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(30, (max(LEAST_PARTS, SHARE * parts) - 1).bit_length())
-    dealt = fresh.mapInPandas(partial(_deal, bits=bits), DEALT).repartition(parts, "part")
-    found = settle(dealt.mapInPandas(_settle_runs, SPANS))
+    crowded = _crowded(fresh)
+    dealt = fresh.mapInPandas(partial(_deal, bits=bits, crowded=crowded), DEALT).repartition(parts, "part")
+    found = settle(dealt.mapInPandas(partial(_settle_runs, crowded=crowded), SPANS))
     look = found.where("anchor is not null").groupBy("doc", "twin").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("look"))
-    contexts = fresh.join(look, ["doc", "twin"]).mapInPandas(_contexts, CONTEXTS)
-    looked = settle(contexts.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInPandas(_look, SPANS))
+    contexts = fresh.join(look, ["doc", "twin"]).mapInPandas(partial(_contexts, crowded=crowded), CONTEXTS)
+    looked = settle(contexts.repartition(parts, "spot").sortWithinPartitions("spot").mapInPandas(_look, SPANS))
     gone = found.where("anchor is null").union(looked).groupBy("doc", "twin").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
 
     @F.pandas_udf(CUT)

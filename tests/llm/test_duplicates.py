@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -146,6 +147,36 @@ def test_awkward_passages(awkward, nothing):
     assert repeats.drop_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [1, 60])
+def test_crowded_anchors(spark, monkeypatch, crowd):
+    """The result is the same however many anchors are split."""
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    rows = passages()
+    got = repeats.drop_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == plain_repeats(rows)
+
+
+def test_crowded_anchors_are_dealt_out(spark):
+    """A common line between different texts: its runs go to many parts, and its windows to many spots, once a task."""
+    rng = random.Random(8)
+    line = prose(rng, 20)
+    texts = [f"{prose(rng, 8, 10**6)} {line} {prose(rng, 8, 10**6)}" for _ in range(300)]
+    docs = pd.DataFrame({"doc": range(300), "twin": 0, "text": texts})
+    anchor, n = np.unique(repeats.runs([t.encode() for t in texts])[3] & repeats.ANCHOR, return_counts=True)
+    split = np.sort(anchor[n >= 300].astype(np.int64))
+    parts = pd.concat(repeats._deal(iter([docs]), bits=10, crowded=split))
+    found = pd.concat(repeats._settle_runs(iter([parts]), crowded=split))
+    look = found[found["anchor"].notna()]
+    most = look["anchor"].value_counts()
+    assert most.iloc[0] > 250
+    by_doc = {d: g[["anchor", "first", "n"]].to_dict("records") for d, g in look.groupby("doc")}
+    asked = docs[docs["doc"].isin(by_doc)].assign(look=lambda x: x["doc"].map(by_doc))
+    out = pd.concat(repeats._contexts(iter([asked]), crowded=split))
+    sent = out[out["bytes"].notna()]
+    assert sent[sent["n"] == 1]["spot"].value_counts().max() < 20 and not set(sent["spot"]) & set(split.tolist())
+
+
 def test_many_texts_of_one_doc_id():
     """Which text of a doc_id a span belongs to survives the way through the parts, however many texts there are."""
     twins = [3, 3 + (1 << 16), (5 << 33) + 3]
