@@ -102,6 +102,17 @@ def test_association_of_many_agrees_with_plain_merging(spark):
     assert got == want and len(set(want.values())) < 300
 
 
+def test_association_in_rounds_agrees_with_one_task(spark, monkeypatch):
+    """Large components are not merged by one task, and get the same events."""
+    rng = random.Random(10)
+    rows = observations([(40 + rng.random() * 0.15, 29 + rng.random() * 0.15, rng.randrange(500), rng.choice(["slstr", "viirs-modis", "mtg"]), 1) for _ in range(200)])
+    obs = spark.createDataFrame(rows, SCHEMA)
+    want = {r["idx"]: r["event"] for r in association.associate(obs).collect()}
+    monkeypatch.setattr(association, "MOST", 5)
+    got = {r["idx"]: r["event"] for r in association.associate(obs).collect()}
+    assert got == want and len(set(want.values())) < 200
+
+
 def test_dedupe(spark):
     rows = [(1, 40.0, 29.0, 45.0, "high", "p", "a"), (2, 40.0, 29.0, 55.0, None, "p", "b"), (3, 41.0, 29.0, 5.0, None, "p", "a")]
     df = spark.createDataFrame(rows, "seq long, lat double, lon double, frp double, confidence string, product string, source string")
