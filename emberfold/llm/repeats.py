@@ -1,8 +1,9 @@
-"""Removal of repeated passages by longest previous factors in suffix order.
+"""Removal of repeated passages by exact grouping of windows that meet at their minimisers.
 
 A byte goes if a string of ``least`` bytes that covers it also starts in a document with a smaller doc_id. In the suffix
 order of all texts, the longest previous factor of a position is the longer of the common prefixes with the previous and
-the next position of a smaller document; the position's string is a repeat if that is at least ``least`` bytes.
+the next position of a smaller document; the position's string is a repeat if that is at least ``least`` bytes. That only depends on whether the window of ``least``
+bytes at the position occurs in a smaller document, which is found here without the order or the factors.
 
 The order is never built for the corpus as a whole, since equal strings meet in much smaller places. Every window of
 ``least`` bytes has an anchor, the smallest hash of the grams of GRAM bytes in it, which only depends on the window.
