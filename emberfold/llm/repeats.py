@@ -1,23 +1,22 @@
-"""Removal of repeated passages by exact grouping of windows that meet at their minimisers.
+"""Removal of repeated passages by longest previous factors in suffix order.
 
-A byte goes if a string of ``least`` bytes that covers it also starts in a document with a smaller doc_id. In the suffix
-order of all texts, the longest previous factor of a position is the longer of the common prefixes with the previous and
-the next position of a smaller document; the position's string is a repeat if that is at least ``least`` bytes. That only depends on whether the window of ``least``
-bytes at the position occurs in a smaller document, which is found here without the order or the factors.
+The longest previous factor of a position is the longest string there that also starts in a document with a smaller doc_id.
+In suffix order it is the longer of the common prefixes with the previous and the next position of a smaller document. A
+position whose factor reaches ``least`` bytes starts a repeat, and its ``least`` bytes go; the first document keeps them.
 
-The order is never built for the corpus as a whole, since equal strings meet in much smaller places. Every window of
-``least`` bytes has an anchor, the smallest hash of the grams of GRAM bytes in it, which only depends on the window.
-Windows of one document in a row with one anchor form a run. Runs are dealt out by their anchor's hash, after each task
-has put aside the runs it has already seen in a smaller document. Equal runs are settled among themselves: the smallest
-document keeps them. Only what is left of an anchor with several different runs needs an order: their windows are read
-from the texts, sorted as suffixes, and looked at with their neighbours of smaller documents.
+Suffixes with a common prefix of ``least`` bytes meet in much smaller places than the order of the whole corpus. Every window
+of ``least`` bytes has an anchor, the smallest hash of the grams of GRAM bytes in it, which only depends on the window.
+Windows of one document in a row with one anchor form a run, and runs are dealt out by their anchor. As in the order of all
+suffixes, equal strings need no place of their own each: of equal texts, and of equal runs of an anchor, the smallest
+document's stands for all, and the others are repeats as a whole. What is left are the anchors that stand in several different
+runs. The windows of their runs are read from the texts, and ``previous_factors`` sorts them as suffixes, takes the common
+prefixes of neighbours, and finds the previous and next place of a smaller document and so the factor of each.
 
 Where a common passage begins or ends, its anchor has a different run in every document. Anchors with many runs, as found
 in a share of the texts, are split: their runs are dealt out by the run's hash, and those left by their windows' hashes,
-after each task has put aside the windows it has already seen in a smaller document. The share only decides what is
-split; the result is the same for any.
-
-Whole copies of a text are settled by a digest first.
+after each task has put aside the windows with a factor among its own. The share only decides what is split; the result is
+the same for any. At most MOST_SPLIT anchors are split, those with the most runs, so that any other anchor has fewer than the
+corpus's runs by MOST_SPLIT.
 """
 
 from __future__ import annotations
@@ -39,10 +38,13 @@ SPAN = LEAST - GRAM + 1  # grams in a window
 #: Bytes of text in a task whose runs are compared before they are dealt out.
 AHEAD = 8 << 20
 #: Runs of an anchor go to one of so many parts for each shuffle partition (and LEAST_PARTS at least), which Spark deals out.
-SHARE, LEAST_PARTS = 16, 1 << 10
+#: A task settles its parts one after the other.
+SHARE, LEAST_PARTS = 4, 1 << 10
+#: Runs that a task holds of a part before equal ones are put together, and windows that it sorts at once.
+HELD, SORTED = 1_000_000, 200_000
 LAST = (1 << 63) - 1
 #: Anchors with about so many runs are split; they are counted in one of SAMPLE texts.
-CROWD, SAMPLE = 20_000, 8
+CROWD, SAMPLE, MOST_SPLIT = 20_000, 8, 1 << 18
 ANCHOR = np.uint64((1 << 56) - 1)
 
 
@@ -160,10 +162,11 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _crowded(fresh: DataFrame) -> np.ndarray:
-    """Sorted anchors to be split; at most the table's runs by CROWD, 8 bytes each."""
+    """Sorted anchors to be split; at most MOST_SPLIT of 8 bytes each, those with the most runs."""
     share = fresh.where(F.pmod(F.xxhash64("doc", "twin", F.octet_length("text")), F.lit(SAMPLE)) == 0).select("text")
     counts = share.mapInPandas(_count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r[0] for r in counts.where(F.col("n") * SAMPLE >= CROWD).select("anchor").collect()], np.int64))
+    most = counts.where(F.col("n") * SAMPLE >= CROWD).orderBy(F.desc("n"), "anchor").limit(MOST_SPLIT)
+    return np.sort(np.array([r[0] for r in most.select("anchor").collect()], np.int64))
 
 
 def _deal(batches: Iterator[pd.DataFrame], bits: int, crowded: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
@@ -211,40 +214,64 @@ def _deal(batches: Iterator[pd.DataFrame], bits: int, crowded: np.ndarray | None
         yield from flush(held)
 
 
+def _equal_runs(held: list[np.ndarray]) -> tuple[pd.DataFrame, list[np.ndarray], np.ndarray]:
+    """Of a part's columns in the order of WIDTHS: runs that a smaller document has as well, as removed; the others, sorted by anchor, run and doc; where an anchor's next run begins."""
+    anchor, run, doc, twin, first, n = held
+    order = np.lexsort((doc, run, anchor))
+    new, leader = _leaders([anchor, run], doc, order)
+    later = doc[order] > leader
+    gone = order[later]
+    return _merged(doc[gone], twin[gone], first[gone], n[gone]), [x[order[~later]] for x in held], new[~later]
+
+
 def _settle_runs(batches: Iterator[pd.DataFrame], crowded: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
-    """Of whole parts: removed runs (null anchor), and runs that must be looked at (with their anchor)."""
-    parts: list[list[np.ndarray]] = []
+    """Of rows in the order of parts: removed runs (null anchor), and runs that must be looked at (with their anchor).
+
+    One part is held at a time, and of its equal runs those of the smallest document so far.
+    """
+    # what a crowded anchor has elsewhere isn't known here
+    split = np.zeros(0, np.int64) if crowded is None else crowded
+    held: list[list[np.ndarray]] = []
+    part, size, most = -1, 0, HELD
+
+    def together() -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    def flush() -> Iterator[pd.DataFrame]:
+        gone, (anchor, _, doc, twin, first, n), new = _equal_runs(together())
+        yield gone
+        # anchors with several different runs, in more than one document
+        starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        kinds = np.add.reduceat(new.astype(np.int64), starts)
+        spread = np.maximum.reduceat(doc, starts) > np.minimum.reduceat(doc, starts)
+        sizes = np.diff(np.concatenate((starts, [len(anchor)])))
+        look = np.flatnonzero(np.repeat(((kinds > 1) & spread) | np.isin(anchor[starts].astype(np.int64), split), sizes))
+        for at in np.array_split(look, len(look) // 100_000 + 1):
+            yield pd.DataFrame({"doc": doc[at], "twin": twin[at], "anchor": pd.array(anchor[at].astype(np.int64), "Int64"), "first": first[at], "n": n[at]})
+
     for b in batches:
         for r in b.itertuples(index=False):
             if r.part < 0:
                 n = _unplanes(r.anchor, r.size, 7).astype(np.int64)
                 cols = [_unplanes(getattr(r, k), r.size, WIDTHS[k]).astype(np.int64) for k in ("doc", "twin", "first")]
                 yield pd.DataFrame({"doc": cols[0], "twin": cols[1], "anchor": pd.array([None] * r.size, "Int64"), "first": cols[2], "n": n})
-            else:
-                parts.append([_unplanes(getattr(r, k), r.size, w) for k, w in WIDTHS.items()])
-                # equal runs of one anchor have one part, which sets apart more runs than 6 bytes do
-                parts[-1][1] |= np.uint64((int(r.part) & 0xFFFF) << 48)
-    if not parts:
-        return
-    anchor, run, doc, twin, first, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts
-    doc, twin, first, n = (x.astype(np.int64) for x in (doc, twin, first, n))
-    order = np.lexsort((doc, run, anchor))
-    new, leader = _leaders([anchor, run], doc, order)
-    gone = order[doc[order] > leader]
-    yield _merged(doc[gone], twin[gone], first[gone], n[gone])
-    # anchors with several different runs, in more than one document
-    left = doc[order] == leader
-    a, d, new = anchor[order], doc[order], new
-    starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-    kinds = np.add.reduceat(new.astype(np.int64), starts)
-    spread = np.maximum.reduceat(np.where(left, d, -1), starts) > np.minimum.reduceat(np.where(left, d, LAST), starts)
-    sizes = np.diff(np.concatenate((starts, [len(a)])))
-    # what a crowded anchor has elsewhere isn't known here
-    split = np.zeros(0, np.int64) if crowded is None else crowded
-    look = order[np.repeat(((kinds > 1) & spread) | np.isin(a[starts].astype(np.int64), split), sizes) & left]
-    if len(look):
-        yield pd.DataFrame({"doc": doc[look], "twin": twin[look], "anchor": pd.array(anchor[look].astype(np.int64), "Int64"), "first": first[look], "n": n[look]})
+                continue
+            if held and r.part != part:
+                yield from flush()
+                held, size, most = [], 0, HELD
+            part = r.part
+            cols = {k: _unplanes(getattr(r, k), r.size, w) for k, w in WIDTHS.items()}
+            # equal runs of one anchor have one part, which sets apart more runs than 6 bytes do
+            cols["run"] |= np.uint64((int(part) & 0xFFFF) << 48)
+            held.append([x if k in ("anchor", "run") else x.astype(np.int64) for k, x in cols.items()])
+            size += r.size
+            if size >= most:
+                gone, left, _ = _equal_runs(together())
+                yield gone
+                held, size = [left], len(left[0])
+                most = max(HELD, 2 * size)
+    if held:
+        yield from flush()
 
 
 CONTEXTS = "spot long, doc long, twin long, first long, n int, bytes binary"
@@ -264,7 +291,7 @@ def _contexts(batches: Iterator[pd.DataFrame], crowded: np.ndarray | None = None
         row = np.repeat(np.arange(len(part)), n)
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         doc, twin, first = part["doc"].to_numpy()[row], part["twin"].to_numpy()[row], part["first"].to_numpy()[row] + offset
-        bad = repeated_suffixes(part["bytes"].tolist(), n, part["doc"].to_numpy())
+        bad = previous_factors(part["bytes"].tolist(), n, part["doc"].to_numpy()) >= LEAST
         gone = _merged(doc[bad], twin[bad], first[bad], np.ones(int(bad.sum()), np.int64))
         yield gone.assign(spot=gone["first"] ^ gone["doc"], bytes=None)[names]
         left = np.flatnonzero(~bad)
@@ -289,7 +316,7 @@ def _contexts(batches: Iterator[pd.DataFrame], crowded: np.ndarray | None = None
             if len(rows) >= 50_000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
-            if size >= 400_000:
+            if size >= SORTED:
                 yield from windows(crowd)
                 crowd, size = [], 0
         if rows:
@@ -298,22 +325,50 @@ def _contexts(batches: Iterator[pd.DataFrame], crowded: np.ndarray | None = None
         yield from windows(crowd)
 
 
-def repeated_suffixes(texts: list[bytes], windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each window (of ``windows[i]`` in a row at the start of text i): has it a previous factor of LEAST bytes.
+def _bytes_alike(x: np.ndarray) -> np.ndarray:
+    """Leading bytes of zero of each number."""
+    return 8 - np.searchsorted(np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64), x, "right")
+
+
+def _with_smaller(doc: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For places in suffix order: the common prefix with the nearest place before that has a smaller document, 0 if none.
+
+    ``shared`` is each place's common prefix with the place before. All places look back at once: one that meets a document
+    that isn't smaller goes on where that one has got to, as everything between is not smaller either.
+    """
+    d = np.concatenate(([np.iinfo(np.int64).min], doc))
+    least = np.concatenate(([0], shared)).astype(np.int64)
+    at = np.maximum(np.arange(-1, len(doc)), 0)
+    on = np.flatnonzero((d[at] >= d) & (least > 0))
+    while len(on):
+        via = at[on]
+        least[on], at[on] = np.minimum(least[on], least[via]), at[via]
+        on = on[(d[at[on]] >= d[on]) & (least[on] > 0)]
+    return least[1:]
+
+
+def previous_factors(texts: list[bytes], windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The longest previous factor, up to LEAST bytes, at each window (of ``windows[i]`` in a row at the start of text i).
 
-    Suffixes are sorted by their first LEAST bytes and then by document, so that the previous smaller document with a
-    full common prefix is the first of the suffixes that share it.
+    Previous is what a smaller of the documents ``doc`` has; the windows are all the positions that there are.
     """
-    lens = np.array([len(t) for t in texts])
+    lens = np.array([len(t) for t in texts], np.int64)
     buf = np.frombuffer(b"".join(texts) + bytes(64), np.uint8)
     start = np.repeat(np.cumsum(lens) - lens, windows) + (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows))
     owner = np.repeat(doc, windows)
     word = np.ndarray((len(buf) - 8,), ">u8", buf.tobytes(), 0, (1,))
-    keys = [word[start + at].astype(np.uint64) for at in (*range(0, LEAST - 7, 8), LEAST - 8)]
-    order = np.lexsort((owner, *keys[::-1]))
-    _, first = _leaders(keys, owner, order)
-    out = np.zeros(len(start), bool)
-    out[order] = owner[order] > first
+    offsets = (*range(0, LEAST - 7, 8), LEAST - 8)
+    keys = [word[start + at].astype(np.uint64) for at in offsets]
+    order = np.lexsort(keys[::-1])
+    shared = np.full(len(order), LEAST)
+    shared[:1] = 0
+    for at, key in zip(offsets[::-1], keys[::-1], strict=True):
+        apart = key[order][1:] ^ key[order][:-1]
+        shared[1:] = np.where(apart > 0, at + _bytes_alike(apart), shared[1:])
+    before = _with_smaller(owner[order], shared)
+    after = _with_smaller(owner[order][::-1], np.concatenate(([0], shared[:0:-1])))[::-1]
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -322,7 +377,7 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def flush(part: pd.DataFrame) -> pd.DataFrame:
         n = part["n"].to_numpy().astype(np.int64)
-        bad = repeated_suffixes(part["bytes"].tolist(), n, part["doc"].to_numpy())
+        bad = previous_factors(part["bytes"].tolist(), n, part["doc"].to_numpy()) >= LEAST
         at = np.flatnonzero(bad)
         row = np.repeat(np.arange(len(part)), n)[at]
         offset = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[at]
@@ -340,7 +395,7 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         held.append(b)
         size += int(b["n"].sum())
-        if size >= 400_000:
+        if size >= SORTED:
             whole = pd.concat(held, ignore_index=True)
             last = whole["spot"].iloc[-1]
             done = whole[whole["spot"] != last]
@@ -377,7 +432,7 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(30, (max(LEAST_PARTS, SHARE * parts) - 1).bit_length())
     crowded = _crowded(fresh)
-    dealt = fresh.mapInPandas(partial(_deal, bits=bits, crowded=crowded), DEALT).repartition(parts, "part")
+    dealt = fresh.mapInPandas(partial(_deal, bits=bits, crowded=crowded), DEALT).repartition(parts, "part").sortWithinPartitions("part")
     found = settle(dealt.mapInPandas(partial(_settle_runs, crowded=crowded), SPANS))
     look = found.where("anchor is not null").groupBy("doc", "twin").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("look"))
     contexts = fresh.join(look, ["doc", "twin"]).mapInPandas(partial(_contexts, crowded=crowded), CONTEXTS)

@@ -141,12 +141,59 @@ def test_repeated_passages(spark):
 
 
 def test_awkward_passages(awkward, nothing):
-    rows = [r for r in awkward_rows() if r[0] != 9]
-    got = repeats.drop_repeats(awkward.where("doc_id <> 9 or doc_id is null")).collect()
+    rows = awkward_rows()
+    got = repeats.drop_repeats(awkward).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == plain_repeats(rows)
     assert repeats.drop_repeats(nothing).count() == 0
 
 
+def plain_factors(texts, windows, doc, least=50):
+    """The longest common prefix with a position of a smaller document, all compared with all."""
+    places = [(d, t[i:]) for t, n, d in zip(texts, windows, doc, strict=True) for i in range(n)]
+
+    def alike(s, t):
+        return next((k for k in range(least) if s[k] != t[k]), least)
+
+    return [max([0, *(alike(s, t) for e, t in places if e < d)]) for d, s in places]
+
+
+def test_previous_factors():
+    rng = random.Random(21)
+    shared = [bytes(rng.choice(b"abc") for _ in range(90)) for _ in range(3)]
+    texts = []
+    for _ in range(40):
+        s = rng.choice(shared)
+        a = rng.randrange(40)
+        texts.append(bytes(rng.choice(b"ab") for _ in range(rng.randrange(30))) + s[a : a + rng.randrange(20, 60)] + bytes(rng.choice(b"\x00\xffz") for _ in range(rng.randrange(60))))
+    texts = [t for t in texts if len(t) >= 50] + [b"z" * 70, b"z" * 61, bytes(80)]
+    windows = np.array([len(t) - 49 for t in texts])
+    for doc in (np.arange(len(texts)), np.arange(len(texts))[::-1], np.array([rng.randrange(6) for _ in texts]), np.zeros(len(texts), np.int64)):
+        got = repeats.previous_factors(texts, windows, doc).tolist()
+        assert got == plain_factors(texts, windows, doc)
+    assert not len(repeats.previous_factors([], np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+
+@pytest.mark.parametrize("held", [1, 40])
+def test_parts_in_pieces(spark, monkeypatch, held):
+    """The result is the same however few runs of a part, and windows of a spot, a task holds."""
+    monkeypatch.setattr(repeats, "HELD", held)
+    monkeypatch.setattr(repeats, "SORTED", held)
+    monkeypatch.setattr(repeats, "AHEAD", 3000)
+    docs = passages()
+    frames = [pd.DataFrame({"doc": [r[0] for r in docs], "twin": 0, "text": [r[1] for r in docs]})]
+    parts = pd.concat(repeats._deal(iter(frames), bits=3)).sort_values("part", kind="stable")
+    found = pd.concat(repeats._settle_runs(iter([parts.iloc[i : i + 5] for i in range(0, len(parts), 5)])))
+    gone = found[found["anchor"].isna()]
+    monkeypatch.undo()
+    whole = pd.concat(repeats._settle_runs(iter([pd.concat(repeats._deal(iter(frames), bits=3)).sort_values("part", kind="stable")])))
+    apart = whole[whole["anchor"].isna()]
+    windows = lambda x: {(d, i) for d, f, n in zip(x["doc"], x["first"], x["n"], strict=True) for i in range(f, f + n)}
+    assert windows(gone) == windows(apart) and gone["n"].sum() >= apart["n"].sum() > 0
+    key = ["anchor", "doc", "first", "n"]
+    look = lambda x: set(map(tuple, x[x["anchor"].notna()][key].astype("int64").to_numpy().tolist()))
+    assert look(found) == look(whole)
+
+
 @pytest.mark.parametrize("crowd", [1, 60])
 def test_crowded_anchors(spark, monkeypatch, crowd):
     """The result is the same however many anchors are split."""
