@@ -1,6 +1,8 @@
 """Mixing, language, toxicity and quality: contracts, held-out accuracy and awkward tables."""
 
+import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -70,37 +72,94 @@ def test_quality(learned):
     assert sum(got[i]["predicted"] == truth[i] for i in held) > 0.95 * len(held)
 
 
-def test_mixing(spark):
-    rng = random.Random(4)
-    rows = [(i, "w " * rng.randrange(0, 400), None, rng.choice(["a", "b", "c", "c", "c", None]), 1) for i in range(700)]
-    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert len(got) == 700 and sum(r["size"] for r in got) == sum(len(r[1].split()) for r in rows)
-    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
-    source = {r[0]: r[3] for r in rows}
-    total = sum(r["size"] for r in got)
-    order = ["a", "b", "c", None]
-    size = {s: sum(r["size"] for r in got if source[r["doc_id"]] == s) for s in order}
-    want, left, open_ = {}, float(total), {s: w for s, w in zip(order, (1, 2, 3, 1), strict=True)}
+def plain_mix(rows, most=3, fine=256, largest=256, points=None):
+    """Block by block: what the slots of the golden-ratio schedule take of each row's text, as (doc_id, taken, n_slots, first_slot)."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
+    key = [hashlib.md5(f"{'null' if r[0] is None else r[0]}:{r[1] or ''}".encode()).hexdigest() for r in rows]
+    order = sorted({r[3] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    own = {s: sum(n for n, r in zip(size, rows, strict=True) if r[3] == s) for s in order}
+    want, left, open_ = {}, float(sum(size)), list(order)
     while open_:
-        over = [s for s in open_ if left * open_[s] / sum(open_.values()) > 3 * size[s]]
+        over = [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > most * own[s]]
         if not over:
-            want |= {s: left * w / sum(open_.values()) for s, w in open_.items()}
+            want |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
             break
-        for s in over:
-            want[s] = 3.0 * size[s]
+        want |= {s: float(most * own[s]) for s in over}
         left -= sum(want[s] for s in over)
-        open_ = {s: w for s, w in open_.items() if s not in over}
+        open_ = [s for s in open_ if s not in over]
+    line = [s for s in order if want[s] >= 1]
+    block = max(1, min(largest, int(min((want[s] for s in line), default=1)) // fine))
+    n = -(-sum(size) // block)
+    slots = {s: [] for s in order}
+    for i in range(n):
+        u = points(i) if points else (i + 1) * ((5**0.5 - 1) / 2) % 1
+        for s in line:
+            u -= want[s] / sum(want[x] for x in line)
+            if u < 0 or s is line[-1]:
+                slots[s].append(i)
+                break
+    for s in line:
+        slots[s] = slots[s] or [n + order.index(s)]
+    taken, hits = [0] * len(rows), [[] for _ in rows]
     for s in order:
-        mine = [r for r in got if source[r["doc_id"]] == s]
-        assert all(abs(r["target"] - want[s]) < 1e-6 and r["source_size"] == size[s] for r in mine)
-        assert abs(sum(r["taken"] for r in mine) - want[s]) <= 2
+        stream = [i for i in sorted(range(len(rows)), key=lambda i: (key[i], size[i], i)) if rows[i][3] == s for _ in range(size[i])]
+        for k, slot in enumerate(slots[s]):
+            for p in range(k * block, min((k + 1) * block, most * len(stream))):
+                i = stream[p % len(stream)]
+                taken[i] += 1
+                # a document that is reached again in one slot, a round later, is a piece of its own
+                piece = (slot, p // len(stream))
+                if not hits[i] or hits[i][-1] != piece:
+                    hits[i].append(piece)
+    return want, own, [(r[0], n, t, len(h), h[0][0] if h else None) for r, n, t, h in zip(rows, size, taken, hits, strict=True)]
+
+
+def some_sources():
+    rng = random.Random(4)
+    return [(i, "w " * rng.randrange(0, 400), None, rng.choice(["a", "b", "c", "c", "c", None, "é"]), 1) for i in range(700)] + [(1000 + i, "x y z", None, "small", 1) for i in range(2)] + [(2000, "", None, "none", 1)]
+
+
+def told(df):
+    return sorted([tuple(r[c] for c in ("doc_id", "size", "taken", "n_slots", "first_slot")) for r in df.collect()], key=str)
+
+
+def test_mixing(spark):
+    rows = some_sources()
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA))
+    want, own, plain = plain_mix(rows)
+    assert told(got) == sorted(plain, key=str)
+    out = got.collect()
+    source = {r[0]: r[3] for r in rows}
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in out)
+    for s in want:
+        mine = [r for r in out if source[r["doc_id"]] == s]
+        assert all(abs(r["target"] - want[s]) < 1e-6 and r["source_size"] == own[s] for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - want[s]) <= 0.01 * want[s]
     again = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(7))
-    assert by_id(again, "doc_id", "taken") == sorted(str((r["doc_id"], r["taken"])) for r in got)
+    assert told(again) == told(got)
+
+
+def test_another_sequence_mixes_otherwise(spark, monkeypatch):
+    rows = some_sources()
+    df = spark.createDataFrame(rows, SCHEMA)
+    before = told(mixing.mix(df))
+    monkeypatch.setattr(mixing, "_points", lambda s, n: s.range(n).selectExpr("id AS slot", f"pow((id + 0.5D) / {n}, 3) AS u"))
+    assert told(mixing.mix(df)) != before
+
+
+def test_awkward_mix(awkward, nothing):
+    _, _, plain = plain_mix(awkward_rows())
+    assert told(mixing.mix(awkward)) == sorted(plain, key=str)
+    assert mixing.mix(nothing).count() == 0 == mixing.mixed_rows(nothing).count()
+    out = mixing.mixed_rows(awkward)
+    assert out.columns == [*awkward.columns, "taken", "first_slot"]
+    assert by_id(out, *awkward.columns) == by_id(awkward, *awkward.columns)
+    assert sorted(str((r["doc_id"], r["taken"], r["first_slot"])) for r in out.collect()) == sorted(str((p[0], p[2], p[4])) for p in plain)
 
 
 def test_awkward(awkward, labels, nothing):
     n = len(awkward_rows())
-    assert mixing.mix(awkward).count() == n and mixing.mix(nothing).count() == 0
     got = language.held_out_languages(awkward)
     assert got.count() == n
     assert {r["lang_pred"] for r in got.where("doc_id in (4, 5, 6)").collect()} == {"und"}
