@@ -3,7 +3,12 @@
 A text is made canonical (letters lower-cased, copyright lines dropped, equivalent spellings made one, punctuation and
 white space reduced to single blanks) and known by the digest of what is left. Known licences are a table of texts that
 goes through the same steps, and both meet by a hash join. Each document is looked up as a whole, and so is each
-paragraph and each line of it, as licences and notices are often put before or after other text.
+paragraph and each line of it, as licences and notices are often put before or after other text. A known text of several
+paragraphs is found between other text by the digests of its paragraphs in a row: documents meet it at any of them, and
+the row is then compared.
+
+The full texts of Apache-2.0, MPL, GPL, LGPL, AGPL and Creative Commons are not shipped, only their notices and names;
+``digests_of`` makes what ``scan`` takes of a table of texts.
 """
 
 from __future__ import annotations
@@ -64,9 +69,39 @@ APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>"""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+GNU_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details.
+
+You should have received a copy of the GNU {} along with this program. If not, see <https://www.gnu.org/licenses/>."""
+GNU = {"GPL-2.0": ("General Public License", "2"), "GPL-3.0": ("General Public License", "3"), "LGPL-2.1": ("Lesser General Public License", "2.1"), "LGPL-3.0": ("Lesser General Public License", "3"), "AGPL-3.0": ("Affero General Public License", "3")}
+#: MIT without its condition, ISC without its condition.
+MIT_0 = MIT.split("\n\n")[0].replace(", subject to the following conditions:", ".") + "\n\n" + MIT.split("\n\n")[2]
+BSD_0 = ISC.split("\n\n")[0].replace(", provided that the above copyright notice and this permission notice appear in all copies", "") + "\n\n" + ISC.split("\n\n")[1]
 TEXTS: dict[str, tuple[str, ...]] = {
     "MIT": (MIT, "The MIT License\n\n" + MIT, "MIT License\n\n" + MIT),
+    "MIT-0": (MIT_0, "MIT No Attribution\n\n" + MIT_0),
     "ISC": (ISC, "ISC License\n\n" + ISC),
+    "0BSD": (BSD_0, "BSD Zero Clause License\n\n" + BSD_0),
+    "Unlicense": (UNLICENSE, UNLICENSE.replace("https", "http")),
+    "BSL-1.0": (BOOST, "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + BOOST),
+    "MPL-2.0": (MPL_HEADER,),
+    **{k: (GNU_HEADER.format(name, version, name, name),) for k, (name, version) in GNU.items()},
     "BSD-2-Clause": ("\n\n".join((BSD_START, BSD_END)),),
     "BSD-3-Clause": ("\n\n".join((BSD_START, BSD_THIRD, BSD_END)),),
     "Zlib": (ZLIB,),
@@ -119,18 +154,33 @@ def canonical(text: Column) -> Column:
     return out
 
 
+def digests_of(texts: DataFrame) -> DataFrame:
+    """(digest, license, paragraphs) of a table (license, text): digests of the whole canonical text and of its paragraphs in a row.
+
+    Of two licences with one canonical form, the first by name.
+    """
+    whole = F.md5(canonical(F.col("text")).cast("binary"))
+    return texts.select(whole.alias("digest"), "license", _paragraphs(F.col("text")).alias("paragraphs")).groupBy("digest").agg(F.min_by("license", F.struct("license", "paragraphs")).alias("license"), F.min_by("paragraphs", F.struct("license", "paragraphs")).alias("paragraphs"))
+
+
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license) of known texts; of two licences with one canonical form, the first by name."""
+    """``digests_of`` the shipped texts, or of a list of (license, text)."""
     rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("text")) for k, t in (texts or known_texts())])
-    all_ = spark.range(1).select(F.inline(rows))
-    return all_.select(F.md5(canonical(F.col("text")).cast("binary")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    return digests_of(spark.range(1).select(F.inline(rows)))
+
+
+BLANK_LINE = "\n[\\x20\\x09\\x0D]*\n"
+NOTHING = "d41d8cd98f00b204e9800998ecf8427e"
+
+
+def _paragraphs(text: Column) -> Column:
+    """The digests of a text's paragraphs, in order, without those of which nothing is left."""
+    return F.filter(F.transform(F.split(text, BLANK_LINE, -1), lambda x: F.md5(canonical(x).cast("binary"))), lambda d: d != NOTHING)
 
 
 def _parts(text: Column, every: bool) -> Column:
-    """The digests of a text's paragraphs and lines that can be a licence, or of every one of them."""
-    lines = F.split(text, "\n", -1)
-    paragraphs = F.split(text, "\n[\\x20\\x09\\x0D]*\n", -1)
-    all_ = F.array_distinct(F.concat(lines, paragraphs))
+    """The digests of a text's paragraphs and lines that can be a licence or a part of one, or of every one of them."""
+    all_ = F.array_distinct(F.concat(F.split(text, "\n", -1), F.split(text, BLANK_LINE, -1)))
     return F.transform(all_ if every else F.filter(all_, _can_be_known), lambda x: F.md5(canonical(x).cast("binary")))
 
 
@@ -138,23 +188,35 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest (of the whole canonical text), license (of the whole text, or null), licenses (all that were found, sorted) for each row of ``docs``.
 
     A null or empty text has the digest of nothing and no licence. Rows that repeat each have their own result, null ids
-    and other columns change nothing, an empty table gives an empty table. ``known`` (digest, license) is broadcast up
+    and other columns change nothing, an empty table gives an empty table. ``known`` (of ``digests_of``) is broadcast up
     to a size that is checked; with a table of one's own every line and paragraph is looked up.
     """
     spark = docs.sparkSession
     every = known is not None
     known = settle(known_digests(spark) if known is None else known)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.md5(canonical(text).cast("binary")).alias("digest"), let(text, lambda t: F.when(F.lit(True) if every else _can_be_known(t), _parts(t, every))).alias("parts"))
+    key = F.unhex(F.md5(text.cast("binary")))
+    rows = docs.select("doc_id", key.alias("key"), F.md5(canonical(text).cast("binary")).alias("digest"), let(text, lambda t: F.when(F.lit(True) if every else _can_be_known(t), _parts(t, every))).alias("parts"))
     rows = settle(rows)
     # rows with equal parts have equal results
-    asked = rows.where("size(parts) > 0").select("parts").distinct().select("parts", F.explode("parts").alias("digest"))
-    found = asked.join(small(known), "digest").groupBy("parts").agg(F.sort_array(F.collect_set("license")).alias("found"))
-    whole = known.withColumnRenamed("license", "whole")
+    asked = rows.where("size(parts) > 0").select("parts").distinct().select("parts", F.explode("parts").alias("part"))
+    lone = known.select(F.col("digest").alias("part"), "license")
+    found = asked.join(small(lone), "part").groupBy("parts").agg(F.sort_array(F.collect_set("license")).alias("found"))
+    # texts that share a paragraph with a known text of several
+    several = known.where(F.size("paragraphs") > 1).select("license", "paragraphs")
+    meet = several.select("license", "paragraphs", F.explode(F.array_distinct("paragraphs")).alias("part"))
+    near = settle(rows.where("size(parts) > 0").select("key", F.explode("parts").alias("part")).distinct().join(small(meet), "part").select("key", "license", "paragraphs").distinct())
+    near_keys = near.select("key").distinct()
+    full = docs.select(key.alias("key"), text.alias("text")).join(small(near_keys), "key", "left_semi").dropDuplicates(["key"]).select("key", _paragraphs(F.col("text")).alias("own"))
+    n = F.size("paragraphs")
+    within = F.exists(F.sequence(F.lit(1), F.size("own") - n + 1), lambda i: F.slice("own", i, n) == F.col("paragraphs"))
+    rowed = near.join(full, "key").where(F.size("own") >= n).where(within).groupBy("key").agg(F.collect_set("license").alias("rowed"))
+    whole = known.select("digest", F.col("license").alias("whole"))
     out = rows.join(small(whole), "digest", "left").join(small(settle(found), weigh=F.size("parts") + F.size("found")), "parts", "left")
+    out = out.join(small(settle(rowed), weigh=F.size("rowed") + 1), "key", "left")
     none = F.array().cast("array<string>")
     mine = F.when(F.col("whole").isNull(), none).otherwise(F.array("whole"))
-    licenses = F.sort_array(F.array_union(mine, F.coalesce("found", none)))
+    licenses = F.sort_array(F.array_union(F.array_union(mine, F.coalesce("found", none)), F.coalesce("rowed", none)))
     return out.select("doc_id", "digest", F.col("whole").alias("license"), licenses.alias("licenses"))
 
 
@@ -169,10 +231,13 @@ def oracle() -> str:
 
     values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in known_texts())
     digest = lambda x: f"md5({form(x)})"
-    return f"""WITH k AS (SELECT {digest('t')} AS digest, min(license) AS license FROM (VALUES {values}) v(license, t) GROUP BY 1),
-    d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-    p AS (SELECT rid, unnest(string_split(t, chr(10)) || regexp_split_to_array(t, '\n[\\x20\\x09\\x0D]*\n')) AS x FROM d WHERE regexp_matches(t, '(?i)licen[cs]|SPDX|warrant|permission')),
-    f AS (SELECT DISTINCT rid, license FROM (SELECT rid, {digest('x')} AS digest FROM p WHERE regexp_matches(x, '(?i)licen[cs]|SPDX|warrant|permission')) JOIN k USING (digest)),
+    paragraphs = f"list_filter(list_transform(regexp_split_to_array(t, '\n[\\x20\\x09\\x0D]*\n'), lambda x: {digest('x')}), lambda x: x <> '{NOTHING}')"
+    return f"""WITH k AS MATERIALIZED (SELECT digest, license, paragraphs FROM (SELECT {digest('t')} AS digest, license, {paragraphs} AS paragraphs FROM (VALUES {values}) v(license, t)) QUALIFY row_number() OVER (PARTITION BY digest ORDER BY license, paragraphs) = 1),
+    d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    q AS MATERIALIZED (SELECT rid, {paragraphs} AS own FROM d),
+    p AS (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d),
+    f AS (SELECT rid, license FROM (SELECT rid, {digest('x')} AS digest FROM p UNION ALL SELECT rid, unnest(own) FROM q) JOIN k USING (digest)),
+    r AS (SELECT rid, license FROM (SELECT rid, own, unnest(range(1, len(own) + 1)) AS i FROM q) JOIN k ON len(paragraphs) > 1 AND own[i] = paragraphs[1] WHERE own[i : i + len(paragraphs) - 1] = paragraphs),
     w AS (SELECT rid, doc_id, digest, license FROM (SELECT rid, doc_id, {digest('t')} AS digest FROM d) LEFT JOIN k USING (digest)),
-    a AS (SELECT rid, count(*) AS n, string_agg(license, ',' ORDER BY license) AS ids FROM (SELECT rid, license FROM f UNION SELECT rid, license FROM w WHERE license IS NOT NULL) GROUP BY rid)
+    a AS (SELECT rid, count(*) AS n, string_agg(license, ',' ORDER BY license) AS ids FROM (SELECT rid, license FROM f UNION SELECT rid, license FROM r UNION SELECT rid, license FROM w WHERE license IS NOT NULL) GROUP BY rid)
     SELECT doc_id, digest, license, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(ids, '') AS licenses FROM w LEFT JOIN a USING (rid)"""

@@ -137,6 +137,7 @@ def test_licences(spark):
     assert got[3] == ("CC-BY-NC-4.0", ["CC-BY-NC-4.0"])
     assert got[4] == ("GPL-3.0", ["GPL-3.0"])
     assert got[5] == got[6] == got[7] == got[8] == (None, [])
+    assert got[9] == (None, ["Zlib"])
     assert got[10] == (None, ["Apache-2.0"])
 
 
@@ -153,6 +154,43 @@ def test_notices_inside_documents(spark):
     assert [r["licenses"] for r in licenses.scan(spark.createDataFrame([(1, "a\nDo as you like\nb")], "doc_id long, text string"), own).collect()] == [["Own"]]
 
 
+def plain_form(text):
+    """The canonical form, step by step."""
+    out = (text or "").translate(LOW)
+    for pattern, to in licenses.STEPS:
+        out = re.sub(pattern, to.replace("$2", r"\2").replace("$1", r"\1"), out, flags=re.A)
+    return out
+
+
+def plain_licences(text, known):
+    """Every line, every paragraph, and every row of paragraphs is compared with every known text."""
+    forms = {}
+    for k, t in sorted(known):
+        forms.setdefault(plain_form(t), (k, [f for f in map(plain_form, re.split(r"\n[ \t\r]*\n", t)) if f]))
+    parts = [text or "", *(text or "").split("\n"), *re.split(r"\n[ \t\r]*\n", text or "")]
+    found = {forms[f][0] for f in map(plain_form, parts) if f in forms}
+    own = [f for f in map(plain_form, re.split(r"\n[ \t\r]*\n", text or "")) if f]
+    for k, row in forms.values():
+        if len(row) > 1 and any(own[i : i + len(row)] == row for i in range(len(own))):
+            found.add(k)
+    whole = forms.get(plain_form(text))
+    return whole[0] if whole else None, sorted(found)
+
+
+def test_licences_against_every_part(spark, awkward):
+    known = licenses.known_texts()
+    texts = [t for _, t in known[:24]]
+    rng = __import__("random").Random(6)
+    rows = [r[1] for r in awkward_rows()]
+    for t in texts:
+        dressed = t.replace(". ", ".  ").replace("LIABLE", "liable")
+        rows += [t, f"Copyright 2020 X\n\n{dressed}", f"Some words.\n\n{dressed}\n \t\nAnd more.", f"Some words.\n{dressed}\nAnd more.", "\n\n".join(t.split("\n\n")[:-1] + ["between"] + t.split("\n\n")[-1:])]
+    rows += ["\n\n".join(rng.choice(texts) for _ in range(4)) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["licenses"]) for r in licenses.scan(docs).collect()}
+    assert got == {i: plain_licences(t, known) for i, t in enumerate(rows)}
+
+
 @pytest.mark.parametrize("run", [secret_scan.scan, licenses.scan, quality_rules.judge])
 def test_awkward_and_empty(run, awkward, nothing):
     assert by_id(run(awkward), "doc_id") == by_id(awkward, "doc_id")
