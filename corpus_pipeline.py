@@ -29,8 +29,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
-    return mixing.mix(docs)
+    """All documents, with the words that the mix takes of each (taken) and its first place in the mix (first_slot)."""
+    return mixing.mixed_rows(docs)
 
 
 STAGES = [("quality", good_quality), ("near_dup", without_copies), ("decontaminate", decontaminated), ("secrets", without_secrets), ("mix", mixed)]
