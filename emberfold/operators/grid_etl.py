@@ -102,12 +102,15 @@ def rejections(rows: DataFrame) -> DataFrame:
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def endpoints(lines: DataFrame) -> DataFrame:
-    """One row: end points (to four decimals), those that occur once, and their share."""
-    at = lambda i: F.array(*[F.round(F.get(F.element_at("points", i), F.lit(k)), 4) for k in (0, 1)])
-    ends = lines.where("size(points) >= 2").select(F.explode(F.array(at(1), at(-1))).alias("p"))
-    each = ends.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    got = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_ends"), F.count_if(F.col("n") == 1).alias("dangling"))
+def endpoints(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (of each ``by``): end points of every part (to four decimals), those that occur once, and their share.
+
+    ``lines`` has ``parts``: arrays of points (lon, lat), one of a line and several of a multi-line.
+    """
+    at = lambda i: F.array(*[F.round(F.get(F.element_at("part", i), F.lit(k)), 4) for k in (0, 1)])
+    ends = lines.select(*by, F.explode("parts").alias("part")).where("size(part) >= 2").select(*by, F.explode(F.array(at(1), at(-1))).alias("p"))
+    each = ends.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"))
+    got = each.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_ends"), F.count_if(F.col("n") == 1).alias("dangling"))
     return got.withColumn("share", F.round(F.when(F.col("n_ends") > 0, F.col("dangling") / F.col("n_ends")).otherwise(0.0), 6))
 
 
@@ -136,26 +139,46 @@ def key_sets(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.expr("o = 1 and f = 1")).alias("shared"), F.count_if(F.expr("o is null")).alias("only_new"), F.count_if(F.expr("f is null")).alias("only_old"))
 
 
-def collection_metrics(rows: DataFrame) -> DataFrame:
-    """One row of counts and ratios over features with (reason, key, power, kv, name, ref, operator, osm_timestamp, mismatch)."""
-    ok = F.col("reason") == "accepted"
-    line = ok & F.col("power").isin(*LINES)
+def collection_metrics(rows: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """One row of counts, ratios and gates_passed for each dataset of ``diagnostics``.
+
+    ``rows`` has (dataset, seq, valid, inside, reason, key, power, kv, kvs, mismatch, name, ref, operator, osm_timestamp,
+    parts), ``diagnostics`` what is known of the download: (dataset, partial, failed_requests, failed_listed, gap_tiles,
+    exceeded_tiles). Of features that share a key the first counts. A download of which it is not known whether it is
+    partial or had failures, or whose failed tiles are not listed, passes no gates.
+    """
+    valid, inside = F.coalesce("valid", F.lit(False)), F.coalesce("inside", F.lit(False))
+    seen = valid & inside
     full = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
-    ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
-    got = rows.agg(
-        F.count(F.lit(1)).alias("raw"), F.count_if(line).alias("lines"), F.count_if(ok & (F.col("power") == "substation")).alias("substations"),
+    ratio = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 6)
+    every = rows.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("raw"), F.count_if(~valid).alias("invalid"), F.count_if(valid & ~inside).alias("outside"),
+        F.count_if(seen & (F.size("kvs") == 0)).alias("parse_failures"), F.count_if(seen & F.coalesce("mismatch", F.lit(False))).alias("mismatches"), F.count_if(F.col("reason") == "accepted").alias("_ok"),
+    )
+    kept = rows.where("reason = 'accepted'").groupBy("dataset", "key").agg(F.min_by(F.struct("power", "kv", "name", "ref", "operator", "osm_timestamp", "parts"), "seq").alias("r")).select("dataset", "r.*")
+    line = F.col("power").isin(*LINES)
+    firsts = kept.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("_kept"), F.count_if(line).alias("lines"), F.count_if(F.col("power") == "substation").alias("substations"),
         F.count_if(line & (voltage_class(F.col("kv")) == "400")).alias("lines_400"), F.count_if(line & (voltage_class(F.col("kv")) == "154")).alias("lines_154"),
-        F.count_if(F.col("reason") == "outside-boundary").alias("outside"), F.count_if(F.col("reason") == "invalid-geometry").alias("invalid"),
-        (F.count_if(ok) - F.count_distinct(F.when(ok, F.col("key")))).alias("duplicates"), F.count_if("mismatch").alias("mismatches"),
-        F.count_if(line & full("name")).alias("named"), F.count_if(line & full("ref")).alias("referenced"), F.count_if(ok & full("osm_timestamp")).alias("timed"),
+        F.count_if(line & full("name")).alias("named"), F.count_if(line & full("ref")).alias("referenced"), F.count_if(line & full("operator")).alias("operated"), F.count_if(full("osm_timestamp")).alias("timed"),
     )
-    got = got.withColumns({"named_ratio": ratio(F.col("named"), F.col("lines")), "referenced_ratio": ratio(F.col("referenced"), F.col("lines")), "timed_ratio": ratio(F.col("timed"), F.col("raw"))})
-    return got.withColumn("gates_passed", F.expr("outside = 0 and invalid = 0 and duplicates = 0 and mismatches = 0"))
+    ends = endpoints(kept.where(line), ("dataset",)).select("dataset", "dangling", F.col("share").alias("dangling_ratio"))
+    told = diagnostics.withColumn("failures_known", F.col("failed_requests").isNotNull())
+    out = told.join(every, "dataset", "left").join(firsts, "dataset", "left").join(ends, "dataset", "left").fillna(0)
+    out = out.withColumns({"duplicates": F.col("_ok") - F.col("_kept"), "_parsed": F.col("_kept") - F.col("parse_failures")})
+    out = out.withColumns({f"{c}_ratio": ratio(c, "lines") for c in ("named", "referenced", "operated")} | {"timed_ratio": ratio("timed", "raw"), "parse_success_ratio": ratio("_parsed", "raw")})
+    known = F.expr("partial is not null and failures_known and failed_listed")
+    return out.withColumn("transparent", known).withColumn("gates_passed", F.expr("transparent and not partial and failed_requests = 0 and outside = 0 and invalid = 0 and duplicates = 0 and mismatches = 0 and gap_tiles = 0")).drop("_ok", "_kept", "_parsed", "failures_known")
 
 
-def choose(old: Column, new: Column, old_lines: Column, new_lines: Column) -> Column:
-    """Which of two gated sets is published: the larger one that passes its gates, the new one of equals, or none."""
-    return F.when(new & (~old | (new_lines >= old_lines)), "new").when(old, "old").otherwise("none")
+def choose(old: Column, new: Column) -> Column:
+    """Which of two gated sets is published: the fresh one if it passes its gates, else the existing one if that does, or none."""
+    return F.when(F.coalesce(new, F.lit(False)), "fresh").when(F.coalesce(old, F.lit(False)), "existing").otherwise("none")
+
+
+def choose_union(union: Column) -> Column:
+    """Where two providers complete one another, their union is published if it passes its gates."""
+    return F.when(F.coalesce(union, F.lit(False)), "validated-union").otherwise("none")
 
 
 def tiles(spark, west: float, south: float, east: float, north: float, step: float) -> DataFrame:
@@ -175,11 +198,19 @@ def split_tiles(df: DataFrame) -> DataFrame:
     return df.select(*rest, F.posexplode(kids).alias("child", "k")).select(*rest, "child", "k.*")
 
 
-def suspicious_empty(results: DataFrame, most: int = 3) -> DataFrame:
-    """Empty tiles (x, y, n = 0) with a busy neighbour that shares an edge: (x, y, neighbours, busiest)."""
+def suspicious_empty(results: DataFrame, share: float = 0.1, busy: int = 2, total: int = 20) -> DataFrame:
+    """Empty line tiles that their neighbours make doubtful: (x, y, busy, total).
+
+    ``results`` has the tiles of one aligned grid: kind, depth, x, y, n (what was found) and inside (the share of the tile
+    within the boundary, null without a boundary). Line tiles of depth 0 count alone. An empty one is doubtful if at least
+    ``busy`` of those that share an edge with it found something, ``total`` together, and ``share`` of it lies inside.
+    """
+    line = results.where("kind = 'line' and depth = 0")
     beside = F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])).alias("t")
-    near = results.where("n > 0").select("n", beside).select(F.col("t.x").alias("x"), F.col("t.y").alias("y"), "n")
-    return results.where("n = 0").select("x", "y").join(near, ["x", "y"]).groupBy("x", "y").agg(F.count(F.lit(1)).alias("neighbours"), F.max("n").alias("busiest")).where(F.col("busiest") >= most)
+    near = line.where("n > 0").select("n", beside).select(F.col("t.x").alias("x"), F.col("t.y").alias("y"), "n")
+    empty = line.where("n = 0").where(F.coalesce(F.col("inside") >= share, F.lit(True))).select("x", "y")
+    found = empty.join(near, ["x", "y"]).groupBy("x", "y").agg(F.count(F.lit(1)).alias("busy"), F.sum("n").alias("total"))
+    return found.where((F.col("busy") >= busy) & (F.col("total") >= total))
 
 
 def coverage(features: DataFrame, regions: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from emberfold.operators import grid_etl as G
 from emberfold.operators import series
 from emberfold.plans import tables as T
 from emberfold.plans.scalar import KVS
+from emberfold.runtime import settle, shared_folder
 from emberfold.streaming import detections as streams
 
 BOOK = T.Book()
@@ -70,22 +69,63 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ratio = lambda a, b: f"round(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END, 6)"
-_ok, _ln = "reason = 'accepted'", f"reason = 'accepted' AND power IN {_lines}"
+_ln = f"power IN {_lines}"
+#: What is known of each download.
+DOWNLOADS = (("mixed", False, 0, True, 0, 2), ("partial", True, 3, True, 1, 0), ("clean", False, 0, True, 0, 0), ("unknown", None, None, True, 0, 0), ("unlisted", False, 0, False, 0, 0), ("gaps", False, 0, True, 4, 0), ("nothing", False, 0, True, 0, 0))
+DATASET = "CASE WHEN seq % 8 = 0 THEN 'mixed' WHEN seq % 8 < 3 THEN 'partial' WHEN reason = 'accepted' AND seq < 700 THEN CASE seq % 8 WHEN 3 THEN 'clean' WHEN 4 THEN 'unknown' WHEN 5 THEN 'unlisted' ELSE 'gaps' END END"
+#: What a source says of the voltage beside the raw text, for some rows.
+TOLD_KV = "CASE WHEN seq % 8 < 3 AND seq % 11 = 0 THEN 66e0 END"
+
+
+def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _features(spark, sf_dir).withColumn("dataset", F.expr(DATASET)).where("dataset is not null")
+    raw = F.coalesce((F.col("voltage") != "") | (F.col("voltage_raw") != ""), F.lit(False))
+    told = F.expr(TOLD_KV)
+    mismatch = raw & told.isNotNull() & F.coalesce(F.abs(told - F.col("kv")) > 1e-9, F.lit(True))
+    # multi-lines of two parts, that begin at corners of a coarse grid
+    lo, la, k = F.col("lon"), F.col("lat"), (F.col("seq") % 3 + 1).cast("double") / 10
+    at = lambda x, y: F.array(x, y)
+    parts = F.array(F.array(at(F.round(lo, 1), F.round(la, 1)), at(lo, la), at(lo + k, la)), F.array(at(lo + k, la), at(lo + k, la + k)), F.array(at(lo, la)))
+    valid = F.col("seq") % 17 != 0
+    return rows.withColumns({"valid": valid, "inside": in_region(la, lo, T.REGION[:1]), "mismatch": mismatch, "parts": parts})
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame(DOWNLOADS, "dataset string, partial boolean, failed_requests long, failed_listed boolean, gap_tiles long, exceeded_tiles long")
+    return G.collection_metrics(_collections(spark, sf_dir), known)
+
+
+_known = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) if isinstance(x, (int, str)) else str(x) for x in r) + ")" for r in DOWNLOADS)
+_ends = ", ".join(f"(round({x}, 4), round({y}, 4))" for x, y in (("round(lon, 1)", "round(lat, 1)"), ("lon + k", "lat"), ("lon + k", "lat"), ("lon + k", "lat + k")))
+METRICS = f"""{FEAT}, g AS (SELECT *, {DATASET} AS dataset, seq % 17 <> 0 AS valid, {T.ring(T.REGION[0])} AS inside, (coalesce(voltage, '') <> '' OR coalesce(voltage_raw, '') <> '') AND {TOLD_KV} IS NOT NULL AND (kv IS NULL OR abs({TOLD_KV} - kv) > 1e-9) AS mismatch, (seq % 3 + 1) / 10 AS k FROM f),
+    w AS (SELECT * FROM (VALUES {_known}) v(dataset, partial, failed_requests, failed_listed, gap_tiles, exceeded_tiles)),
+    c AS (SELECT dataset, count(*) AS raw, count(*) FILTER (NOT valid) AS invalid, count(*) FILTER (valid AND NOT inside) AS outside, count(*) FILTER (valid AND inside AND len(kvs) = 0) AS parse_failures, count(*) FILTER (valid AND inside AND mismatch) AS mismatches, count(*) FILTER (reason = 'accepted') AS ok FROM g WHERE dataset IS NOT NULL GROUP BY dataset),
+    u AS MATERIALIZED (SELECT * FROM g WHERE reason = 'accepted' AND dataset IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dataset, key ORDER BY seq) = 1),
+    h AS (SELECT dataset, count(*) AS kept, count(*) FILTER ({_ln}) AS lines, count(*) FILTER (power = 'substation') AS substations, count(*) FILTER ({_ln} AND kv BETWEEN 300 AND 550) AS lines_400, count(*) FILTER ({_ln} AND kv >= 50 AND kv < 300) AS lines_154,
+      count(*) FILTER ({_ln} AND name <> '') AS named, count(*) FILTER ({_ln} AND ref <> '') AS referenced, count(*) FILTER ({_ln} AND operator <> '') AS operated, count(*) FILTER (osm_timestamp <> '') AS timed FROM u GROUP BY dataset),
+    e AS (SELECT dataset, p, count(*) AS n FROM (SELECT dataset, unnest([{_ends}]) AS p FROM u WHERE {_ln}) GROUP BY ALL),
+    d AS (SELECT dataset, count(*) FILTER (n = 1) AS dangling, round(count(*) FILTER (n = 1) / sum(n), 6) AS dangling_ratio FROM e GROUP BY dataset),
+    m AS (SELECT dataset, partial, failed_requests, failed_listed, gap_tiles, exceeded_tiles, {', '.join(f"coalesce({x}, 0) AS {x}" for x in 'raw invalid outside parse_failures mismatches lines substations lines_400 lines_154 named referenced operated timed dangling dangling_ratio'.split())}, coalesce(ok - kept, 0) AS duplicates, coalesce(kept, 0) - coalesce(parse_failures, 0) AS parsed FROM w LEFT JOIN c USING (dataset) LEFT JOIN h USING (dataset) LEFT JOIN d USING (dataset)),
+    met AS (SELECT * EXCLUDE (parsed, failed_requests), coalesce(failed_requests, 0) AS failed_requests, {_ratio('named', 'lines')} AS named_ratio, {_ratio('referenced', 'lines')} AS referenced_ratio, {_ratio('operated', 'lines')} AS operated_ratio, {_ratio('timed', 'raw')} AS timed_ratio, {_ratio('parsed', 'raw')} AS parse_success_ratio,
+      partial IS NOT NULL AND failed_requests IS NOT NULL AND failed_listed AS transparent, coalesce(partial IS NOT NULL AND failed_requests IS NOT NULL AND failed_listed AND NOT partial AND failed_requests = 0 AND outside = 0 AND invalid = 0 AND duplicates = 0 AND mismatches = 0 AND gap_tiles = 0, false) AS gates_passed FROM m)"""
+
+
+@BOOK.add("A22_A23_A27_collection", f"WITH {METRICS} SELECT * FROM met")
+def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics(spark, sf_dir)
 
 
-@BOOK.add(
-    "A22_A23_A27_collection",
-    f"WITH {FEAT}, a AS (SELECT count(*) AS raw, count(*) FILTER ({_ln}) AS lines, count(*) FILTER ({_ok} AND power = 'substation') AS substations, count(*) FILTER ({_ln} AND kv BETWEEN 300 AND 550) AS lines_400, count(*) FILTER ({_ln} AND kv >= 50 AND kv < 300) AS lines_154, count(*) FILTER (reason = 'outside-boundary') AS outside, "
-    f"count(*) FILTER (reason = 'invalid-geometry') AS invalid, count(*) FILTER ({_ok}) - count(DISTINCT key) FILTER ({_ok}) AS duplicates, count(*) FILTER (voltage <> '' AND explicit_kv IS NOT NULL) AS mismatches, count(*) FILTER ({_ln} AND name <> '') AS named, count(*) FILTER ({_ln} AND ref <> '') AS referenced, count(*) FILTER ({_ok} AND osm_timestamp <> '') AS timed FROM f) "
-    f"SELECT *, {_ratio('named', 'lines')} AS named_ratio, {_ratio('referenced', 'lines')} AS referenced_ratio, {_ratio('timed', 'raw')} AS timed_ratio, outside = 0 AND invalid = 0 AND duplicates = 0 AND mismatches = 0 AS gates_passed FROM a",
-)
-def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mismatch = F.coalesce((F.col("voltage") != "") & F.col("explicit_kv").isNotNull(), F.lit(False))
-    return G.collection_metrics(_features(spark, sf_dir).withColumn("mismatch", mismatch))
+@BOOK.add("A28_choose", f"WITH {METRICS} SELECT a.dataset AS existing, b.dataset AS fresh, CASE WHEN b.gates_passed THEN 'fresh' WHEN a.gates_passed THEN 'existing' ELSE 'none' END AS selected, CASE WHEN b.gates_passed THEN 'validated-union' ELSE 'none' END AS as_union FROM met a, met b")
+def choose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two of a handful of downloads, as the existing and the fresh one."""
+    met = settle(_metrics(spark, sf_dir).select("dataset", "gates_passed"))
+    old, new = met.toDF("existing", "old"), met.toDF("fresh", "new")
+    both = old.crossJoin(F.broadcast(new))
+    return both.select("existing", "fresh", G.choose(F.col("old"), F.col("new")).alias("selected"), G.choose_union(F.col("new")).alias("as_union"))
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.segments(spark, sf_dir).select(F.array(F.array("a_lon", "a_lat"), F.array("b_lon", "b_lat")).alias("points"))
+    return T.segments(spark, sf_dir).select(F.array(F.array(F.array("a_lon", "a_lat"), F.array("b_lon", "b_lat"))).alias("parts"))
 
 
 @BOOK.add(
@@ -130,13 +170,21 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.split_tiles(G.tiles(spark, 28.5, 36.9, 30.5, 38.9, 0.5)).withColumns({"x": F.col("x").cast("long"), "y": F.col("y").cast("long")})
 
 
-_tile = "SELECT CAST(floor(lon / 0.05) AS BIGINT) AS x, CAST(floor(lat / 0.05) AS BIGINT) AS y, count(*) FILTER (sub % 2 = 0) AS n FROM sub_ GROUP BY ALL"
+#: Downloads by tile of half a degree: some line tiles came back empty, some tiles lie mostly outside.
+TILES = ("x", "y", "CASE WHEN seq % 5 = 0 THEN 'point' ELSE 'line' END AS kind", "CASE WHEN seq % 40 = 1 THEN 1 ELSE 0 END AS depth", "CASE WHEN (x * 7 + y * 5) % 6 = 0 THEN 0 ELSE 1 END AS found")
+_tiles = f"t AS (SELECT kind, depth, x, y, CAST(sum(found) AS BIGINT) AS n, ((x + y) % 7) / 10e0 AS inside, x * 0.5e0 AS w, y * 0.5e0 AS s, x * 0.5e0 + 0.5e0 AS e, y * 0.5e0 + 0.5e0 AS nn FROM (SELECT {', '.join(TILES)} FROM (SELECT *, CAST(floor(lon / 0.5) AS BIGINT) AS x, CAST(floor(lat / 0.5) AS BIGINT) AS y FROM feat)) GROUP BY ALL), l AS (SELECT * FROM t WHERE kind = 'line' AND depth = 0)"
+_near = lambda a, b: f"abs({a} - {b}) <= 1e-8"
 
 
-@BOOK.add("J16_suspicious_tiles", f"WITH {T.B}, t AS ({_tile}) SELECT a.x, a.y, count(*) AS neighbours, max(b.n) AS busiest FROM t a JOIN t b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 AND b.n > 0 WHERE a.n = 0 GROUP BY ALL HAVING max(b.n) >= 1")
+@BOOK.add(
+    "J16_suspicious_tiles",
+    f"WITH {T.F_}, {_tiles}, p AS (SELECT a.x, a.y, b.n FROM l a JOIN l b ON (({_near('a.e', 'b.w')} OR {_near('b.e', 'a.w')}) AND least(a.nn, b.nn) - greatest(a.s, b.s) > 1e-8) OR (({_near('a.nn', 'b.s')} OR {_near('b.nn', 'a.s')}) AND least(a.e, b.e) - greatest(a.w, b.w) > 1e-8) WHERE a.n = 0 AND NOT a.inside < 0.1) "
+    "SELECT x, y, count(*) FILTER (n > 0) AS busy, CAST(sum(n) AS BIGINT) AS total FROM p GROUP BY ALL HAVING count(*) FILTER (n > 0) >= 2 AND sum(n) >= 20",
+)
 def suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = T.substations(spark, sf_dir).groupBy(F.floor(F.col("lon") / 0.05).alias("x"), F.floor(F.col("lat") / 0.05).alias("y")).agg(F.count_if(F.col("sub") % 2 == 0).alias("n"))
-    return G.suspicious_empty(got, 1)
+    at = T.features(spark, sf_dir).withColumns({"x": F.floor(F.col("lon") / 0.5), "y": F.floor(F.col("lat") / 0.5)})
+    found = at.selectExpr(*TILES).groupBy("kind", "depth", "x", "y").agg(F.sum("found").alias("n"))
+    return G.suspicious_empty(found.withColumn("inside", F.expr("((x + y) % 7) / 10e0")))
 
 
 @BOOK.add("J17_coverage", f"WITH {FEAT}, r AS (SELECT * FROM (VALUES ('west', 28.5, 36.9, 29.2, 38.9), ('north', 28.5, 38.2, 30.5, 38.9), ('sea', 10.0, 10.0, 11.0, 11.0)) v(region, w, s, e, n)) SELECT region, count(*) FILTER (power IN {_lines}) AS lines, count(*) FILTER (power = 'substation') AS substations FROM r LEFT JOIN f ON lon BETWEEN w AND e AND lat BETWEEN s AND n GROUP BY region")
@@ -151,12 +199,6 @@ def refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy(F.floor(F.col("x") / 2).alias("px"), F.floor(F.col("y") / 2).alias("py")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("children"))
 
 
-@BOOK.add("A28_choose", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND (p_size % 3 > 0 OR p_size >= 20) THEN 'new' WHEN p_size % 3 = 0 THEN 'old' ELSE 'none' END AS choice FROM part")
-def choose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size")
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", G.choose(size % 3 == 0, size % 2 == 0, F.lit(20), size).alias("choice"))
-
-
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations with 48 hourly values each, as arrays."""
     hours = F.sequence(F.lit(0), F.lit(47))
@@ -193,7 +235,7 @@ def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _replayed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
     """What a stream over the events makes when it is run to its end."""
-    folder = tempfile.mkdtemp(prefix="stream-", dir=None if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.checkpoint.dir"))
+    folder = shared_folder(spark, "stream")
     # a pattern, as a stream's path is a folder or a pattern
     stream = streams.read_files(spark, f"{sf_dir}/event[s].parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema).selectExpr(*T.DETECTIONS)
     stream = stream.withColumn("detected_at", F.to_timestamp("detected_at"))

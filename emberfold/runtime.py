@@ -4,20 +4,17 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a slim table (ids, short strings) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a reliable checkpoint in the folder that the session names.
-
-    Shuffle files of the work so far are dropped once the checkpoint is written: nothing reads them again.
-    """
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; only where it names none and all runs in one JVM, one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,6 +23,21 @@ def settle(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder that all executors share, below the checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by a reliable checkpoint in the folder that the session names.
+
+    Shuffle files of the work so far are dropped once the checkpoint is written: nothing reads them again.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
