@@ -62,6 +62,13 @@ def evidence_of(impacts: DataFrame, asset: str) -> DataFrame:
     return impacts.where((F.col("line_asset_key") == asset) & F.col("evidence_det").isNotNull()).orderBy(F.desc("risk"), "event").limit(1).select("event", "evidence_det", "evidence_km", "risk")
 
 
+def evidence_of_lines(impacts: DataFrame) -> DataFrame:
+    """The evidence for every line: of the event with the highest risk, the first of equals."""
+    rows = impacts.where(F.col("line_asset_key").isNotNull() & F.col("evidence_det").isNotNull())
+    best = rows.groupBy("line_asset_key").agg(F.max_by(F.struct("event", "evidence_det", "evidence_km", "risk"), F.struct("risk", -F.col("event"))).alias("b"))
+    return best.select("line_asset_key", "b.*")
+
+
 def violations(layer: DataFrame, country: str, rings: Sequence) -> DataFrame:
     """One row of counts that are all 0 for a publishable layer (asset_id, country, grid_class, kv, lat, lon, label_source)."""
     expected = F.when(F.col("kv").between(300, 550), "400").when((F.col("kv") >= 50) & (F.col("kv") < 300), "154")

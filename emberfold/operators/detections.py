@@ -69,6 +69,12 @@ def valid(df: DataFrame, rings: Sequence | None = None, drop_zero: bool = False)
     return df.where(ok & (F.col("lat") != 0) & (F.col("lon") != 0)) if drop_zero else df.where(ok)
 
 
+def at_least(df: DataFrame, threshold: float, unknown: bool) -> DataFrame:
+    """Rows whose power reaches a threshold above 0; those of unknown power stay if ``unknown``."""
+    enough = F.col("frp") >= threshold
+    return df.where(F.coalesce(enough, F.lit(unknown))) if threshold > 0 else df
+
+
 def identity_key() -> Column:
     """Country, product, satellite, minute and place to four decimals."""
     place = lambda c: F.coalesce((F.floor(F.col(c) * 10_000 + 0.5) / 10_000.0).cast("decimal(12,4)").cast("string"), F.lit(""))

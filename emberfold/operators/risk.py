@@ -13,13 +13,16 @@ from emberfold.runtime import settle
 
 
 def analyze_detections(dets: DataFrame, segs: DataFrame, subs: DataFrame, km: float = 25.0, near_km: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nearest assets of each det with distance and band; the lines within ``near_km``; the substations within ``near_km``."""
-    lines, places = settle(spatial.by_asset(spatial.line_hits(dets, segs, km))), spatial.point_hits(dets, subs, km)
-    near = dets.select("det").join(spatial.nearest_line(lines), "det", "left").join(spatial.nearest_place(places), "det", "left")
+    """Nearest assets of each det with distance and band; the lines within ``near_km``; the substations within ``near_km``.
+
+    The nearest are searched in rings up to ``km``; the lists look no farther than they reach.
+    """
+    close = min(near_km, km)
+    near = dets.select("det").join(spatial.nearest_lines(dets, segs, km), "det", "left").join(spatial.nearest_places(dets, subs, km), "det", "left")
     near = near.withColumn("min_km", F.least("line_km", "sub_km"))
     near = near.withColumn("band", R.impact_band(F.col("min_km")))
-    close_subs = places.where(F.col("km") <= near_km).groupBy("det", "sub").agg(F.min("km").alias("km"))
-    return near, spatial.lines_within(lines, min(near_km, km)), close_subs
+    close_subs = spatial.point_hits(dets, subs, close).groupBy("det", "sub").agg(F.min("km").alias("km"))
+    return near, settle(spatial.lines_within(spatial.line_hits(dets, segs, close), close)), close_subs
 
 
 def evidence_order(dist: Column, confidence: Column, frp: Column, ms: Column, key: Column) -> Column:
@@ -39,20 +42,21 @@ def analyze_events(members: DataFrame, events: DataFrame, segs: DataFrame, subs:
     cols = ["line_km", "line_sid", "line_asset_key", "line_grid_class", "line_mid_lat", "line_mid_lon", "sub_km", "sub", "sub_lat", "sub_lon", "min_km"]
     best = near.groupBy("event").agg(F.min_by(F.struct(*cols), F.struct(F.coalesce("min_km", F.lit(float("inf"))), F.col("ms"), F.col("det"))).alias("b")).select("event", "b.*")
 
-    counts_l = lines.join(own.select("det", "event"), "det").groupBy("event").agg(F.count_distinct("asset_key").alias("n_lines"))
-    counts_s = places.join(own.select("det", "event"), "det").groupBy("event").agg(F.count_distinct("sub").alias("n_subs"))
+    counts_l = lines.join(own.select("det", "event"), "det").groupBy("event").agg(F.sort_array(F.collect_set("asset_key")).alias("lines"))
+    counts_s = places.join(own.select("det", "event"), "det").groupBy("event").agg(F.sort_array(F.collect_set("sub")).alias("subs"))
 
     air = spatial.nearest_sample(events.withColumnRenamed("event", "_e"), wind, "_e", ("speed", "direction")).withColumnRenamed("_e", "event")
     blown = events.join(air, "event", "left").withColumn("downwind", F.pmod(F.col("direction") + 180, F.lit(360.0)))
     blown = blown.withColumn("corridor_km", F.when(F.col("direction").isNotNull(), R.corridor_km(F.col("max_frp"), F.col("speed"))))
     asked = blown.select("event", "lat", "lon", F.col("downwind").alias("direction"), F.col("corridor_km").alias("reach"))
-    down_l = spatial.lines_in_sector(asked, segs, R.HALF_ANGLE, R.MAX_KM).groupBy("event").agg(F.count(F.lit(1)).alias("down_lines"))
-    down_s = spatial.places_in_sector(asked, subs, R.HALF_ANGLE, R.MAX_KM).groupBy("event").agg(F.count(F.lit(1)).alias("down_subs"))
+    down_l = spatial.lines_in_sector(asked, segs, R.HALF_ANGLE, R.MAX_KM).groupBy("event").agg(F.sort_array(F.collect_set("asset_key")).alias("lines_down"))
+    down_s = spatial.places_in_sector(asked, subs, R.HALF_ANGLE, R.MAX_KM).groupBy("event").agg(F.sort_array(F.collect_set("sub")).alias("subs_down"))
 
     out = blown.join(best, "event", "left")
     for extra in (counts_l, counts_s, down_l, down_s):
         out = out.join(extra, "event", "left")
-    out = out.fillna(0, ["n_lines", "n_subs", "down_lines", "down_subs"])
+    # the keys of an event's assets, as many as lie within its few kilometres
+    out = out.withColumns({n: F.coalesce(F.size(c), F.lit(0)).cast("long") for n, c in (("n_lines", "lines"), ("n_subs", "subs"), ("down_lines", "lines_down"), ("down_subs", "subs_down"))})
     by_line = F.col("line_km").isNotNull() & (F.col("sub_km").isNull() | (F.col("line_km") <= F.col("sub_km")))
     out = out.withColumn("asset_kind", F.when(by_line, "line").when(F.col("sub_km").isNotNull(), "substation"))
     asset = F.when(by_line, F.when(F.col("line_grid_class") == "400", 10).otherwise(7)).when(F.col("sub_km").isNotNull(), 10).otherwise(0)
@@ -62,6 +66,7 @@ def analyze_events(members: DataFrame, events: DataFrame, segs: DataFrame, subs:
     wind_score = F.when(F.col("downwind").isNull(), 0).when(off <= 35, 8).when(off <= 60, 4).when(any_down, 3).otherwise(0)
     age = R.age_hours(F.col("latest_ms"), F.lit(float(as_of_ms)))
     score = R.risk_score(R.distance_score(F.col("min_km")), R.frp_score(F.col("max_frp")), R.age_score(age), asset, wind_score)
+    out = out.withColumn("aligned", F.coalesce(F.col("downwind").isNotNull() & (off <= 35), F.lit(False)))
     out = out.withColumns({"age_hours": age, "band": R.impact_band(F.col("min_km")), "asset_score": asset, "wind_score": wind_score, "risk": score})
     out = out.withColumn("risk_band", R.risk_band(F.col("risk")))
 
@@ -69,7 +74,7 @@ def analyze_events(members: DataFrame, events: DataFrame, segs: DataFrame, subs:
     named = best.where("line_asset_key is not null").select("event", F.col("line_asset_key").alias("asset_key"))
     cand = lines.join(own, "det").join(named, ["event", "asset_key"])
     order = evidence_order(F.col("km"), F.col("confidence"), F.col("frp"), F.col("ms"), F.col("key"))
-    seen = cand.groupBy("event").agg(F.min_by(F.struct("det", "km"), order).alias("e")).select("event", F.col("e.det").alias("evidence_det"), F.col("e.km").alias("evidence_km"))
+    seen = cand.groupBy("event").agg(F.min_by(F.struct("det", "km", "sid"), order).alias("e")).select("event", F.col("e.det").alias("evidence_det"), F.col("e.km").alias("evidence_km"), F.col("e.sid").alias("evidence_sid"))
     return out.join(seen, "event", "left")
 
 
@@ -84,6 +89,11 @@ def risky_substations(impacts: DataFrame, km: float = 5.0) -> DataFrame:
 
 
 def kpis(impacts: DataFrame, least: int = 35) -> DataFrame:
-    """One row: events by risk band, and the assets of those at ``least`` or above."""
-    bands = [F.count_if(F.col("risk_band") == b).alias(b) for _, b in R.RISK_BANDS]
-    return impacts.agg(*bands, F.count_distinct("line_asset_key").alias("lines"), F.count_distinct("sub").alias("subs"), F.sum(F.when(F.col("risk") >= least, F.col("down_lines")).otherwise(0)).alias("down_lines"))
+    """One row: events by risk band; distinct lines and substations near any event; those downwind of an event of ``least`` or above."""
+    bands = impacts.agg(*[F.count_if(F.col("risk_band") == b).alias(b) for _, b in R.RISK_BANDS])
+    kinds = {"lines": F.col("lines"), "subs": F.col("subs"), "down_lines": F.when(F.col("risk") >= least, F.col("lines_down")), "down_subs": F.when(F.col("risk") >= least, F.col("subs_down"))}
+    none = F.array().cast("array<string>")
+    named = lambda kind, keys: F.transform(F.coalesce(keys.cast("array<string>"), none), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    keyed = [named(kind, keys) for kind, keys in kinds.items()]
+    each = impacts.select(F.explode(F.concat(*keyed)).alias("k")).select("k.kind", "k.key").distinct()
+    return bands.crossJoin(each.agg(*[F.count_if(F.col("kind") == n).alias(n) for n in kinds]))

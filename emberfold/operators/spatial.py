@@ -3,16 +3,27 @@
 Places are put into square cells, lines into every cell that they pass, and a point looks into the cells around it: an
 equi-join on cells with the distance as a rest condition. What is found in several cells is found several times, so
 that results are always aggregated by minima, which repeats do not change.
+
+The nearest is searched in rings: all points look a little way first, in small cells, and only those that found nothing
+look farther. Lines and places are tables of assets, far smaller than the points; up to a size that is checked their
+cells are broadcast, so that no cell with many points is one task's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfold.functions.geo import angle_diff, bearing_deg, haversine_km, segment_nearest
+from emberfold.runtime import settle, small
 
 CELL = 0.5
+#: Each ring of a search is so many times as wide as the one before.
+WIDER, RINGS = 4.0, 3
+#: Samples that every point looks at.
+LATTICE = 1_000
 
 
 def cells(df: DataFrame, west: Column, south: Column, east: Column, north: Column, size: float = CELL) -> DataFrame:
@@ -61,7 +72,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def line_hits(points: DataFrame, segs: DataFrame, km: float, size: float | None = None) -> DataFrame:
     """(det, lat, lon, sid, asset_key, grid_class, km, near_lat, near_lon, mid_lat, mid_lon) of segments within ``km``, with repeats."""
     size = size or cell_for(km)
-    hits = around(spread(points.select("det", "lat", "lon"), "det"), km, size).join(segment_cells(segs, size), ["cx", "cy"])
+    hits = around(spread(points.select("det", "lat", "lon"), "det"), km, size).join(small(segment_cells(segs, size)), ["cx", "cy"])
     d, la, lo = segment_nearest(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     mid = [((F.col(f"a_{x}") + F.col(f"b_{x}")) / 2).alias(f"mid_{x}") for x in ("lat", "lon")]
     return hits.select("det", "lat", "lon", "sid", "asset_key", "grid_class", d.alias("km"), la.alias("near_lat"), lo.alias("near_lon"), *mid).where(F.col("km") <= km)
@@ -71,16 +82,38 @@ def point_hits(points: DataFrame, places: DataFrame, km: float, size: float | No
     """(det, sub, km, sub_lat, sub_lon) of ``places`` (sub, lat, lon) within ``km``."""
     size = size or cell_for(km)
     there = place_cells(places, size).select("cx", "cy", "sub", F.col("lat").alias("sub_lat"), F.col("lon").alias("sub_lon"))
-    hits = around(spread(points.select("det", "lat", "lon"), "det"), km, size).join(there, ["cx", "cy"])
+    hits = around(spread(points.select("det", "lat", "lon"), "det"), km, size).join(small(there), ["cx", "cy"])
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("sub_lat"), F.col("sub_lon"))
     return hits.select("det", "sub", d.alias("km"), "sub_lat", "sub_lon").where(F.col("km") <= km)
 
 
-def by_asset(hits: DataFrame) -> DataFrame:
-    """The nearest segment of each line to each det, in the columns of ``hits``: what both nearest and near lines are made of."""
-    rest = ("grid_class", "near_lat", "near_lon", "mid_lat", "mid_lon")
-    best = hits.groupBy("det", "asset_key").agg(F.min(F.struct("km", "sid", *rest)).alias("b"))
-    return best.select("det", "asset_key", "b.km", "b.sid", *[f"b.{c}" for c in rest])
+def in_rings(points: DataFrame, search: Callable[[DataFrame, float], DataFrame], km: float) -> DataFrame:
+    """What ``search`` (points, radius) finds for each det: within the smallest of RINGS radii up to ``km`` in which it finds anything.
+
+    A hit within a radius is nearer than anything beyond it, so that the nearest of the found ones is the nearest of all.
+    """
+    found, left = None, points
+    for ring in range(RINGS):
+        radius = km / WIDER ** (RINGS - 1 - ring)
+        got = settle(search(left, radius))
+        found = got if found is None else found.unionByName(got)
+        if ring < RINGS - 1:
+            left = settle(left.join(got.select("det"), "det", "left_anti"))
+            if not left.head(1):
+                break
+    return found
+
+
+def nearest_lines(points: DataFrame, segs: DataFrame, km: float) -> DataFrame:
+    """``nearest_line`` of each det (det, lat, lon) that has one within ``km``."""
+    points, segs = settle(points.select("det", "lat", "lon")), settle(segs)
+    return in_rings(points, lambda left, radius: nearest_line(line_hits(left, segs, radius)), km)
+
+
+def nearest_places(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
+    """``nearest_place`` of each det (det, lat, lon) that has one within ``km``."""
+    points, places = settle(points.select("det", "lat", "lon")), settle(places)
+    return in_rings(points, lambda left, radius: nearest_place(point_hits(left, places, radius)), km)
 
 
 def nearest_line(hits: DataFrame) -> DataFrame:
@@ -106,6 +139,27 @@ def _in_sector(lat: Column, lon: Column, to_lat: Column, to_lon: Column, directi
     return F.when((d <= reach) & (d >= 0.05) & (off <= half), F.struct(off.alias("off"), d.alias("km"), b.alias("bearing")))
 
 
+def sector_cells(events: DataFrame, half: float, most_km: float, size: float) -> DataFrame:
+    """``events`` (lat, lon, direction, reach) with a row for each cell that the box of its sector touches.
+
+    The box spans the event itself, both ends of the arc, and the arc's point due north, east, south or west where the
+    sector has it. A tenth is added to the reach for the difference between sphere and plane.
+    """
+    reach = F.least(F.col("reach"), F.lit(most_km)) * 1.1 + 0.5
+    ways = [F.col("direction") - half - 1, F.col("direction") + half + 1]
+    ahead = [F.when(angle_diff(F.col("direction"), F.lit(float(w))) <= half + 1, 1.0).otherwise(0.0) for w in (0, 90, 180, 270)]
+    north = [F.cos(F.radians(w)) for w in ways]
+    east = [F.sin(F.radians(w)) for w in ways]
+    dy = reach / 110.5
+    dx = reach / (111.1 * F.greatest(F.lit(0.05), F.cos(F.radians(F.abs("lat") + dy))))
+    zero = F.lit(0.0)
+    return cells(
+        events,
+        F.col("lon") + dx * F.least(zero, *east, -ahead[3]), F.col("lat") + dy * F.least(zero, *north, -ahead[2]),
+        F.col("lon") + dx * F.greatest(zero, *east, ahead[1]), F.col("lat") + dy * F.greatest(zero, *north, ahead[0]), size,
+    )
+
+
 def lines_in_sector(events: DataFrame, segs: DataFrame, half: float, most_km: float, size: float | None = None) -> DataFrame:
     """(event, asset_key, km, bearing) of lines in the sector of each event (event, lat, lon, direction, reach).
 
@@ -113,8 +167,8 @@ def lines_in_sector(events: DataFrame, segs: DataFrame, half: float, most_km: fl
     nearest such segment.
     """
     size = size or cell_for(most_km)
-    asked = around(spread(events.where("direction is not null"), "event"), most_km, size)
-    hits = asked.join(segment_cells(segs, size), ["cx", "cy"])
+    asked = sector_cells(spread(events.where("direction is not null"), "event"), half, most_km, size)
+    hits = asked.join(small(segment_cells(segs, size)), ["cx", "cy"])
     see = lambda la, lo: _in_sector(F.col("lat"), F.col("lon"), la, lo, F.col("direction"), F.col("reach"), half)
     a, b = see(F.col("a_lat"), F.col("a_lon")), see(F.col("b_lat"), F.col("b_lon"))
     mid = see((F.col("a_lat") + F.col("b_lat")) / 2, (F.col("a_lon") + F.col("b_lon")) / 2)
@@ -126,7 +180,7 @@ def lines_in_sector(events: DataFrame, segs: DataFrame, half: float, most_km: fl
 def places_in_sector(events: DataFrame, places: DataFrame, half: float, most_km: float, size: float | None = None) -> DataFrame:
     size = size or cell_for(most_km)
     there = place_cells(places, size).select("cx", "cy", "sub", F.col("lat").alias("sub_lat"), F.col("lon").alias("sub_lon"))
-    hits = around(spread(events.where("direction is not null"), "event"), most_km, size).join(there, ["cx", "cy"])
+    hits = sector_cells(spread(events.where("direction is not null"), "event"), half, most_km, size).join(small(there), ["cx", "cy"])
     hit = _in_sector(F.col("lat"), F.col("lon"), F.col("sub_lat"), F.col("sub_lon"), F.col("direction"), F.col("reach"), half)
     hits = hits.withColumn("hit", hit).where("hit is not null")
     best = hits.groupBy("event", "sub").agg(F.min(F.struct("hit.km", "hit.bearing")).alias("b"))
@@ -134,11 +188,27 @@ def places_in_sector(events: DataFrame, places: DataFrame, half: float, most_km:
 
 
 def nearest_sample(points: DataFrame, samples: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """Each point with the nearest of a bounded table of ``samples`` (sample, lat, lon, ...), which is broadcast.
+    """Each point with the nearest of ``samples`` (sample, lat, lon, ...).
 
-    Model samples are a lattice of fixed size, so that every point looks at all of them.
+    Model samples are a lattice of a few hundred places, of which every point looks at all, in one broadcast array; beyond
+    LATTICE samples points look in rings up to half the earth's circumference.
     """
-    s = samples.select("sample", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), *columns)
-    d = haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
-    best = points.select(key, "lat", "lon").crossJoin(F.broadcast(s)).groupBy(key).agg(F.min(F.struct(d.alias("sample_km"), "sample", *columns)).alias("b"))
-    return best.select(key, "b.*")
+    s = settle(samples.select("sample", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), *columns))
+    if s.limit(LATTICE + 1).count() > LATTICE:
+        there = s.select(F.col("sample").alias("sub"), F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon"))
+        asked = settle(points.select(F.col(key).alias("det"), "lat", "lon"))
+        found = None
+        radius, left = 50.0, asked
+        while found is None or left.head(1):
+            got = settle(nearest_place(point_hits(left, there, radius)))
+            found = got if found is None else found.unionByName(got)
+            left = settle(left.join(got.select("det"), "det", "left_anti"))
+            radius *= WIDER
+            if radius > 20_100:
+                break
+        best = found.select(F.col("det").alias(key), F.col("sub_km").alias("sample_km"), F.col("sub").alias("sample"))
+        return best.join(s.select("sample", *columns), "sample").select(key, "sample_km", "sample", *columns)
+    all_ = s.agg(F.collect_list(F.struct("sample", "s_lat", "s_lon", *columns)).alias("all"))
+    d = lambda x: haversine_km(F.col("lat"), F.col("lon"), x["s_lat"], x["s_lon"])
+    best = F.array_min(F.transform("all", lambda x: F.struct(d(x).alias("sample_km"), x["sample"].alias("sample"), *[x[c].alias(c) for c in columns])))
+    return points.select(key, "lat", "lon").crossJoin(F.broadcast(all_)).select(key, best.alias("b")).where("b is not null").select(key, "b.*")

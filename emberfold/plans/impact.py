@@ -31,7 +31,7 @@ def _members(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, events = _members(spark, sf_dir)
-    return risk.analyze_events(members, events.select("event", "lat", "lon", "max_frp", "latest_ms", "n"), T.segments(spark, sf_dir), T.substations(spark, sf_dir), T.wind(spark, sf_dir), T.AS_OF_MS)
+    return risk.analyze_events(members, events.select("event", "lat", "lon", "max_frp", "sum_frp", "latest", "earliest", "latest_ms", "n"), T.segments(spark, sf_dir), T.substations(spark, sf_dir), T.wind(spark, sf_dir), T.AS_OF_MS)
 
 
 # the same in SQL: clusters of recent detections, their assets, wind, corridor, score and evidence
@@ -91,7 +91,7 @@ def risky_substations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add(
     "A18_kpis",
-    f"WITH RECURSIVE {IMPACT} SELECT count(*) FILTER (risk >= 75) AS critical, count(*) FILTER (risk BETWEEN 55 AND 74) AS high, count(*) FILTER (risk BETWEEN 35 AND 54) AS medium, count(*) FILTER (risk < 35) AS watch, count(DISTINCT asset_key) AS lines, count(DISTINCT sub) AS subs, CAST(sum(CASE WHEN risk >= 35 THEN down_lines ELSE 0 END) AS BIGINT) AS down_lines FROM imp",
+    f"WITH RECURSIVE {IMPACT} SELECT count(*) FILTER (risk >= 75) AS critical, count(*) FILTER (risk BETWEEN 55 AND 74) AS high, count(*) FILTER (risk BETWEEN 35 AND 54) AS medium, count(*) FILTER (risk < 35) AS watch, (SELECT count(DISTINCT lh.asset_key) FROM lh JOIN mn USING (det) WHERE lh.km <= 10) AS lines, (SELECT count(DISTINCT sh.sub) FROM sh JOIN mn USING (det) WHERE sh.km <= 10) AS subs, (SELECT count(DISTINCT sec.asset_key) FROM sec JOIN imp USING (event) WHERE imp.risk >= 35 AND {T.off('sec.direction', 'way')} <= 22 AND km <= sec.reach AND km >= 0.05) AS down_lines, (SELECT count(DISTINCT ssec.sub) FROM ssec JOIN imp USING (event) WHERE imp.risk >= 35 AND {T.off('ssec.direction', 'way')} <= 22 AND km <= ssec.reach AND km >= 0.05) AS down_subs FROM imp",
 )
 def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.kpis(impacts(spark, sf_dir))
@@ -102,14 +102,6 @@ def impact_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.csv_lines(impacts(spark, sf_dir).withColumnRenamed("line_asset_key", "line"), ("event", "n", "asset_kind", "line", "risk", "risk_band"))
 
 
-@BOOK.add("K3_geojson_features", f"WITH {T.R} SELECT 'detection' AS kind, count(*) AS n, count(*) AS points FROM recent")
-def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many features of each kind, and how many are points when they are read again."""
-    made = sinks.point_features(T.recent(spark, sf_dir), "detection", ("det", "frp"))
-    shape = F.get_json_object("feature", "$.geometry.type")
-    return made.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(shape == "Point").alias("points"))
-
-
 @BOOK.add("Z1_min_slice", f"WITH {NEAR} SELECT det, frp, round(least(nl.km, ns.km), 6) AS min_km, CASE WHEN least(nl.km, ns.km) IS NOT NULL THEN {_steps('least(nl.km, ns.km)', R.IMPACT_BANDS, 'low')} END AS band FROM recent LEFT JOIN nl USING (det) LEFT JOIN ns USING (det) WHERE frp >= {THRESHOLD}")
 def min_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each strong recent detection with its nearest asset."""
@@ -191,14 +183,14 @@ def environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.crossJoin(T.wind(spark, sf_dir).agg(F.max("speed").alias("max_wind"), F.max_by("sample", "speed").alias("windiest")))
 
 
-@BOOK.add("J11_evidence_exists", f"WITH {T.R}, {T.S} SELECT DISTINCT asset_key FROM seg WHERE EXISTS (SELECT 1 FROM recent WHERE recent.det % 2000 = seg.sid)")
+@BOOK.add("J11_evidence_exists", f"WITH {T.ALL}, {T.S} SELECT DISTINCT asset_key FROM seg WHERE EXISTS (SELECT 1 FROM recent WHERE recent.det % 3 = 0 AND recent.det * 7 % 4001 = seg.sid)")
 def evidence_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that a recent detection names: a semi-join on keys."""
-    named = T.recent(spark, sf_dir).select((F.col("det") % 2000).alias("sid"))
+    """Lines that one of a family's detections names: a semi-join on keys."""
+    named = T.detections(spark, sf_dir).where("det % 3 = 0").select((F.col("det") * 7 % 4001).alias("sid"))
     return T.segments(spark, sf_dir).join(named, "sid", "left_semi").select("asset_key").distinct()
 
 
-@BOOK.add("M10_centre_shift", f"WITH {T.R} SELECT det, {T.hav('lat', 'lon', '37.9e0', '29.5e0')} > 2 AS shifted FROM recent")
+@BOOK.add("M10_centre_shift", f"WITH {T.ALL} SELECT det, {T.hav('lat', 'lon', '37.9e0', '29.5e0')} > 2 AS shifted FROM recent")
 def centre_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Is the place more than two kilometres from a centre (the warning beside evidence)."""
-    return T.recent(spark, sf_dir).select("det", (haversine_km(F.col("lat"), F.col("lon"), F.lit(37.9), F.lit(29.5)) > 2).alias("shifted"))
+    return T.detections(spark, sf_dir).select("det", (haversine_km(F.col("lat"), F.col("lon"), F.lit(37.9), F.lit(29.5)) > 2).alias("shifted"))

@@ -43,7 +43,7 @@ _score = f"least(100, greatest(0, floor({_steps(_km, risk.DISTANCE_SCORES, 0)} +
 
 
 @BOOK.add(
-    "M12_M26_risk_scalars",
+    "M12_M20_M25_risk_scalars",
     f"WITH {T.D} SELECT det, {_steps(_km, risk.IMPACT_BANDS, 'low')} AS band, CAST({_corridor} AS DOUBLE) AS corridor, {_q6(_age, 'age')}, CAST({_steps(_age, ((3, 0.95), (12, 0.75), (24, 0.5)), 0.28)} AS DOUBLE) AS opacity, "
     f"CAST({_score} AS INT) AS score, CASE WHEN {_score} >= 75 THEN 'critical' WHEN {_score} >= 55 THEN 'high' WHEN {_score} >= 35 THEN 'medium' ELSE 'watch' END AS score_band, "
     "['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][CAST(floor((det % 360) / 45e0 + 0.5) AS INT) % 8 + 1] AS wind_name, CASE WHEN frp >= 100 THEN 4 WHEN frp >= 50 THEN 3 WHEN frp >= 20 THEN 2 WHEN frp >= 5 THEN 1 ELSE 0 END AS frp_class, "
@@ -101,7 +101,7 @@ _class = lambda k: f"CASE WHEN {k} BETWEEN 300 AND 550 THEN '400' WHEN {k} >= 50
 
 
 @BOOK.add(
-    "V1_V6_voltage",
+    "V1_V5_voltage",
     f"WITH {T.F_}, v AS (SELECT *, {KVS} AS kvs FROM feat) SELECT seq, array_to_string(list_transform(kvs, lambda k: CAST(k AS VARCHAR)), ';') AS kvs, {_top} AS kv, {_class(_top)} AS grid_class FROM v",
 )
 def voltages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ _d, _h, _m = f"{_mins} // 1440", f"({_mins} % 1440) // 60", f"{_mins} % 60"
 
 
 @BOOK.add(
-    "T1_T9_time",
+    "T1_T3_T4_T6_T8_T9_time",
     f"WITH {T.D} SELECT det, strftime(detected_at, '%Y-%m-%d') AS day, CASE WHEN {_mins} < 1 THEN '<1min' WHEN {_d} > 0 THEN concat({_d}, 'd', CASE WHEN {_h} > 0 THEN concat(' ', {_h}, 'h') ELSE '' END) WHEN {_h} > 0 THEN concat({_h}, 'h', CASE WHEN {_m} > 0 THEN concat(' ', {_m}, 'min') ELSE '' END) ELSE concat({_m}, 'min') END AS age, "
     "floor(ms / 600000) * 600000 AS slot, strftime(detected_at, '%d.%m. %H:%M') AS short, concat('2024-01-05T', substr(lpad(CAST(det % 2400 AS VARCHAR), 4, '0'), 1, 2), ':', substr(lpad(CAST(det % 2400 AS VARCHAR), 4, '0'), 3), ':00Z') AS acquired, date_trunc('hour', detected_at) AS hour FROM det_",
 )

@@ -68,15 +68,15 @@ def feature_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dets.first_by(rows, F.col("fid"), F.col("seq"), ("fid", "seq", "kind"))
 
 
-@BOOK.add("P1_P5_region", f"WITH {T.R} SELECT det, {T.inside()} AS inside FROM recent")
+@BOOK.add("P1_P5_region", f"WITH {T.ALL} SELECT det, {T.inside()} AS inside FROM recent")
 def region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.recent(spark, sf_dir).select("det", in_region(F.col("lat"), F.col("lon"), T.REGION).alias("inside"))
+    return T.detections(spark, sf_dir).select("det", in_region(F.col("lat"), F.col("lon"), T.REGION).alias("inside"))
 
 
-@BOOK.add("P6_P9_filters", f"WITH {T.R} SELECT det, frp, detected_at FROM recent WHERE {T.inside()} AND (frp IS NULL OR frp >= 30)")
+@BOOK.add("P6_P8_filters", f"WITH {T.R} SELECT det, frp, detected_at FROM recent WHERE {T.inside()} AND (frp IS NULL OR frp >= 30)")
 def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dets.valid(T.recent(spark, sf_dir), T.REGION)
-    return rows.where("frp is null or frp >= 30").select("det", "frp", "detected_at")
+    return dets.at_least(rows, 30.0, unknown=True).select("det", "frp", "detected_at")
 
 
 @BOOK.add("F11_sensor_family", "SELECT s_suppkey, CASE s_suppkey % 7 WHEN 0 THEN 'viirs-modis' WHEN 1 THEN 'slstr' WHEN 2 THEN 'slstr' WHEN 3 THEN 'mtg' WHEN 4 THEN 'own' WHEN 5 THEN 'slstr' ELSE 'unknown' END AS family FROM supplier")
@@ -98,18 +98,18 @@ HITS = f"{T.R}, {T.S}, {T.B}, lh AS (SELECT det, sid, asset_key, grid_class, {SE
 NEAR = f"{HITS}, nl AS (SELECT * FROM lh WHERE km <= 25 QUALIFY row_number() OVER (PARTITION BY det ORDER BY km, sid) = 1), ns AS (SELECT * FROM sh WHERE km <= 25 QUALIFY row_number() OVER (PARTITION BY det ORDER BY km, sub) = 1)"
 
 
-@BOOK.add("J1_nearest_assets", f"WITH {NEAR} SELECT det, CAST(nl.sid AS VARCHAR) AS sid, nl.asset_key, round(nl.km, 6) AS line_km, round(nl.near_lat, 6) AS near_lat, round(nl.near_lon, 6) AS near_lon, CAST(ns.sub AS VARCHAR) AS sub, round(ns.km, 6) AS sub_km FROM recent LEFT JOIN nl USING (det) LEFT JOIN ns USING (det)")
+@BOOK.add("J1_nearest_assets", f"WITH {NEAR.replace(T.R, T.ALL)} SELECT det, CAST(nl.sid AS VARCHAR) AS sid, nl.asset_key, round(nl.km, 6) AS line_km, round(nl.near_lat, 6) AS near_lat, round(nl.near_lon, 6) AS near_lon, CAST(ns.sub AS VARCHAR) AS sub, round(ns.km, 6) AS sub_km FROM recent LEFT JOIN nl USING (det) LEFT JOIN ns USING (det)")
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = T.recent(spark, sf_dir)
-    line = spatial.nearest_line(spatial.line_hits(points, T.segments(spark, sf_dir), 25.0))
-    sub = spatial.nearest_place(spatial.point_hits(points, T.substations(spark, sf_dir), 25.0))
+    points = T.detections(spark, sf_dir)
+    line = spatial.nearest_lines(points, T.segments(spark, sf_dir), 25.0)
+    sub = spatial.nearest_places(points, T.substations(spark, sf_dir), 25.0)
     out = points.select("det").join(line, "det", "left").join(sub, "det", "left")
     return out.select("det", F.col("line_sid").cast("string").alias("sid"), F.col("line_asset_key").alias("asset_key"), r6(F.col("line_km"), "line_km"), r6(F.col("line_near_lat"), "near_lat"), r6(F.col("line_near_lon"), "near_lon"), F.col("sub").cast("string").alias("sub"), r6(F.col("sub_km"), "sub_km"))
 
 
-@BOOK.add("J2_assets_within", f"WITH {HITS} SELECT det, asset_key, round(min(km), 6) AS km FROM lh WHERE km <= 10 GROUP BY ALL")
+@BOOK.add("J2_assets_within", f"WITH {HITS.replace(T.R, T.ALL)} SELECT det, asset_key, round(min(km), 6) AS km FROM lh WHERE km <= 10 GROUP BY ALL")
 def within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = spatial.line_hits(T.recent(spark, sf_dir), T.segments(spark, sf_dir), 10.0)
+    hits = spatial.line_hits(T.detections(spark, sf_dir), T.segments(spark, sf_dir), 10.0)
     return spatial.lines_within(hits, 10.0).select("det", "asset_key", r6(F.col("km"), "km"))
 
 
@@ -118,11 +118,11 @@ _sec = lambda la, lo, i: f"SELECT det, sid, asset_key, {T.hav('lat', 'lon', la,
 
 @BOOK.add(
     "J3_sector",
-    f"WITH {T.R}, {T.S}, p AS ({_sec('a_lat', 'a_lon', 0)} UNION ALL {_sec('b_lat', 'b_lon', 1)} UNION ALL {_sec('(a_lat + b_lat) / 2', '(a_lon + b_lon) / 2', 2)}), h AS (SELECT *, {T.off('dir', 'bearing')} AS o FROM p), "
+    f"WITH {T.ALL}, {T.S}, p AS ({_sec('a_lat', 'a_lon', 0)} UNION ALL {_sec('b_lat', 'b_lon', 1)} UNION ALL {_sec('(a_lat + b_lat) / 2', '(a_lon + b_lon) / 2', 2)}), h AS (SELECT *, {T.off('dir', 'bearing')} AS o FROM p), "
     "s AS (SELECT det, sid, asset_key, arg_min(km, (o, km)) AS km FROM h WHERE o <= 22 AND km <= reach AND km >= 0.05 GROUP BY ALL) SELECT det AS event, asset_key, round(min(km), 6) AS km FROM s GROUP BY ALL",
 )
 def sector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = T.recent(spark, sf_dir).selectExpr("det AS event", "lat", "lon", "CAST(det * 37 % 360 AS DOUBLE) AS direction", "10e0 + det % 21 AS reach")
+    events = T.detections(spark, sf_dir).selectExpr("det AS event", "lat", "lon", "CAST(det * 37 % 360 AS DOUBLE) AS direction", "10e0 + det % 21 AS reach")
     return spatial.lines_in_sector(events, T.segments(spark, sf_dir), 22.0, 30.0).select("event", "asset_key", r6(F.col("km"), "km"))
 
 
@@ -184,9 +184,9 @@ def multi_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return association.multi_sensor_metrics(association.association_events(association.associate(_observations(spark, sf_dir))))
 
 
-@BOOK.add("J6_nearest_wind", f"WITH {T.R}, {T.W} SELECT det, sample, round(km, 6) AS km FROM (SELECT det, sample, {T.hav('recent.lat', 'recent.lon', 'wind_.lat', 'wind_.lon')} AS km FROM recent, wind_) QUALIFY row_number() OVER (PARTITION BY det ORDER BY km, sample) = 1")
+@BOOK.add("J6_nearest_wind", f"WITH {T.ALL}, {T.W} SELECT det, sample, round(km, 6) AS km FROM (SELECT det, sample, {T.hav('recent.lat', 'recent.lon', 'wind_.lat', 'wind_.lon')} AS km FROM recent, wind_) QUALIFY row_number() OVER (PARTITION BY det ORDER BY km, sample) = 1")
 def nearest_wind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = spatial.nearest_sample(T.recent(spark, sf_dir), T.wind(spark, sf_dir), "det", ("speed", "direction"))
+    got = spatial.nearest_sample(T.detections(spark, sf_dir), T.wind(spark, sf_dir), "det", ("speed", "direction"))
     return got.select("det", "sample", r6(F.col("sample_km"), "km"))
 
 

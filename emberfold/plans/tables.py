@@ -103,6 +103,8 @@ class Book:
 _cte = lambda name, columns, table: f"{name} AS (SELECT {', '.join(columns)} FROM {table})"
 D = _cte("det_", (*DETECTIONS, "epoch_us(ts) / 1e3 AS ms"), "events")
 R = D + f", recent AS (SELECT * FROM det_ WHERE ms BETWEEN {AS_OF_MS - 86_400_000} AND {AS_OF_MS})"
+#: All detections by the name of the recent ones.
+ALL = D + ", recent AS (SELECT * FROM det_)"
 S = _cte("seg", SEGMENTS, "part")
 B = _cte("sub_", SUBSTATIONS, "supplier")
 W = _cte("wind_", WIND, "nation")
