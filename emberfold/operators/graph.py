@@ -7,19 +7,36 @@ from pyspark.sql import functions as F
 
 from emberfold.runtime import settle
 
+#: Edges of a node up to which it is joined as one key, and nodes above it that are broadcast as a table of hubs.
+DEGREE, HUBS = 1_000, 100_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, sides: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (u, v) with the least neighbour m of u by ``sides`` (u, v), and the table (u, m).
+
+    A node with many edges is joined in several shares, which its neighbours' hashes deal out. Of ``count`` edges with two
+    ends each, at most HUBS nodes have more than the degree from which a node is split.
+    """
+    most = max(DEGREE, 2 * count // HUBS)
+    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    shares = F.expr(f"cast((n + {most - 1}) div {most} as int)")
+    hubs = least.where(F.col("n") > most).select("u", shares.alias("shares"))
+    dealt = edges.join(F.broadcast(hubs), "u", "left").select("u", "v", F.pmod(F.hash("v"), F.coalesce("shares", F.lit(1))).alias("share"))
+    spread = least.select("u", "m", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    return dealt.join(spread, ["u", "share"]).select("u", "v", "m"), least.select("u", "m")
+
+
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    far = both.where("v > u").join(least, "u")
-    return far.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # what lies above u goes to the least of u and its neighbours
+    far, _ = _with_least(both.where("v > u"), both, count)
+    return far.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, count: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    near = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return near.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    near, least = _with_least(down, down, count)
+    return near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -30,18 +47,21 @@ def _sign(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v): the component is its smallest node.
 
-    A node's neighbours are never gathered: minima are aggregated (combined before the shuffle) and joined back, so a
-    star with a third of all nodes is split like any skewed join. Loops and repeated edges are ignored, an empty table
-    gives an empty table. The loop ends when a pair of rounds changes nothing.
+    A node's neighbours are never gathered: minima are aggregated (combined before the shuffle) and joined back, a node with
+    many neighbours in shares. Loops and repeated edges are ignored, an empty table gives an empty table. The loop ends when
+    a pair of rounds changes nothing, or at once when all edges form stars around their components' smallest nodes.
     """
     now = settle(edges.select("u", "v").where("u <> v").distinct())
-    last = None
+    last = _sign(now)
     for _ in range(rounds):
+        if not last[0]:
+            break
+        now = settle(_large_star(now, last[0]))
+        now = settle(_small_star(now, last[0]))
         sign = _sign(now)
-        if sign == last or not sign[0]:
+        if sign == last:
             break
         last = sign
-        now = settle(_small_star(settle(_large_star(now))))
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a slim table (ids, short strings) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which a table whose rows hold arrays or texts is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -49,12 +51,13 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, weigh: Column | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; otherwise as it is, for a shuffled join.
+    """``df`` marked for broadcast if it is small enough; otherwise as it is, for a shuffled join.
 
-    ``weigh`` is what a row counts for, where rows hold arrays: with it the sum is bounded. Call it on settled or
-    otherwise cheap tables: without ``weigh`` it counts up to ``rows + 1`` rows, with it all of them.
+    Small is at most ``rows`` rows of a few short columns. Where rows hold arrays or texts, ``weigh`` is the bytes of one, and
+    the sum is at most BROADCAST_BYTES. Call it on settled or otherwise cheap tables: without ``weigh`` it counts up to
+    ``rows + 1`` rows, with it all of them.
     """
     if weigh is None:
         return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-    total = df.agg(F.sum(weigh)).first()[0]
-    return F.broadcast(df) if (total or 0) <= rows else df
+    n, total = df.agg(F.count(F.lit(1)), F.sum(weigh)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= BROADCAST_BYTES else df
