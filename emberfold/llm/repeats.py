@@ -38,13 +38,13 @@ SPAN = LEAST - GRAM + 1  # grams in a window
 #: Bytes of text in a task whose runs are compared before they are dealt out.
 AHEAD = 8 << 20
 #: Runs of an anchor go to one of so many parts for each shuffle partition (and LEAST_PARTS at least), which Spark deals out.
-#: A task settles its parts one after the other.
-SHARE, LEAST_PARTS = 4, 1 << 10
-#: Runs that a task holds of a part before equal ones are put together, and windows that it sorts at once.
-HELD, SORTED = 1_000_000, 200_000
+#: A task settles a few parts at a time.
+SHARE, LEAST_PARTS = 16, 1 << 12
+#: Runs for which a task takes parts together, runs of one part that it holds before equal ones are put together, and windows that it sorts at once.
+TOGETHER, HELD, SORTED = 100_000, 1_000_000, 200_000
 LAST = (1 << 63) - 1
 #: Anchors with about so many runs are split; they are counted in one of SAMPLE texts.
-CROWD, SAMPLE, MOST_SPLIT = 20_000, 8, 1 << 18
+CROWD, SAMPLE, MOST_SPLIT = 4_000, 8, 1 << 18
 ANCHOR = np.uint64((1 << 56) - 1)
 
 
@@ -215,7 +215,7 @@ def _deal(batches: Iterator[pd.DataFrame], bits: int, crowded: np.ndarray | None
 
 
 def _equal_runs(held: list[np.ndarray]) -> tuple[pd.DataFrame, list[np.ndarray], np.ndarray]:
-    """Of a part's columns in the order of WIDTHS: runs that a smaller document has as well, as removed; the others, sorted by anchor, run and doc; where an anchor's next run begins."""
+    """Of the columns of whole parts in the order of WIDTHS: runs that a smaller document has as well, as removed; the others, sorted by anchor, run and doc; where an anchor's next run begins."""
     anchor, run, doc, twin, first, n = held
     order = np.lexsort((doc, run, anchor))
     new, leader = _leaders([anchor, run], doc, order)
@@ -227,7 +227,7 @@ def _equal_runs(held: list[np.ndarray]) -> tuple[pd.DataFrame, list[np.ndarray],
 def _settle_runs(batches: Iterator[pd.DataFrame], crowded: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
     """Of rows in the order of parts: removed runs (null anchor), and runs that must be looked at (with their anchor).
 
-    One part is held at a time, and of its equal runs those of the smallest document so far.
+    Parts are settled when they are whole; of the equal runs of a large one, only those of the smallest document so far are held.
     """
     # what a crowded anchor has elsewhere isn't known here
     split = np.zeros(0, np.int64) if crowded is None else crowded
@@ -256,7 +256,7 @@ def _settle_runs(batches: Iterator[pd.DataFrame], crowded: np.ndarray | None = N
                 cols = [_unplanes(getattr(r, k), r.size, WIDTHS[k]).astype(np.int64) for k in ("doc", "twin", "first")]
                 yield pd.DataFrame({"doc": cols[0], "twin": cols[1], "anchor": pd.array([None] * r.size, "Int64"), "first": cols[2], "n": n})
                 continue
-            if held and r.part != part:
+            if r.part != part and size >= TOGETHER:
                 yield from flush()
                 held, size, most = [], 0, HELD
             part = r.part

@@ -177,6 +177,7 @@ def test_previous_factors():
 def test_parts_in_pieces(spark, monkeypatch, held):
     """The result is the same however few runs of a part, and windows of a spot, a task holds."""
     monkeypatch.setattr(repeats, "HELD", held)
+    monkeypatch.setattr(repeats, "TOGETHER", held)
     monkeypatch.setattr(repeats, "SORTED", held)
     monkeypatch.setattr(repeats, "AHEAD", 3000)
     docs = passages()
