@@ -126,7 +126,8 @@ def _similar(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     sets = _sets(docs, ids, n)
     u = sets.select(F.col("doc_id").alias("u"), F.col("items").alias("a"))
     v = sets.select(F.col("doc_id").alias("v"), F.col("items").alias("b"))
-    out = pairs.join(u, "u").join(v, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("both"), F.size("a").alias("na"), F.size("b").alias("nb"))
+    # pairs are slim, and many can share their v, so that sets come to them there; what has grown wide is dealt out by u
+    out = pairs.join(v, "v").join(u, "u").select("u", "v", F.size(F.array_intersect("a", "b")).alias("both"), F.size("a").alias("na"), F.size("b").alias("nb"))
     return out.select("u", "v", "both", (F.col("na") + F.col("nb") - F.col("both")).alias("either"))
 
 
