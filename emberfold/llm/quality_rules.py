@@ -129,8 +129,9 @@ def judge(docs: DataFrame, rules: dict[str, tuple[str, str]] | None = None, keep
     votes = settle(measure(docs, keep).withColumn("base_failed", failed).withColumns({f"vote_{r}": vote(*rules[r]) for r in names}))
     ballots = [f"vote_{r}" for r in names]
     # documents that fail the fixed rules would be all that the model finds to be bad
-    patterns = settle(votes.where("not base_failed").groupBy(*ballots).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
-    odds = learn(patterns, ballots)
+    patterns = settle(votes.where("not base_failed").groupBy(*ballots).agg(F.count(F.lit(1)).alias("n")))
+    # three to the number of rules at most, once they are counted
+    odds = learn(settle(patterns.coalesce(1)), ballots)
     out = votes.withColumn("posterior", 1 / (1 + F.exp(-F.expr(odds))))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
 
