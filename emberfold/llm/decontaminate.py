@@ -53,14 +53,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     sizes = [r[0] for r in grams.select(F.least("length", F.lit(shingle)).alias("k")).distinct().collect()]
     asked = small(grams.select("gram").distinct())
 
-    def sized(k: int) -> Column:
-        return let(item_words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), shingle_hashes(w, k).alias("grams")))
+    def hashed(words: Column) -> Column:
+        """Position and hash of the shingles of every size that windows have."""
+        return F.flatten(F.array(*[F.transform(shingle_hashes(words, k), lambda g, i: F.struct(i.alias("pos"), g.alias("gram"))) for k in sorted(sizes)]))
 
     seen = None
-    for k in sorted(sizes):
-        each = docs.select(_key(F.col("text")).alias("key"), sized(k).alias("s"))
-        each = each.select("key", F.col("s.n").alias("n"), F.posexplode("s.grams").alias("pos", "gram")).join(asked, "gram")
-        seen = each if seen is None else seen.unionByName(each)
+    if sizes:
+        each = docs.select(_key(F.col("text")).alias("key"), let(item_words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), hashed(w).alias("grams"))).alias("s"))
+        seen = each.select("key", F.col("s.n").alias("n"), F.inline("s.grams")).join(asked, "gram")
     if seen is None:
         none = docs.select("doc_id", _key(F.col("text")).alias("key"), F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
         return none.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "contaminated": F.lit(False)})
@@ -76,7 +76,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     near = settle(near)
 
     # only texts with candidates are read as words again
-    rows = docs.select("doc_id", "text", _key(F.col("text")).alias("key")).join(small(near, weigh=F.size("near")), "key", "left")
+    rows = docs.select("doc_id", "text", _key(F.col("text")).alias("key")).join(small(near, weigh=F.aggregate("near", F.lit(64), lambda a, x: a + F.octet_length(x["window"]) + 48)), "key", "left")
     sure = lambda w: F.filter(F.sort_array("near"), lambda c: F.array_join(F.slice(w, c["start"] + 1, c["stop"] - c["start"]), " ") == c["window"])
     told = let(item_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), let(sure(w), lambda s: F.struct(covered(s).alias("n_hit"), F.array_distinct(F.transform(s, lambda x: x["window"])).alias("windows"))).alias("s")))
     n = F.size(item_words(F.col("text"))).cast("long")
@@ -84,7 +84,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     rows = settle(rows.select("doc_id", "key", F.coalesce("t.n_words", "n_words").alias("n_words"), F.coalesce("t.s.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.col("t.s.windows").alias("windows")))
     items = rows.where("n_hit > 0").select("key", F.explode("windows").alias("window")).distinct().join(small(owned), "window")
     items = items.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    out = rows.drop("windows").join(small(settle(items), weigh=F.size("items")), "key", "left")
+    out = rows.drop("windows").join(small(settle(items), weigh=F.octet_length(F.array_join("items", ",")) + F.size("items") * 24 + 64), "key", "left")
     return out.withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": F.col("n_hit") > 0})
 
 

@@ -212,8 +212,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     within = F.exists(F.sequence(F.lit(1), F.size("own") - n + 1), lambda i: F.slice("own", i, n) == F.col("paragraphs"))
     rowed = near.join(full, "key").where(F.size("own") >= n).where(within).groupBy("key").agg(F.collect_set("license").alias("rowed"))
     whole = known.select("digest", F.col("license").alias("whole"))
-    out = rows.join(small(whole), "digest", "left").join(small(settle(found), weigh=F.size("parts") + F.size("found")), "parts", "left")
-    out = out.join(small(settle(rowed), weigh=F.size("rowed") + 1), "key", "left")
+    out = rows.join(small(whole), "digest", "left").join(small(settle(found), weigh=F.size("parts") * 48 + F.size("found") * 32 + 64), "parts", "left")
+    out = out.join(small(settle(rowed), weigh=F.size("rowed") * 32 + 64), "key", "left")
     none = F.array().cast("array<string>")
     mine = F.when(F.col("whole").isNull(), none).otherwise(F.array("whole"))
     licenses = F.sort_array(F.array_union(F.array_union(mine, F.coalesce("found", none)), F.coalesce("rowed", none)))

@@ -88,7 +88,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     met = met.groupBy("key", "start", "rank", "stop", "role").agg(F.bool_or(F.col("other") == "identifier").alias("id"), F.bool_or(F.col("other") == "secret").alias("secret"))
     sure = met.where("(role = 'secret' and id) or (role = 'identifier' and secret) or (role = 'endpoint' and id and secret)")
     sure = settle(sure.groupBy("key").agg(F.collect_list(F.struct("start", "rank", "stop")).alias("more")))
-    out = rows.join(small(sure, weigh=F.size("more")), "key", "left")
+    out = rows.join(small(sure, weigh=F.size("more") * 32 + 64), "key", "left")
     more = F.coalesce("more", F.array().cast(SPAN))
     return out.select("doc_id", "key", "base", F.sort_array(F.concat("base", more)).alias("spans"))
 
@@ -103,7 +103,7 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span replaced by HIDDEN (spans that touch or overlap as one), and n_chars brought up to date."""
     spans = settle(scan(docs, scope).where(F.size("spans") > 0).select(F.col("key").alias("_text_digest"), F.col("spans").alias("_found_spans")).dropDuplicates(["_text_digest"]))
     text = F.col("text")
-    rows = docs.withColumn("_text_digest", F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))).join(small(spans, weigh=F.size("_found_spans")), "_text_digest", "left")
+    rows = docs.withColumn("_text_digest", F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))).join(small(spans, weigh=F.size("_found_spans") * 32 + 64), "_text_digest", "left")
 
     def merge(a: Column, s: Column) -> Column:
         last = F.get(a, F.size(a) - 1)
