@@ -185,11 +185,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a[0], 0.1)), float(a[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 20_000, landmarks: int = 240, seed: int = 7) -> Machine | float:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 20_000, landmarks: int = 240, clean_words: int = 3000, seed: int = 7) -> Machine | float:
     """Fit on about ``sample`` toxic and as many clean texts of ``docs`` that ``labels`` (doc_id, toxic) marks.
 
     Ids are drawn from ``labels`` first, so that texts are never shuffled. ``sample`` texts a class of at most
-    ``longest`` characters bound what the driver holds. Returns the share of toxic rows instead, if one of the classes
+    ``longest`` characters bound what the driver holds, ``clean_words`` drawn words of clean texts what the machine starts
+    from. Returns the share of toxic rows instead, if one of the classes
     is missing.
     """
     good = labels.where(F.col("toxic").isin(0, 1))
@@ -215,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 2
     contrast = {w: (t * ratio + 0.1) / (c + 1.0) for w, (c, t) in seen.items()}
     rng = np.random.default_rng(seed)
     clean = sorted(w for w, (c, _) in seen.items() if c)
-    clean = [clean[i] for i in rng.choice(len(clean), min(3000, len(clean)), replace=False)] if clean else []
+    clean = [clean[i] for i in rng.choice(len(clean), min(clean_words, len(clean)), replace=False)] if clean else []
     toxic_bags = [b for b, x in zip(bags, label, strict=True) if x == 1 and b]
     clean_bags = [b for b, x in zip(bags, label, strict=True) if x == 0 and b]
     if not toxic_bags:
