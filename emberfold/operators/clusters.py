@@ -9,6 +9,10 @@ from emberfold.functions.geo import haversine_km
 from emberfold.functions.numbers import confidence_weight
 from emberfold.operators.graph import components
 from emberfold.operators.spatial import around, place_cells
+from emberfold.runtime import settle
+
+#: Links between cells up to which one task merges them.
+ALONE = 200_000
 
 
 def close_pairs(dets: DataFrame, km: float = 5.0, hours: float = 6.0) -> DataFrame:
@@ -27,9 +31,24 @@ def close_pairs(dets: DataFrame, km: float = 5.0, hours: float = 6.0) -> DataFra
 
 
 def cluster(dets: DataFrame, km: float = 5.0, hours: float = 6.0) -> DataFrame:
-    """``dets`` with ``cluster``, the smallest det that links reach."""
-    found = components(close_pairs(dets, km, hours))
-    return dets.join(found.select(F.col("node").alias("det"), "component"), "det", "left").withColumn("cluster", F.coalesce("component", "det")).drop("component")
+    """``dets`` with ``cluster``, the smallest det that links reach.
+
+    Whatever shares a cell whose diagonal is below ``km``, and a step of ``hours``, is linked. Its smallest det stands for
+    it, so that a site with many detections makes no pairs within itself; links are looked for between cells alone.
+    """
+    size, step = km / 158.0, hours * 3_600_000
+    placed = place_cells(dets.where("ms is not null and lat is not null and lon is not null").select("det", "lat", "lon", "ms"), size).withColumn("slot", F.floor(F.col("ms") / step))
+    cell = ["cx", "cy", "slot"]
+    placed = settle(placed.join(placed.groupBy(*cell).agg(F.min("det").alias("rep")), cell))
+    own = [F.col(c).alias(f"own_{c}") for c in cell]
+    left = around(placed.select("det", "rep", "lat", "lon", "ms", *own), km, size)
+    left = left.withColumn("slot", F.explode(F.sequence(F.col("own_slot") - 1, F.col("own_slot") + 1))).where("cx <> own_cx or cy <> own_cy or slot <> own_slot")
+    right = placed.select(*cell, *[F.col(c).alias(f"v_{c}") for c in ("det", "rep", "lat", "lon", "ms")])
+    near = haversine_km(F.col("lat"), F.col("lon"), F.col("v_lat"), F.col("v_lon")) <= km
+    both = left.join(right, cell).where((F.col("det") < F.col("v_det")) & (F.abs(F.col("ms") - F.col("v_ms")) <= step) & near)
+    found = components(both.select(F.col("rep").alias("u"), F.col("v_rep").alias("v")), alone=ALONE)
+    told = placed.select("det", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("det", F.coalesce("component", "rep").alias("cluster"))
+    return dets.join(told.groupBy("det").agg(F.min("cluster").alias("cluster")), "det", "left").withColumn("cluster", F.coalesce("cluster", "det"))
 
 
 def summarize(members: DataFrame) -> DataFrame:
