@@ -75,17 +75,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     near = near.groupBy("key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("stop"), "window")).alias("near"))
     near = settle(near)
 
-    # only texts with candidates are read as words again
-    rows = docs.select("doc_id", "text", _key(F.col("text")).alias("key")).join(small(near, weigh=F.aggregate("near", F.lit(64), lambda a, x: a + F.octet_length(x["window"]) + 48)), "key", "left")
+    # only texts with candidates move, and each of them once; what is found comes to the documents by the texts' digests
+    texts = docs.select(_key(F.col("text")).alias("key"), "text").join(small(near.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    size = F.aggregate("near", F.lit(64), lambda a, x: a + F.octet_length(x["window"]) + 48)
     sure = lambda w: F.filter(F.sort_array("near"), lambda c: F.array_join(F.slice(w, c["start"] + 1, c["stop"] - c["start"]), " ") == c["window"])
-    told = let(item_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), let(sure(w), lambda s: F.struct(covered(s).alias("n_hit"), F.array_distinct(F.transform(s, lambda x: x["window"])).alias("windows"))).alias("s")))
-    n = F.size(item_words(F.col("text"))).cast("long")
-    rows = rows.select("doc_id", "key", F.when(F.col("near").isNotNull(), told).alias("t"), F.when(F.col("near").isNull(), n).alias("n_words"))
-    rows = settle(rows.select("doc_id", "key", F.coalesce("t.n_words", "n_words").alias("n_words"), F.coalesce("t.s.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.col("t.s.windows").alias("windows")))
-    items = rows.where("n_hit > 0").select("key", F.explode("windows").alias("window")).distinct().join(small(owned), "window")
-    items = items.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    out = rows.drop("windows").join(small(settle(items), weigh=F.octet_length(F.array_join("items", ",")) + F.size("items") * 24 + 64), "key", "left")
-    return out.withColumns({"items": F.coalesce("items", F.array().cast("array<string>")), "contaminated": F.col("n_hit") > 0})
+    told = let(item_words(F.col("text")), lambda w: let(sure(w), lambda s: F.struct(covered(s).alias("n_hit"), F.array_distinct(F.transform(s, lambda x: x["window"])).alias("windows"))))
+    hits = settle(texts.join(small(near, weigh=size), "key").select("key", told.alias("t")).select("key", "t.n_hit", "t.windows").where("n_hit > 0"))
+    items = hits.select("key", "n_hit", F.explode("windows").alias("window")).join(small(owned), "window")
+    items = items.select("key", "n_hit", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key", "n_hit").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    rows = docs.select("doc_id", _key(F.col("text")).alias("key"), F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
+    out = rows.join(small(settle(items), weigh=F.octet_length(F.array_join("items", ",")) + F.size("items") * 24 + 64), "key", "left")
+    return out.select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
