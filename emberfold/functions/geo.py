@@ -39,9 +39,14 @@ def destination(lat: Column, lon: Column, bearing: Column, km: Column) -> tuple[
     return F.degrees(to), lon + F.degrees(east)
 
 
+def km_per_lon(lat: Column) -> Column:
+    """Kilometres of a degree of longitude at a latitude, in the flat approximation."""
+    return KM_LON * F.cos(F.radians(lat))
+
+
 def segment_nearest(lat: Column, lon: Column, a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column) -> tuple[Column, Column, Column]:
     """(km, lat, lon) of the point of a segment that is nearest to a point, in the flat approximation around that point."""
-    kx = KM_LON * F.cos(F.radians(lat))
+    kx = km_per_lon(lat)
     ax, ay, bx, by = (a_lon - lon) * kx, (a_lat - lat) * KM_LAT, (b_lon - lon) * kx, (b_lat - lat) * KM_LAT
     dx, dy = bx - ax, by - ay
     den = dx * dx + dy * dy

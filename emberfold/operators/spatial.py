@@ -11,12 +11,13 @@ cells are broadcast, so that no cell with many points is one task's.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberfold.functions.geo import angle_diff, bearing_deg, haversine_km, segment_nearest
+from emberfold.functions.geo import KM_LAT, angle_diff, bearing_deg, haversine_km, km_per_lon
 from emberfold.runtime import settle, small
 
 CELL = 0.5
@@ -69,13 +70,30 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, whatever is built on them.
+
+    The optimizer writes an alias out wherever it is used, so that long formulas grow into methods too large to be compiled.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def line_hits(points: DataFrame, segs: DataFrame, km: float, size: float | None = None) -> DataFrame:
-    """(det, lat, lon, sid, asset_key, grid_class, km, near_lat, near_lon, mid_lat, mid_lon) of segments within ``km``, with repeats."""
+    """(det, lat, lon, sid, asset_key, grid_class, km, near_lat, near_lon, mid_lat, mid_lon) of segments within ``km``, with repeats.
+
+    The distance is that of ``segment_nearest``, step by step.
+    """
     size = size or cell_for(km)
-    hits = around(spread(points.select("det", "lat", "lon"), "det"), km, size).join(small(segment_cells(segs, size)), ["cx", "cy"])
-    d, la, lo = segment_nearest(F.col("lat"), F.col("lon"), F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    asked = spread(points.select("det", "lat", "lon", km_per_lon(F.col("lat")).alias("kx")), "det")
+    c = F.col
+    hits = around(asked, km, size).join(small(segment_cells(segs, size)), ["cx", "cy"])
+    hits = fixed(hits, ax=(c("a_lon") - c("lon")) * c("kx"), ay=(c("a_lat") - c("lat")) * KM_LAT, dx=(c("b_lon") - c("a_lon")) * c("kx"), dy=(c("b_lat") - c("a_lat")) * KM_LAT)
+    hits = fixed(hits, den=c("dx") * c("dx") + c("dy") * c("dy"))
+    hits = fixed(hits, t=F.when(c("den") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(c("ax") * c("dx") + c("ay") * c("dy")) / c("den")))).otherwise(0.0))
+    hits = fixed(hits, x=c("ax") + c("t") * c("dx"), y=c("ay") + c("t") * c("dy"))
+    hits = hits.withColumn("km", F.sqrt(c("x") * c("x") + c("y") * c("y"))).where(c("km") <= km)
     mid = [((F.col(f"a_{x}") + F.col(f"b_{x}")) / 2).alias(f"mid_{x}") for x in ("lat", "lon")]
-    return hits.select("det", "lat", "lon", "sid", "asset_key", "grid_class", d.alias("km"), la.alias("near_lat"), lo.alias("near_lon"), *mid).where(F.col("km") <= km)
+    return hits.select("det", "lat", "lon", "sid", "asset_key", "grid_class", "km", (c("lat") + c("y") / KM_LAT).alias("near_lat"), (c("lon") + c("x") / c("kx")).alias("near_lon"), *mid)
 
 
 def point_hits(points: DataFrame, places: DataFrame, km: float, size: float | None = None) -> DataFrame:
@@ -133,10 +151,14 @@ def lines_within(hits: DataFrame, km: float) -> DataFrame:
     return best.select("det", "asset_key", "b.km", "b.sid")
 
 
-def _in_sector(lat: Column, lon: Column, to_lat: Column, to_lon: Column, direction: Column, reach: Column, half: float) -> Column:
-    d, b = haversine_km(lat, lon, to_lat, to_lon), bearing_deg(lat, lon, to_lat, to_lon)
-    off = angle_diff(direction, b)
-    return F.when((d <= reach) & (d >= 0.05) & (off <= half), F.struct(off.alias("off"), d.alias("km"), b.alias("bearing")))
+def _in_sector(df: DataFrame, places: dict[str, tuple[Column, Column]], half: float) -> DataFrame:
+    """``df`` (lat, lon, direction, reach) with ``hit``, where one of ``places`` lies in the sector: (off, km, bearing) of the
+    one that is nearest in angle."""
+    lat, lon, c = F.col("lat"), F.col("lon"), F.col
+    df = fixed(df, **{f"_km_{k}": haversine_km(lat, lon, *p) for k, p in places.items()}, **{f"_way_{k}": bearing_deg(lat, lon, *p) for k, p in places.items()})
+    df = fixed(df, **{f"_off_{k}": angle_diff(c("direction"), c(f"_way_{k}")) for k in places})
+    seen = [F.when((c(f"_km_{k}") <= c("reach")) & (c(f"_km_{k}") >= 0.05) & (c(f"_off_{k}") <= half), F.struct(c(f"_off_{k}").alias("off"), c(f"_km_{k}").alias("km"), c(f"_way_{k}").alias("bearing"))) for k in places]
+    return fixed(df, hit=F.array_min(F.array_compact(F.array(*seen)))).where("hit is not null")
 
 
 def sector_cells(events: DataFrame, half: float, most_km: float, size: float) -> DataFrame:
@@ -167,12 +189,19 @@ def lines_in_sector(events: DataFrame, segs: DataFrame, half: float, most_km: fl
     nearest such segment.
     """
     size = size or cell_for(most_km)
-    asked = sector_cells(spread(events.where("direction is not null"), "event"), half, most_km, size)
-    hits = asked.join(small(segment_cells(segs, size)), ["cx", "cy"])
-    see = lambda la, lo: _in_sector(F.col("lat"), F.col("lon"), la, lo, F.col("direction"), F.col("reach"), half)
-    a, b = see(F.col("a_lat"), F.col("a_lon")), see(F.col("b_lat"), F.col("b_lon"))
-    mid = see((F.col("a_lat") + F.col("b_lat")) / 2, (F.col("a_lon") + F.col("b_lon")) / 2)
-    hits = hits.withColumn("hit", F.array_min(F.array_compact(F.array(a, b, mid)))).where("hit is not null")
+    way = F.radians("direction")
+    flat = events.where("direction is not null").withColumns({"kx": km_per_lon(F.col("lat")), "ux": F.sin(way), "uy": F.cos(way)})
+    asked = sector_cells(spread(flat, "event"), half, most_km, size)
+    own = segs.withColumn("half_km", haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) / 2)
+    # a look on the plane first, with room for the segment's length and for the sphere
+    x = ((F.col("a_lon") + F.col("b_lon")) / 2 - F.col("lon")) * F.col("kx")
+    y = ((F.col("a_lat") + F.col("b_lat")) / 2 - F.col("lat")) * KM_LAT
+    room = F.col("half_km") * 1.1 + 1
+    along, aside = x * F.col("ux") + y * F.col("uy") + room, F.abs(x * F.col("uy") - y * F.col("ux"))
+    near = (along >= 0) & (along <= F.col("reach") * 1.1 + room * 2) & (aside <= along * math.tan(math.radians(half + 3)) + room) if half < 80 else F.lit(True)
+    hits = asked.join(small(segment_cells(own, size)), ["cx", "cy"]).where(near)
+    mid = [(F.col(f"a_{x}") + F.col(f"b_{x}")) / 2 for x in ("lat", "lon")]
+    hits = _in_sector(hits, {"a": (F.col("a_lat"), F.col("a_lon")), "b": (F.col("b_lat"), F.col("b_lon")), "mid": (mid[0], mid[1])}, half)
     best = hits.groupBy("event", "asset_key").agg(F.min(F.struct("hit.km", "sid", "hit.bearing")).alias("b"))
     return best.select("event", "asset_key", "b.km", "b.bearing")
 
@@ -181,8 +210,7 @@ def places_in_sector(events: DataFrame, places: DataFrame, half: float, most_km:
     size = size or cell_for(most_km)
     there = place_cells(places, size).select("cx", "cy", "sub", F.col("lat").alias("sub_lat"), F.col("lon").alias("sub_lon"))
     hits = sector_cells(spread(events.where("direction is not null"), "event"), half, most_km, size).join(small(there), ["cx", "cy"])
-    hit = _in_sector(F.col("lat"), F.col("lon"), F.col("sub_lat"), F.col("sub_lon"), F.col("direction"), F.col("reach"), half)
-    hits = hits.withColumn("hit", hit).where("hit is not null")
+    hits = _in_sector(hits, {"sub": (F.col("sub_lat"), F.col("sub_lon"))}, half)
     best = hits.groupBy("event", "sub").agg(F.min(F.struct("hit.km", "hit.bearing")).alias("b"))
     return best.select("event", "sub", "b.km", "b.bearing")
 
