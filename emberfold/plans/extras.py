@@ -296,7 +296,7 @@ _cells = {
     "nearestGridKm": _line(_up("line_km", 3)), "assetId": "asset_key", "gridClass": _line("grid_class"), "actualVoltageKv": _line("kv"), "displayLabel": _line("label"), "nearestAsset": _line("'line'"), "downwindAlignment": "CASE WHEN direction IS NOT NULL AND aside <= 35 THEN 'yes' ELSE 'no' END",
     "corridorDistanceKm": "CAST(reach AS DOUBLE)", "corridorWindSpeedKmh": "CASE WHEN direction IS NOT NULL THEN coalesce(speed, 15e0) END", "corridorWindSource": f"CASE WHEN {_slow} THEN 'fallback' ELSE 'model' END", "corridorConfidence": f"CASE WHEN {_slow} THEN 'low' ELSE 'normal' END",
     "affectedLines10km": "n_lines", "affectedSubstations10km": "n_subs", "triggerDetectionId": "CAST(evidence_det AS VARCHAR)", "triggerSource": "t_source", "triggerSatellite": "t_satellite", "triggerInstrument": "t_sensor", "triggerProduct": "t_product", "triggerDetectedAt": "t_at", "triggerFrpMw": _has(_up("coalesce(t_frp, 0)", 2)),
-    "triggerConfidence": "t_confidence", "triggerLatitude": _has(_up("t_lat", 6)), "triggerLongitude": _has(_up("t_lon", 6)), "triggerDistanceKm": _has(_up("evidence_km", 3)), "nearestLineLatitude": _has("round(nlat, 4)"), "nearestLineLongitude": _has("round(nlon, 4)"), "eventCenterLatitude": _has("round(lat, 4)"), "eventCenterLongitude": _has("round(lon, 4)"),
+    "triggerConfidence": "t_confidence", "triggerLatitude": _has(_up("t_lat", 6)), "triggerLongitude": _has(_up("t_lon", 6)), "triggerDistanceKm": _has(_up("evidence_km", 3)), "nearestLineLatitude": _has(f"round({_up('nlat', 6)}, 4)"), "nearestLineLongitude": _has(f"round({_up('nlon', 6)}, 4)"), "eventCenterLatitude": _has(f"round({_up('lat', 6)}, 4)"), "eventCenterLongitude": _has(f"round({_up('lon', 6)}, 4)"),
     "evidenceCount": _has("n"), "selectionRule": _has("'nearest_raw_detection'"),
 }
 
