@@ -161,7 +161,7 @@ def mixed_rows(docs: DataFrame, block: int | None = None, weights: tuple[int, ..
 
 
 def oracle() -> str:
-    """DuckDB SQL of doc_id, size, source_size, target, taken, n_slots and first_slot: blocks are looked up in one stream per source."""
+    """DuckDB SQL of doc_id, size, source_size, target, taken, n_slots and first_slot (-1 if none): blocks are looked up in one stream per source."""
     low, high = float(GOLDEN), float(GOLDEN * SPLIT % 1)
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS key FROM documents),
     a AS (SELECT *, CAST([1, 2, 3][CAST(sid % 3 + 1 AS INT)] AS BIGINT) AS weight, 3 * source_size AS cap FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source)),
@@ -178,4 +178,4 @@ def oracle() -> str:
     q AS (SELECT rid, sid, block, x, least(x + size, stop) AS y FROM (SELECT *, place + r * source_size AS x FROM (SELECT *, unnest([0, 1, 2]) AS r FROM o WHERE size > 0)) WHERE x < stop),
     k AS (SELECT rid, sid, x, y, block, unnest(range(CAST(x // block AS BIGINT), CAST((y - 1) // block + 1 AS BIGINT))) AS rank FROM q),
     g AS (SELECT rid, sum(least(y, (rank + 1) * block) - greatest(x, rank * block)) AS taken, count(*) AS n_slots, min(slot) AS first_slot FROM k JOIN s USING (sid, rank) GROUP BY rid)
-    SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots, CAST(first_slot AS BIGINT) AS first_slot FROM o LEFT JOIN g USING (rid)"""
+    SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots, CAST(coalesce(first_slot, -1) AS BIGINT) AS first_slot FROM o LEFT JOIN g USING (rid)"""

@@ -12,7 +12,7 @@ from emberfold.llm.common import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("key").withColumn("first_slot", F.coalesce("first_slot", F.lit(-1).cast("long")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
