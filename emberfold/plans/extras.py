@@ -55,7 +55,7 @@ _elat = f"degrees(asin(sin(radians(lat)) * cos({_dist}) + cos(radians(lat)) * si
 
 @BOOK.add(
     "M22_M24_M26_marks",
-    f"WITH {T.D} SELECT det, CASE WHEN {_most} <= 0 THEN NULL WHEN {_most} > 360 THEN 30 WHEN {_most} > 320 THEN 15 ELSE 0 END AS hue, round(CASE WHEN {_most} > 0 THEN {_clamp(f'55 + ({_most} - 300) * 0.3', 35, 75)} END, 6) AS light, "
+    f"WITH {T.D} SELECT det, CASE WHEN {_most} <= 0 THEN NULL WHEN {_most} > 360 THEN 30e0 WHEN {_most} > 320 THEN 15e0 ELSE 0e0 END AS hue, round(CASE WHEN {_most} > 0 THEN {_clamp(f'55 + ({_most} - 300) * 0.3', 35, 75)} END, 6) AS light, "
     f"{_q6(f'CASE WHEN {_way} IS NOT NULL AND {_spd} IS NOT NULL THEN {_elat} END', 'end_lat')}, {_q6(f'CASE WHEN {_way} IS NOT NULL AND {_spd} IS NOT NULL THEN lon + degrees(atan2(sin({_dw}) * sin({_dist}) * cos(radians(lat)), cos({_dist}) - sin(radians(lat)) * sin(radians({_elat})))) END', 'end_lon')}, "
     f"{_q6(_clamp('sqrt(1000e0 * (600 + det % 100) / greatest(1, det % 50)) * 1.55', 64, 170), 'field')} FROM det_",
 )
@@ -63,7 +63,7 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = F.col("det")
     hue, light = display.envelope(F.expr(_ti4), F.expr(_ti5))
     to = display.wind_arrow_end(F.col("lat"), F.col("lon"), F.expr(_way), F.expr(_spd))
-    return T.detections(spark, sf_dir).select("det", hue.alias("hue"), r6(light, "light"), r6(to[0], "end_lat"), r6(to[1], "end_lon"), r6(display.field_radius(F.lit(1000), 600 + det % 100, det % 50), "field"))
+    return T.detections(spark, sf_dir).select("det", hue.cast("double").alias("hue"), r6(light, "light"), r6(to[0], "end_lat"), r6(to[1], "end_lon"), r6(display.field_radius(F.lit(1000), 600 + det % 100, det % 50), "field"))
 
 
 _age_min = "(det % 400) / 4e0"
@@ -297,14 +297,14 @@ _cells = {
     "corridorDistanceKm": "CAST(reach AS DOUBLE)", "corridorWindSpeedKmh": "CASE WHEN direction IS NOT NULL THEN coalesce(speed, 15e0) END", "corridorWindSource": f"CASE WHEN {_slow} THEN 'fallback' ELSE 'model' END", "corridorConfidence": f"CASE WHEN {_slow} THEN 'low' ELSE 'normal' END",
     "affectedLines10km": "n_lines", "affectedSubstations10km": "n_subs", "triggerDetectionId": "CAST(evidence_det AS VARCHAR)", "triggerSource": "t_source", "triggerSatellite": "t_satellite", "triggerInstrument": "t_sensor", "triggerProduct": "t_product", "triggerDetectedAt": "t_at", "triggerFrpMw": _has(_up("coalesce(t_frp, 0)", 2)),
     "triggerConfidence": "t_confidence", "triggerLatitude": _has(_up("t_lat", 6)), "triggerLongitude": _has(_up("t_lon", 6)), "triggerDistanceKm": _has(_up("evidence_km", 3)), "nearestLineLatitude": _has(f"round({_up('nlat', 6)}, 4)"), "nearestLineLongitude": _has(f"round({_up('nlon', 6)}, 4)"), "eventCenterLatitude": _has(f"round({_up('lat', 6)}, 4)"), "eventCenterLongitude": _has(f"round({_up('lon', 6)}, 4)"),
-    "evidenceCount": _has("n"), "selectionRule": _has("'nearest_raw_detection'"),
+    "evidenceCount": _has("CAST(n AS DOUBLE)"), "selectionRule": _has("'nearest_raw_detection'"),
 }
 
 
 def _tables_rounding(df: DataFrame) -> DataFrame:
     """Means and projected points agree with SQL to some decimals only."""
     coarse = {c: F.round(c, 4) for c in ("nearestLineLatitude", "nearestLineLongitude", "eventCenterLatitude", "eventCenterLongitude")}
-    return df.withColumns(coarse | {c: F.round(c, 6) for c in ("lat", "lon")})
+    return df.withColumns(coarse | {c: F.round(c, 6) for c in ("lat", "lon")} | {"evidenceCount": F.col("evidenceCount").cast("double")})
 
 
 def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
