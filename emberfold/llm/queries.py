@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfold.llm import decontaminate, fill_middle, language, licenses, mixing, near_dup, quality_knn, quality_rules, repeats, secret_scan, toxicity
+from emberfold.llm import decontaminate, fill_middle, language, licenses, mixing, near_dup, quality_knn, quality_rules, repeats, secret_scan, spelling, toxicity
 from emberfold.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.transform(table(spark, sf_dir, "documents"))
     digest = lambda x, name: F.sha2(x.cast("binary"), 256).alias(name)
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling": op11_spelling,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 
@@ -86,5 +91,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_licenses": licenses.oracle(),
     "op9_quality_rules": quality_rules.oracle(),
     "op10_decontamination": decontaminate.oracle(),
+    "op11_spelling": spelling.oracle(),
     "op12_fill_in_middle": fill_middle.oracle(),
 }
