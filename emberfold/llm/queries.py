@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberfold.llm import decontaminate, fill_middle, language, licenses, mixing, near_dup, quality_knn, quality_rules, repeats, secret_scan, spelling, toxicity
+from emberfold.llm import decontaminate, fill_middle, language, licenses, mixing, near_dup, quality_knn, quality_rules, repeats, secret_scan, spelling, toxicity, url_filter
 from emberfold.llm.common import table
 
 
@@ -68,6 +68,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output"), "output_sha256"), digest(back, "restored_sha256"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_spelling": op11_spelling,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
