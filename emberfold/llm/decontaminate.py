@@ -90,8 +90,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their own columns, whose text holds no window of ``benchmark``."""
-    hit = settle(contamination(docs, benchmark).where("contaminated").select(F.col("key").alias("_text_digest")).distinct())
-    return docs.withColumn("_text_digest", _key(F.col("text"))).join(small(hit), "_text_digest", "left_anti").select(*docs.columns)
+    hit = settle(contamination(docs, benchmark).where("contaminated").select("key").distinct())
+    rows = docs.select(_key(F.col("text")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(small(hit), "key", "left_anti").select("row.*")
 
 
 def oracle() -> str:

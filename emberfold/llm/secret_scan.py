@@ -31,6 +31,8 @@ BASE = ("assign", "access", "hex")
 ADDED = ("ident", "opaque", "weak", "endpoint")
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "ident": "identifier", "opaque": "secret", "weak": "secret", "endpoint": "endpoint"}
 SCOPE, BUCKET = 200, 256
+#: Matches whose places are added up one after the other; pieces of so many are then moved by what lies before them.
+PIECE = 256
 HIDDEN = "[REDACTED]"
 
 SPAN = "array<struct<start:int,rank:int,stop:int>>"
@@ -53,7 +55,17 @@ def _spans(text: Column, pattern: str, rank: int, good=None, group: int = 0) ->
         part = m if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
         # the gap after the last match has no match, and is left out
         zipped = F.slice(F.arrays_zip(gaps.alias("gap"), m.alias("match"), part.alias("part")), F.lit(1), F.size(m))
-        return F.aggregate(zipped, begin, step, lambda a: a["out"])
+
+        def pieces(z: Column) -> Column:
+            last = F.floor((F.size(z) - 1) / PIECE).cast("int")
+            return F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(z, i * PIECE + 1, F.lit(PIECE)), begin, step))
+
+        def moved(p: Column) -> Column:
+            ends = F.aggregate(p, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["at"])))
+            by = lambda e, i, s: F.struct((s["start"] + F.get(e, i)).alias("start"), s["rank"].alias("rank"), (s["stop"] + F.get(e, i)).alias("stop"))
+            return let(ends, lambda e: F.flatten(F.transform(p, lambda x, i: F.transform(x["out"], lambda s: by(e, i, s)))))
+
+        return let(zipped, lambda z: let(pieces(z), moved))
 
     return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)).otherwise(F.array().cast(SPAN))
 
@@ -100,10 +112,14 @@ def listed(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``docs`` with every reported span replaced by HIDDEN (spans that touch or overlap as one), and n_chars brought up to date."""
-    spans = settle(scan(docs, scope).where(F.size("spans") > 0).select(F.col("key").alias("_text_digest"), F.col("spans").alias("_found_spans")).dropDuplicates(["_text_digest"]))
-    text = F.col("text")
-    rows = docs.withColumn("_text_digest", F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))).join(small(spans, weigh=F.size("_found_spans") * 32 + 64), "_text_digest", "left")
+    """``docs`` with every reported span replaced by HIDDEN (spans that touch or overlap as one), and n_chars brought up to date.
+
+    The caller's columns travel as one struct, whatever their names.
+    """
+    spans = settle(scan(docs, scope).where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"]))
+    text = F.col("row.text")
+    rows = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(small(spans, weigh=F.size("spans") * 32 + 64), "key", "left")
 
     def merge(a: Column, s: Column) -> Column:
         last = F.get(a, F.size(a) - 1)
@@ -115,12 +131,13 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         kept = F.transform(m, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit(HIDDEN)))
         return F.concat(F.array_join(kept, ""), F.substring(text, before(F.size(m)) + 1, F.length(text)))
 
-    merged = F.aggregate("_found_spans", F.array().cast("array<struct<start:int,stop:int>>"), merge)
-    new = {"text": F.when(F.col("_found_spans").isNotNull(), let(merged, hide)).otherwise(text)}
-    out = rows.withColumns(new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    merged = F.aggregate("spans", F.array().cast("array<struct<start:int,stop:int>>"), merge)
+    found = F.col("spans").isNotNull()
+    out = rows.select("row", found.alias("found"), F.when(found, let(merged, hide)).otherwise(text).alias("text"))
+    kept = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(F.col("found"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(kept["n_chars"])
+    return out.select(*[x.alias(c) for c, x in kept.items()])
 
 
 def oracle() -> str:

@@ -5,8 +5,9 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-#: Columns that operators use names of, and must leave alone.
-EXTRA = {"score": "1.5D", "key": "'mine'", "size": "7L", "rank": "1", "target": "2D", "kept": "false", "digest": "'d'", "base": "'b'", "near": "0", "n_words": "3L", "doc": "9L", "node": "8L", "predicted": "4", "items": "'i'", "parts": "'p'", "chunk": "5"}
+#: Columns that operators use names of, or have used, and must leave alone.
+EXTRA = {"score": "1.5D", "key": "'mine'", "size": "7L", "rank": "1", "target": "2D", "kept": "false", "digest": "'d'", "base": "'b'", "near": "0", "n_words": "3L", "doc": "9L", "node": "8L", "predicted": "4", "items": "'i'", "parts": "'p'", "chunk": "5",
+         "row": "'w'", "spans": "'s'", "found": "true", "sid": "6L", "rid": "3L", "block": "2L", "nth": "1", "words": "'x'", "_key": "'k'", "_source": "'s'", "_text_digest": "'t'", "_found_spans": "'f'", "_taken": "1L", "_first": "2L", "_nth": "3", "_keep": "'k'", "_score": "1.0D", "hit": "1"}
 
 
 def prose(rng: random.Random, n: int, words: int = 400) -> str:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -54,6 +55,15 @@ def test_secret_parts_need_each_other(spark):
     assert got[7] == set()  # an identifier and an endpoint, but no secret
 
 
+def test_secret_many_matches(spark):
+    """A text of 100,000 matches: spans of later pieces are where they should be, and soon found."""
+    text = "é token=abcdef1\n" * 100_000
+    start = time.time()
+    got = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert time.time() - start < 90
+    assert [tuple(s) for s in got[0]["base"]] == plain_base(text)
+
+
 def test_redaction_hides_and_keeps(spark, awkward):
     out = secret_scan.redact(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()
