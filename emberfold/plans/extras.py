@@ -360,13 +360,6 @@ def corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.shown_corridors(found, lines).select("event", "asset_key", r6(F.col("km"), "km"))
 
 
-@BOOK.add("ST3_sessions", "WITH o AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id AS site, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS stop, count(*) AS n, max(value) AS max_frp FROM s GROUP BY user_id, k")
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("site"), F.col("ts").cast("timestamp").alias("detected_at"), F.col("value").alias("frp"))
-    got = streams.sessions(rows, "6 hours", "site")
-    return got.select("site", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n", "max_frp")
-
-
 @BOOK.add("ST4_dedupe", "SELECT DISTINCT user_id AS site, event_id % 3 AS kind FROM events")
 def dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each key once within the watermark; the watermark is wider than the table."""

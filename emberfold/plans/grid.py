@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberfold.functions.geo import in_region
@@ -13,6 +13,7 @@ from emberfold.plans import tables as T
 from emberfold.plans.scalar import KVS
 from emberfold.runtime import settle, shared_folder
 from emberfold.streaming import detections as streams
+from emberfold.streaming.progress import Progress
 
 BOOK = T.Book()
 _lines = "('line', 'cable', 'minor_line')"
@@ -233,23 +234,77 @@ def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.lattice(spark, 28.6, 37.0, 30.4, 38.8, 15, 14).select("r", "c", in_region(F.col("lat"), F.col("lon"), T.REGION).alias("inside"))
 
 
-def _replayed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
-    """What a stream over the events makes when it is run to its end."""
-    folder = shared_folder(spark, "stream")
-    # a pattern, as a stream's path is a folder or a pattern
-    stream = streams.read_files(spark, f"{sf_dir}/event[s].parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema).selectExpr(*T.DETECTIONS)
-    stream = stream.withColumn("detected_at", F.to_timestamp("detected_at"))
-    streams.replay(make(stream), folder, mode="complete")
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+#: Events arrive in three parts: up to the middle of the month, from there on, and every twenty-fifth event after all others.
+LATE = "event_id % 25 = 0"
+_HALF = "TIMESTAMP '2024-01-16 00:00:00'"
+_DELAY = 48
+_WATERMARK = f"wm AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL {_DELAY} HOURS AS w FROM events WHERE NOT ({LATE}))"
+_PRODUCT = "CASE event_id % 3 WHEN 0 THEN 'VIIRS_NOAA20_NRT' WHEN 1 THEN 'SLSTR L2P FRP' ELSE 'MTG FCI FRP' END"
 
 
-@BOOK.add("ST1_tumbling", "SELECT product, start, stop, n, max_frp FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'VIIRS_NOAA20_NRT' WHEN 1 THEN 'SLSTR L2P FRP' ELSE 'MTG FCI FRP' END AS product, time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '1970-01-01') AS start, time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '1970-01-01') + INTERVAL 4 HOURS AS stop, count(*) AS n, max(value) AS max_frp FROM events GROUP BY ALL)")
+def arrived(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """What a stream gives out of the events as they arrive in three parts; what is too late is dropped."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    early = F.col("ts") < F.expr(_HALF)
+    late = F.expr(LATE)
+    ahead = spark.range(1).select(*[(F.expr("timestamp'2100-01-01 00:00:00'") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields])
+    return streams.arrivals([events.where(~late & early), events.where(~late & ~early), events.where(late)], shared_folder(spark, "stream"), make, ahead)
+
+
+def _detected(stream: DataFrame) -> DataFrame:
+    return stream.selectExpr(f"{_PRODUCT} AS product", "user_id AS site", "ts AS detected_at", "value AS frp")
+
+
+def _plain_times(df: DataFrame) -> DataFrame:
+    return df.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("stop", F.col("stop").cast("timestamp_ntz"))
+
+
+@BOOK.add(
+    "ST1_tumbling",
+    f"WITH {_WATERMARK}, e AS (SELECT {LATE} AS late, {_PRODUCT} AS product, time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '1970-01-01') AS start, value FROM events) "
+    "SELECT product, start, start + INTERVAL 4 HOURS AS stop, count(*) AS n, max(value) AS max_frp FROM e, wm WHERE NOT late OR start + INTERVAL 4 HOURS > w GROUP BY ALL",
+)
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _replayed(spark, sf_dir, lambda s: streams.windowed(s, "4 hours", by=("product",)))
-    return got.select("product", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n", "max_frp")
+    got = arrived(spark, sf_dir, lambda s: streams.windowed(_detected(s), "4 hours", by=("product",), late=f"{_DELAY} hours"))
+    return _plain_times(got).select("product", "start", "stop", "n", "max_frp")
 
 
-@BOOK.add("ST2_sliding", "WITH s AS (SELECT time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(CAST(3 * k AS INT)) AS start, value FROM events, range(8) r(k)) SELECT start, start + INTERVAL 24 HOURS AS stop, count(*) AS n, max(value) AS max_frp FROM s GROUP BY start")
+@BOOK.add(
+    "ST2_sliding",
+    f"WITH {_WATERMARK}, s AS (SELECT {LATE} AS late, time_bucket(INTERVAL 3 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(CAST(3 * k AS INT)) AS start, value FROM events, range(8) r(k)) "
+    "SELECT start, start + INTERVAL 24 HOURS AS stop, count(*) AS n, max(value) AS max_frp FROM s, wm WHERE NOT late OR start + INTERVAL 24 HOURS > w GROUP BY start",
+)
 def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _replayed(spark, sf_dir, lambda s: streams.windowed(s, "24 hours", "3 hours"))
-    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n", "max_frp")
+    got = arrived(spark, sf_dir, lambda s: streams.windowed(_detected(s), "24 hours", "3 hours", late=f"{_DELAY} hours"))
+    return _plain_times(got).select("start", "stop", "n", "max_frp")
+
+
+_runs = lambda rows: f"SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM {rows})"
+_told = "SELECT user_id AS site, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS stop, count(*) AS n, max(value) AS max_frp FROM {} GROUP BY user_id, k"
+
+
+@BOOK.add(
+    "ST3_sessions",
+    f"WITH {_WATERMARK}, a AS ({_runs(f'(SELECT user_id, ts, value FROM events WHERE NOT ({LATE}))')}), m AS (SELECT *, max(ts) OVER (PARTITION BY user_id, k) + INTERVAL 6 HOURS AS stop FROM a), "
+    f"o AS (SELECT user_id, ts, value FROM m, wm WHERE stop > w UNION ALL SELECT user_id, ts, value FROM events, wm WHERE {LATE} AND ts + INTERVAL 6 HOURS > w), b AS ({_runs('o')}) "
+    f"{_told.format('(SELECT m.* FROM m, wm WHERE stop <= w)')} UNION ALL {_told.format('b')}",
+)
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites' runs of detections; a late one opens a run of its own if the run that it belongs to has been given out."""
+    got = arrived(spark, sf_dir, lambda s: streams.sessions(_detected(s), "6 hours", "site", late=f"{_DELAY} hours"))
+    return _plain_times(got).select("site", "start", "stop", "n", "max_frp")
+
+
+@BOOK.add(
+    "ST5_progress",
+    f"WITH {_WATERMARK}, e AS (SELECT {LATE} AS late, ts, event_id % 3 AS kind, time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '1970-01-01') + INTERVAL 4 HOURS AS stop FROM events) "
+    f"SELECT part, CAST(n AS BIGINT) AS n, CAST(dropped AS BIGINT) AS dropped FROM (SELECT 0 AS part, count(*) FILTER (NOT late AND ts < {_HALF}) AS n, 0 AS dropped FROM e UNION ALL SELECT 1, count(*) FILTER (NOT late AND ts >= {_HALF}), 0 FROM e "
+    "UNION ALL SELECT 2, count(*) FILTER (late), count(DISTINCT (kind, stop)) FILTER (late AND stop <= w) FROM e, wm)",
+)
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that came with each part, and the late groups (window and product) that the watermark turned away, by a listener."""
+    with Progress(spark) as told:
+        arrived(spark, sf_dir, lambda s: streams.windowed(_detected(s), "4 hours", by=("product",), late=f"{_DELAY} hours"))
+    rows = told.table().where("rows_in > 0")
+    part = F.row_number().over(Window.partitionBy("query").orderBy("batch")) - 1
+    return rows.select(part.alias("part"), F.col("rows_in").alias("n"), "dropped").where("part < 3")
