@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberfold.functions.numbers import str_or_null
 from emberfold.functions.text import id_suffix
 from emberfold.functions.voltage import kv_text, voltage_class
+from emberfold.runtime import settle
 
 LINES = ("line", "cable", "minor_line")
 LINE_SHAPES, PLACE_SHAPES = ("LineString", "MultiLineString"), ("Point", "Polygon", "MultiPolygon")
@@ -119,10 +120,14 @@ def density(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.floor("lon").alias("x"), F.floor("lat").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Many more lines than before: in a square of one degree.
+GAP = "n_new >= 5 and (n_old = 0 or (n_new >= n_old + 10 and 2 * n_new >= 3 * n_old))"
+
+
 def gap_candidates(old: DataFrame, new: DataFrame, top: int = 20) -> DataFrame:
     """Squares where the new set has many more lines than the old one, the largest differences first."""
     both = density(old).withColumnRenamed("n", "n_old").join(density(new).withColumnRenamed("n", "n_new"), ["x", "y"], "full_outer").fillna(0, ["n_old", "n_new"])
-    found = both.where("n_new >= 5 and (n_old = 0 or (n_new >= n_old + 10 and 2 * n_new >= 3 * n_old))").withColumn("delta", F.col("n_new") - F.col("n_old"))
+    found = both.where(GAP).withColumn("delta", F.col("n_new") - F.col("n_old"))
     return found.orderBy(F.desc("delta"), "x", "y").limit(top)
 
 
@@ -181,6 +186,35 @@ def choose_union(union: Column) -> Column:
     return F.when(F.coalesce(union, F.lit(False)), "validated-union").otherwise("none")
 
 
+def provider_union(rows: DataFrame, by: str = "country") -> DataFrame:
+    """Of ``rows`` (by, provider first or second, key, ...), all of the first provider, and those of the second one whose key the first one lacks."""
+    first = rows.where("provider = 'first'")
+    return first.unionByName(rows.where("provider = 'second'").join(first.select(by, "key").distinct(), [by, "key"], "left_anti"))
+
+
+def source_validation(rows: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """One row for each country of ``diagnostics``: is the union of two providers published.
+
+    ``rows`` are those of ``collection_metrics`` with country and provider (first, second) in place of a dataset, and lon
+    and lat; ``diagnostics`` too, with part (first, second, union). The union has metrics and gates of its own, and they
+    alone decide. Beside it: accepted keys of both providers, of either alone and of the union, and the squares of one
+    degree in which the union has many more lines than the first provider.
+    """
+    union = settle(provider_union(rows))
+    named = lambda df, part: df.withColumn("dataset", F.concat_ws(":", "country", F.lit(part)))
+    three = named(rows.where("provider = 'first'"), "first").unionByName(named(rows.where("provider = 'second'"), "second")).unionByName(named(union, "union"))
+    met = collection_metrics(three, diagnostics.withColumn("dataset", F.concat_ws(":", "country", "part")).drop("country", "part"))
+    met = met.withColumn("country", F.substring_index("dataset", ":", 1)).withColumn("part", F.substring_index("dataset", ":", -1))
+    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c))).alias(f"{part}_{c}")
+    wide = met.groupBy("country").agg(*[of(p, c) for p in ("first", "second", "union") for c in ("raw", "lines", "substations", "duplicates", "gates_passed")])
+    ok = rows.where("reason = 'accepted'").groupBy("country", "key").agg(F.bool_or(F.col("provider") == "first").alias("a"), F.bool_or(F.col("provider") == "second").alias("b"))
+    sets = ok.groupBy("country").agg(F.count_if(F.expr("a and b")).alias("shared"), F.count_if(F.expr("not b")).alias("only_first"), F.count_if(F.expr("not a")).alias("only_second"), F.count(F.lit(1)).alias("n_union"))
+    lines = union.where("reason = 'accepted'").where(F.col("power").isin(*LINES)).groupBy("country", F.floor("lon").alias("x"), F.floor("lat").alias("y"))
+    squares = lines.agg(F.count(F.lit(1)).alias("n_new"), F.count_if(F.col("provider") == "first").alias("n_old")).where(GAP).groupBy("country").agg(F.count(F.lit(1)).alias("gap_squares"))
+    out = wide.join(sets, "country", "left").join(squares, "country", "left").fillna(0)
+    return out.withColumn("selected", choose_union(F.col("union_gates_passed")))
+
+
 def tiles(spark, west: float, south: float, east: float, north: float, step: float) -> DataFrame:
     """(x, y, w, s, e, n): tiles of an aligned grid that cover a box."""
     lo = lambda v: int(v // step)

@@ -79,7 +79,11 @@ TOLD_KV = "CASE WHEN seq % 8 < 3 AND seq % 11 = 0 THEN 66e0 END"
 
 
 def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _features(spark, sf_dir).withColumn("dataset", F.expr(DATASET)).where("dataset is not null")
+    return _described(_features(spark, sf_dir).withColumn("dataset", F.expr(DATASET)).where("dataset is not null"))
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """Validity, place, mismatch and the points of lines of features."""
     raw = F.coalesce((F.col("voltage") != "") | (F.col("voltage_raw") != ""), F.lit(False))
     told = F.expr(TOLD_KV)
     mismatch = raw & told.isNotNull() & F.coalesce(F.abs(told - F.col("kv")) > 1e-9, F.lit(True))
@@ -96,10 +100,15 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.collection_metrics(_collections(spark, sf_dir), known)
 
 
-_known = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) if isinstance(x, (int, str)) else str(x) for x in r) + ")" for r in DOWNLOADS)
 _ends = ", ".join(f"(round({x}, 4), round({y}, 4))" for x, y in (("round(lon, 1)", "round(lat, 1)"), ("lon + k", "lat"), ("lon + k", "lat"), ("lon + k", "lat + k")))
-METRICS = f"""{FEAT}, g AS (SELECT *, {DATASET} AS dataset, seq % 17 <> 0 AS valid, {T.ring(T.REGION[0])} AS inside, (coalesce(voltage, '') <> '' OR coalesce(voltage_raw, '') <> '') AND {TOLD_KV} IS NOT NULL AND (kv IS NULL OR abs({TOLD_KV} - kv) > 1e-9) AS mismatch, (seq % 3 + 1) / 10 AS k FROM f),
-    w AS (SELECT * FROM (VALUES {_known}) v(dataset, partial, failed_requests, failed_listed, gap_tiles, exceeded_tiles)),
+DESCRIBED = f"""seq % 17 <> 0 AS valid, {T.ring(T.REGION[0])} AS inside, (coalesce(voltage, '') <> '' OR coalesce(voltage_raw, '') <> '') AND {TOLD_KV} IS NOT NULL AND (kv IS NULL OR abs({TOLD_KV} - kv) > 1e-9) AS mismatch, (seq % 3 + 1) / 10 AS k"""
+
+
+def metrics_sql(g: str, downloads: tuple) -> str:
+    """Common table expressions up to ``met``; ``g`` has the described rows with their dataset."""
+    known = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) if isinstance(x, (int, str)) else str(x) for x in r) + ")" for r in downloads)
+    return f"""{FEAT}, {g},
+    w AS (SELECT * FROM (VALUES {known}) v(dataset, partial, failed_requests, failed_listed, gap_tiles, exceeded_tiles)),
     c AS (SELECT dataset, count(*) AS raw, count(*) FILTER (NOT valid) AS invalid, count(*) FILTER (valid AND NOT inside) AS outside, count(*) FILTER (valid AND inside AND len(kvs) = 0) AS parse_failures, count(*) FILTER (valid AND inside AND mismatch) AS mismatches, count(*) FILTER (reason = 'accepted') AS ok FROM g WHERE dataset IS NOT NULL GROUP BY dataset),
     u AS MATERIALIZED (SELECT * FROM g WHERE reason = 'accepted' AND dataset IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dataset, key ORDER BY seq) = 1),
     h AS (SELECT dataset, count(*) AS kept, count(*) FILTER ({_ln}) AS lines, count(*) FILTER (power = 'substation') AS substations, count(*) FILTER ({_ln} AND kv BETWEEN 300 AND 550) AS lines_400, count(*) FILTER ({_ln} AND kv >= 50 AND kv < 300) AS lines_154,
@@ -111,18 +120,46 @@ METRICS = f"""{FEAT}, g AS (SELECT *, {DATASET} AS dataset, seq % 17 <> 0 AS val
       partial IS NOT NULL AND failed_requests IS NOT NULL AND failed_listed AS transparent, coalesce(partial IS NOT NULL AND failed_requests IS NOT NULL AND failed_listed AND NOT partial AND failed_requests = 0 AND outside = 0 AND invalid = 0 AND duplicates = 0 AND mismatches = 0 AND gap_tiles = 0, false) AS gates_passed FROM m)"""
 
 
+METRICS = metrics_sql(f"g AS (SELECT *, {DATASET} AS dataset, {DESCRIBED} FROM f)", DOWNLOADS)
+
+
 @BOOK.add("A22_A23_A27_collection", f"WITH {METRICS} SELECT * FROM met")
 def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir)
 
 
-@BOOK.add("A28_choose", f"WITH {METRICS} SELECT a.dataset AS existing, b.dataset AS fresh, CASE WHEN b.gates_passed THEN 'fresh' WHEN a.gates_passed THEN 'existing' ELSE 'none' END AS selected, CASE WHEN b.gates_passed THEN 'validated-union' ELSE 'none' END AS as_union FROM met a, met b")
+@BOOK.add("A28_choose", f"WITH {METRICS} SELECT a.dataset AS existing, b.dataset AS fresh, CASE WHEN b.gates_passed THEN 'fresh' WHEN a.gates_passed THEN 'existing' ELSE 'none' END AS selected FROM met a, met b")
 def choose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two of a handful of downloads, as the existing and the fresh one."""
     met = settle(_metrics(spark, sf_dir).select("dataset", "gates_passed"))
     old, new = met.toDF("existing", "old"), met.toDF("fresh", "new")
     both = old.crossJoin(F.broadcast(new))
-    return both.select("existing", "fresh", G.choose(F.col("old"), F.col("new")).alias("selected"), G.choose_union(F.col("new")).alias("as_union"))
+    return both.select("existing", "fresh", G.choose(F.col("old"), F.col("new")).alias("selected"))
+
+
+#: Two providers that share keys. One country has all features, one accepted ones only, and of one the union's download was partial.
+COUNTRY = "CASE WHEN reason <> 'accepted' OR seq % 8 < 3 THEN 'AA' WHEN seq % 2 = 0 THEN 'BB' ELSE 'CC' END"
+PROVIDER, SHARED_KEY = "CASE WHEN seq % 10 < 6 THEN 'first' ELSE 'second' END", "concat(power, CAST(floor(seq / 10) * 5 + seq % 5 AS STRING))"
+_parts = tuple((c, p, c == "CC" and p == "union", 0, True, 0, 0) for c in ("AA", "BB", "CC") for p in ("first", "second", "union"))
+_both = f"""g0 AS (SELECT * REPLACE ({SHARED_KEY} AS key), {COUNTRY} AS country, {PROVIDER} AS provider, {DESCRIBED} FROM f), gu AS (SELECT * FROM g0 WHERE provider = 'first' OR (country, key) NOT IN (SELECT country, key FROM g0 WHERE provider = 'first')),
+    g AS (SELECT *, country || ':' || provider AS dataset FROM g0 UNION ALL SELECT *, country || ':union' FROM gu)"""
+
+
+@BOOK.add(
+    "A28_source_validation",
+    f"WITH {metrics_sql(_both, tuple((f'{r[0]}:{r[1]}', *r[2:]) for r in _parts))}, k AS (SELECT country, key, bool_or(provider = 'first') AS a, bool_or(provider = 'second') AS b FROM g0 WHERE reason = 'accepted' GROUP BY ALL), "
+    "ks AS (SELECT country, count(*) FILTER (a AND b) AS shared, count(*) FILTER (NOT b) AS only_first, count(*) FILTER (NOT a) AS only_second, count(*) AS n_union FROM k GROUP BY country), "
+    f"sq AS (SELECT country, count(*) AS gap_squares FROM (SELECT country, floor(lon) AS x, floor(lat) AS y, count(*) AS n_new, count(*) FILTER (provider = 'first') AS n_old FROM gu WHERE reason = 'accepted' AND {_ln} GROUP BY ALL) WHERE {G.GAP} GROUP BY country) "
+    "SELECT f.dataset[:2] AS country, CASE WHEN u.gates_passed THEN 'validated-union' ELSE 'none' END AS selected, f.raw AS first_raw, s.raw AS second_raw, u.raw AS union_raw, f.lines AS first_lines, u.lines AS union_lines, u.duplicates AS union_duplicates, f.gates_passed AS first_ok, s.gates_passed AS second_ok, u.gates_passed AS union_ok, "
+    "coalesce(shared, 0) AS shared, coalesce(only_first, 0) AS only_first, coalesce(only_second, 0) AS only_second, coalesce(n_union, 0) AS n_union, coalesce(gap_squares, 0) AS gap_squares "
+    "FROM met f JOIN met s ON s.dataset = f.dataset[:2] || ':second' JOIN met u ON u.dataset = f.dataset[:2] || ':union' LEFT JOIN ks ON ks.country = f.dataset[:2] LEFT JOIN sq ON sq.country = f.dataset[:2] WHERE f.dataset LIKE '%:first'",
+)
+def source_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two providers of each country, and whether their union is published."""
+    rows = _described(_features(spark, sf_dir)).withColumn("key", F.expr(SHARED_KEY.replace("floor(seq / 10)", "seq div 10"))).withColumn("country", F.expr(COUNTRY)).withColumn("provider", F.expr(PROVIDER))
+    known = spark.createDataFrame(_parts, "country string, part string, partial boolean, failed_requests long, failed_listed boolean, gap_tiles long, exceeded_tiles long")
+    got = G.source_validation(rows, known)
+    return got.select("country", "selected", "first_raw", "second_raw", "union_raw", "first_lines", "union_lines", "union_duplicates", *[F.col(f"{p}_gates_passed").alias(f"{p}_ok") for p in ("first", "second", "union")], "shared", "only_first", "only_second", "n_union", "gap_squares")
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
