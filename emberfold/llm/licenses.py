@@ -119,6 +119,11 @@ NAMES: dict[str, tuple[str, ...]] = {
     "GPL-3.0": ("GNU General Public License, Version 3", "GPL v3", "GPLv3"),
     "LGPL-3.0": ("GNU Lesser General Public License, Version 3", "LGPL v3", "LGPLv3"),
     "AGPL-3.0": ("GNU Affero General Public License, Version 3", "AGPL v3", "AGPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, Version 2.1", "LGPL v2.1", "LGPLv2.1"),
+    "MIT-0": ("MIT No Attribution License", "MIT-0"),
+    "0BSD": ("BSD Zero Clause License", "0BSD"),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0", "BSL-1.0"),
+    "Zlib": ("zlib License", "Zlib"),
     "Unlicense": ("Unlicense",),
     "CC0-1.0": ("CC0 1.0",),
 }
@@ -133,7 +138,11 @@ def known_texts() -> list[tuple[str, str]]:
     for short, long in TERMS.items():
         for v in ("2.0", "2.5", "3.0", "4.0"):
             names += [(f"CC-{short}-{v}", f"{start} {v}{end}") for start in (f"CC {short}", f"Creative Commons {long}") for end in ("", " International License")]
-    return out + [(k, f"Licensed under {n}") for k, n in names] + [(k, f"SPDX-License-Identifier: {k}") for k in {k for k, _ in names}]
+    keys = {k: [k] for k in sorted({k for k, _ in names} | set(TEXTS))}
+    for k in keys:
+        if "GPL-" in k:  # the current and the older spellings of one licence's identifiers
+            keys[k] += [f"{k}-only", f"{k}-or-later", f"{k}+"]
+    return out + [(k, f"Licensed under {n}") for k, n in names] + [(k, f"SPDX-License-Identifier: {x}") for k, xs in keys.items() for x in xs]
 
 
 def _can_be_known(x: Column) -> Column:
@@ -142,7 +151,7 @@ def _can_be_known(x: Column) -> Column:
     Texts and SPDX lines hold one of the first words, a notice also "under" and its licence's name. Only the step that
     takes URL schemes out can join letters into a word, so that parts with one always pass.
     """
-    notice = x.rlike("(?i)(^|[^a-z0-9])under($|[^a-z0-9])") & x.rlike("(?i)mit|isc|bsd|apache|gpl|cc|creative")
+    notice = x.rlike("(?i)(^|[^a-z0-9])under($|[^a-z0-9])") & x.rlike("(?i)mit|isc|bsd|apache|gpl|cc|creative|bsl|zlib")
     return x.rlike("(?i)licen[cs]|SPDX|warrant|permission|https?://") | notice
 
 

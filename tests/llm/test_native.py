@@ -201,6 +201,16 @@ def test_licences_against_every_part(spark, awkward):
     assert got == {i: plain_licences(t, known) for i, t in enumerate(rows)}
 
 
+def test_license_identifiers(spark):
+    """Every licence whose text is known has its identifier, and the GNU ones their current forms."""
+    keys = sorted({k for k, _ in licenses.known_texts()})
+    lines = [(k, f"SPDX-License-Identifier: {k}") for k in keys] + [(k, f"// spdx-license-identifier: {k}-{end}") for k in keys if "GPL-" in k for end in ("only", "or-later")]
+    lines = [(k, x.removeprefix("// ")) for k, x in lines] + [("BSL-1.0", "Licensed under the BSL-1.0"), ("LGPL-2.1", "Released under the LGPLv2.1"), ("Zlib", "Released under Zlib"), ("0BSD", "available under 0BSD"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0+")]
+    docs = spark.createDataFrame([(i, f"some code\n{x}\nmore") for i, (_, x) in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
+    assert got == {i: [k] for i, (k, _) in enumerate(lines)}
+
+
 @pytest.mark.parametrize("run", [secret_scan.scan, licenses.scan, quality_rules.judge])
 def test_awkward_and_empty(run, awkward, nothing):
     assert by_id(run(awkward), "doc_id") == by_id(awkward, "doc_id")
