@@ -70,6 +70,15 @@ def summarize(members: DataFrame) -> DataFrame:
         F.min(F.struct(-frp, F.col("ms"), F.col("det")))["det"].alias("representative"),
         listed("product").alias("products"),
         listed("satellite").alias("satellites"),
-        # counts by source of a bounded set of sources
-        F.array_join(F.transform(F.sort_array(F.collect_set("source")), lambda s: s), ",").alias("sources"),
+        listed("source").alias("sources"),
     )
+
+
+def source_counts(members: DataFrame) -> DataFrame:
+    """(cluster, n, sources) of members (cluster, source): how many each source has of a cluster, as ``source:count`` in order of source.
+
+    Counts come first, so that a cluster's list is as long as the sources are many; a null source is written ``unknown``.
+    """
+    each = members.groupBy("cluster", F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    named = F.transform(F.sort_array(F.collect_list(F.struct("source", "n"))), lambda s: F.concat_ws(":", s["source"], s["n"].cast("string")))
+    return each.groupBy("cluster").agg(F.sum("n").alias("n"), F.array_join(named, ",").alias("sources"))

@@ -152,6 +152,8 @@ def collection_metrics(rows: DataFrame, diagnostics: DataFrame) -> DataFrame:
     exceeded_tiles). Of features that share a key the first counts. A download of which it is not known whether it is
     partial or had failures, or whose failed tiles are not listed, passes no gates.
     """
+    # three aggregations read the rows, whose keys, voltages and reasons cost many patterns
+    rows = settle(rows.select("dataset", "seq", "valid", "inside", "reason", "key", "power", "kv", "kvs", "mismatch", "name", "ref", "operator", "osm_timestamp", "parts"))
     valid, inside = F.coalesce("valid", F.lit(False)), F.coalesce("inside", F.lit(False))
     seen = valid & inside
     full = lambda c: F.col(c).isNotNull() & (F.col(c) != "")

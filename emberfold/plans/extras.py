@@ -212,6 +212,25 @@ def fire_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.round(F.col("frp") / 2.5).cast("long").alias("fid"), "product", "source_id", r6(F.col("lat"), "lat"), r6(F.col("lon"), "lon"), "frp", "detected_at")
 
 
+@BOOK.add(
+    "S10_S14_S15_S18_polar",
+    f"WITH {T.D} SELECT CASE WHEN det % 2 = 0 THEN 'sentinel3a-slstr' ELSE 'sentinel3b-slstr' END AS source_id, CASE WHEN det % 2 = 0 THEN 'S3A' ELSE 'S3B' END AS satellite, round(lat, 6) AS lat, round(lon, 6) AS lon, frp, date_trunc('second', detected_at) AS detected_at FROM det_ WHERE det % 3 = 1 AND {T.inside()}",
+)
+def polar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages of both polar satellites, each feature in two pages: valid ones once, under their satellite's own source."""
+    at = F.date_format("detected_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    place = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    name = F.when(F.col("det") % 2 == 0, "S3A").otherwise("S3B")
+    told = F.struct(F.col("frp").alias("FRP"), F.col("lat").alias("Lat"), F.col("lon").alias("Lon"), at.alias("Datetime"), name.alias("Satellite"), (300 + F.col("det") % 90).alias("BT_mir_k"))
+    one = F.struct(F.lit("Feature").alias("type"), F.concat(F.lit("f."), F.col("det").cast("string")).alias("id"), place.alias("geometry"), told.alias("properties"))
+    rows = T.detections(spark, sf_dir).where("det % 3 = 1").select(one.alias("one"), F.explode(F.array(F.col("det") % 64, (F.col("det") + 1) % 64)).alias("page"))
+    pages = rows.groupBy("page").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("one").alias("features"))).alias("doc"))
+    folder = shared_folder(spark, "pages")
+    pages.write.partitionBy("page").text(folder)
+    got = feeds.by_satellite(feeds.load_fire_power(spark, folder, "sentinel3a-slstr", "SLSTR L2P FRP", "TR", T.REGION))
+    return got.select("source_id", "satellite", r6(F.col("lat"), "lat"), r6(F.col("lon"), "lon"), "frp", "detected_at")
+
+
 @BOOK.add("S16_S17_registry", "SELECT mode, source, count(*) AS n FROM (VALUES ('FIRMS_ONLY', 'nasa-firms'), ('MULTI_SOURCE', 'nasa-firms'), ('MULTI_SOURCE', 'mtg-fci-frp')) v(mode, source) JOIN events ON CASE source WHEN 'nasa-firms' THEN event_id % 3 = 0 ELSE event_id % 3 = 2 END GROUP BY ALL")
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = registry.Registry()

@@ -203,9 +203,21 @@ def key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.key_sets(*_two_sets(spark, sf_dir))
 
 
-@BOOK.add("S30_S31_tiles", "WITH t AS (SELECT x, y, x * 0.5 AS w, y * 0.5 AS s FROM range(57, 62) a(x), range(73, 78) b(y)) SELECT x, y, c AS child, CAST(w + (c % 2) * 0.25 AS DOUBLE) AS w, CAST(s + (c // 2) * 0.25 AS DOUBLE) AS s, CAST(w + (c % 2) * 0.25 + 0.25 AS DOUBLE) AS e, CAST(s + (c // 2) * 0.25 + 0.25 AS DOUBLE) AS n FROM t, range(4) r(c)")
+def _box(df: DataFrame) -> tuple[float, float, float, float]:
+    return tuple(df.agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first())
+
+
+@BOOK.add(
+    "S30_S31_tiles",
+    f"WITH {T.B}, b AS (SELECT floor(min(lon) / 0.5) AS w, floor(max(lon) / 0.5) AS e, floor(min(lat) / 0.5) AS s, floor(max(lat) / 0.5) AS n FROM sub_), xs AS (SELECT unnest(range(CAST(w AS BIGINT), CAST(e AS BIGINT) + 1)) AS x FROM b), ys AS (SELECT unnest(range(CAST(s AS BIGINT), CAST(n AS BIGINT) + 1)) AS y FROM b), "
+    "q AS (SELECT floor(lon / 0.25) AS qx, floor(lat / 0.25) AS qy, count(*) AS n FROM sub_ GROUP BY ALL) SELECT x, y, c AS child, (x * 2 + c % 2) * 0.25e0 AS w, (y * 2 + c // 2) * 0.25e0 AS s, (x * 2 + c % 2) * 0.25e0 + 0.25e0 AS e, (y * 2 + c // 2) * 0.25e0 + 0.25e0 AS n, coalesce(q.n, 0) AS found FROM xs CROSS JOIN ys CROSS JOIN range(4) r(c) LEFT JOIN q ON qx = x * 2 + c % 2 AND qy = y * 2 + c // 2",
+)
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.split_tiles(G.tiles(spark, 28.5, 36.9, 30.5, 38.9, 0.5)).withColumns({"x": F.col("x").cast("long"), "y": F.col("y").cast("long")})
+    """The aligned tiles that cover all substations, each in four, with what is in them."""
+    places = T.substations(spark, sf_dir)
+    kids = G.split_tiles(G.tiles(spark, *_box(places), 0.5)).withColumns({"x": F.col("x").cast("long"), "y": F.col("y").cast("long")})
+    there = places.groupBy((F.floor(F.col("lon") / 0.25) * 0.25).alias("w"), (F.floor(F.col("lat") / 0.25) * 0.25).alias("s")).agg(F.count(F.lit(1)).alias("found"))
+    return kids.join(there, ["w", "s"], "left").select("x", "y", "child", "w", "s", "e", "n", F.coalesce("found", F.lit(0)).alias("found"))
 
 
 #: Downloads by tile of half a degree: some line tiles came back empty, some tiles lie mostly outside.
@@ -266,9 +278,14 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.batches(T.substations(spark, sf_dir), "sub").groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@BOOK.add("X8_lattice", f"WITH p AS (SELECT r, c, 37.0 + 1.8 * r / 14 AS lat, 28.6 + 1.8 * c / 13 AS lon FROM range(15) a(r), range(14) b(c)) SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, {T.inside()} AS inside FROM (SELECT r, c, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM p)")
+@BOOK.add(
+    "X8_lattice",
+    f"WITH {T.B}, b AS (SELECT min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM sub_), p AS (SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, s + (n - s) * r / 14 AS lat, w + (e - w) * c / 13 AS lon FROM b, range(15) x(r), range(14) y(c)) SELECT r, c, round(lat, 6) AS lat, round(lon, 6) AS lon, {T.inside()} AS inside FROM p",
+)
 def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.lattice(spark, 28.6, 37.0, 30.4, 38.8, 15, 14).select("r", "c", in_region(F.col("lat"), F.col("lon"), T.REGION).alias("inside"))
+    """A lattice over the box of all substations."""
+    at = series.lattice(spark, *_box(T.substations(spark, sf_dir)), 15, 14)
+    return at.select("r", "c", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), in_region(F.col("lat"), F.col("lon"), T.REGION).alias("inside"))
 
 
 #: Events arrive in three parts: up to the middle of the month, from there on, and every twenty-fifth event after all others.

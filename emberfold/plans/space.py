@@ -142,6 +142,12 @@ def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(T.detections(spark, sf_dir)).select("det", "cluster")
 
 
+@BOOK.add("A9_source_counts", f"WITH RECURSIVE {REACH}, c AS (SELECT cluster, source_id || '-' || source AS source, count(*) AS n FROM det_ JOIN lab USING (det) GROUP BY ALL) SELECT cluster, CAST(sum(n) AS BIGINT) AS n, string_agg(source || ':' || n, ',' ORDER BY source) AS sources FROM c GROUP BY cluster")
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many detections each source and feed has of a cluster."""
+    return clusters.source_counts(clusters.cluster(T.detections(spark, sf_dir)).withColumn("source", F.concat_ws("-", "source_id", "source")))
+
+
 @BOOK.add(
     "A9_cluster_summary",
     f"WITH RECURSIVE {REACH}, m AS (SELECT det_.*, cluster, greatest(1.0, coalesce(frp, 1.0)) AS w FROM det_ JOIN lab USING (det)) SELECT cluster, count(*) AS n, {_q6('sum(lat * w) / sum(w)', 'lat')}, {_q6('sum(lon * w) / sum(w)', 'lon')}, max(frp) AS max_frp, round(sum(frp), 6) AS sum_frp, min(detected_at) AS earliest, max(detected_at) AS latest, "
