@@ -4,14 +4,16 @@ The URLs that a rule fits are the labelled ones. Of these, a bounded sample of d
 features; each level of a tree is one aggregation of gradients and curvatures by node, feature and bin, from which the
 best splits follow. The trees are CASE expressions over the features, so that judging is a projection over all pages.
 
-Gradients are summed as whole numbers: the order in which partial sums meet changes nothing, and reruns agree.
+Both kinds weigh the same, however many URLs there are of each: what is unlike all that was labelled is not blocked for
+the mere share of blocked labels. Gradients are summed as whole numbers: the order in which partial sums meet changes nothing, and reruns agree.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from math import log
+from itertools import pairwise
+from math import floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE = 12, 3, 16, 0.4, 1.0
 #: Pseudo-counts behind the share of blocked URLs of a suffix, and the steps in which shares are written.
 PRIOR, STEPS = 20, 1000
-#: One is this much in sums of gradients.
-ONE = 1 << 20
+#: One is this much in sums of gradients, and a URL of a kind that half of them are weighs this much.
+ONE, EVEN = 1 << 20, 1000
 SUFFIXES = ("label", "domain", "ending", "segment")
 FEATURES = ("length", "host_length", "labels", "hyphens", "path_length", "depth", "digits", "entropy", "params", "secure", *(f"{s}_share" for s in SUFFIXES))
 
@@ -93,7 +95,6 @@ class Boosted:
     """Trees over FEATURES: a leaf is a number, a node is (feature, edge, what holds up to the edge, what holds above it)."""
 
     shares: DataFrame | None
-    prior: float
     base: float
     trees: list
 
@@ -105,9 +106,9 @@ def _value(tree: object) -> Column:
     return F.when(F.col(f"_{f}") <= edge, _value(low)).otherwise(_value(high))
 
 
-def _with_shares(rows: DataFrame, shares: DataFrame | None, prior: float) -> DataFrame:
-    """Adds the share of blocked URLs of each suffix, in STEPS; one that was never seen has the ``prior`` share."""
-    unseen = F.lit(round(prior * STEPS))
+def _with_shares(rows: DataFrame, shares: DataFrame | None) -> DataFrame:
+    """Adds the share of blocked URLs of each suffix, in STEPS; one that was never seen has a half."""
+    unseen = F.lit(STEPS // 2)
     for s in SUFFIXES:
         if shares is None:
             rows = rows.withColumn(f"_{s}_share", unseen)
@@ -126,37 +127,36 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: in
     url = F.coalesce(F.col("url"), F.lit(""))
     n0, n1 = labelled.agg(F.count_if(F.col("blocked") == 0), F.count_if(F.col("blocked") == 1)).first()
     if not n0 or not n1:
-        return Boosted(None, float(n1 > 0), 9.0 if n1 else -9.0, [])
+        return Boosted(None, 9.0 if n1 else -9.0, [])
     share = F.when(F.col("blocked") == 1, min(1.0, sample / n1)).otherwise(min(1.0, sample / n0))
     drawn = labelled.where(F.pmod(F.xxhash64(url), F.lit(1 << 20)) < share * (1 << 20)).select(url.alias("url"), F.col("blocked").cast("int").alias("blocked")).distinct()
     drawn = settle(lexical(drawn, F.col("blocked")))
     n, k = drawn.agg(F.count(F.lit(1)), F.sum("blocked")).first()
     if not 0 < (k or 0) < n:
-        return Boosted(None, (k or 0) / max(n, 1), 9.0 if k else -9.0, [])
-    prior = k / n
+        return Boosted(None, 9.0 if k else -9.0, [])
+    even = F.when(F.col("blocked") == 1, round(EVEN * n / (2 * k))).otherwise(round(EVEN * n / (2 * (n - k))))
     each = drawn.select("blocked", F.explode(F.array(*[F.struct(F.lit(s).alias("kind"), F.col(f"_{s}").alias("suffix")) for s in SUFFIXES])).alias("s"))
-    share = F.round((F.sum("blocked") + PRIOR * prior) / (F.count(F.lit(1)) + PRIOR) * STEPS).cast("int")
+    share = F.round((F.sum(F.col("blocked") * even) + PRIOR * EVEN // 2) / (F.sum(even) + PRIOR * EVEN) * STEPS).cast("int")
     shares = settle(each.groupBy("s.kind", "s.suffix").agg(share.alias("share")))
 
-    rows = _with_shares(drawn, shares, prior)
+    rows = _with_shares(drawn, shares)
     values = [f"_{f}" for f in FEATURES]
-    rows = settle(rows.groupBy("blocked", *values).agg(F.count(F.lit(1)).alias("w")))
-    cuts = [i / BINS for i in range(1, BINS)]
-    weighed = rows.agg(*[F.percentile(v, cuts, F.col("w")).alias(v) for v in values]).first()
-    # a split says "up to the edge"; edges are whole, and the largest value is none
-    edges = {f: sorted({int(x) for x in weighed[f"_{f}"]}) for f in FEATURES}
+    rows = settle(rows.groupBy("blocked", *values).agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.col("n") * even))
+    cuts = [i / BINS for i in range(BINS + 1)]
+    weighed = rows.agg(*[F.percentile(v, cuts, F.col("n")).alias(v) for v in values]).first()
+    # a split says "up to the edge"; edges lie half way between neighbouring values, and are whole as the values are
+    edges = {f: sorted({floor((a + b) / 2) for a, b in pairwise(sorted(set(weighed[f"_{f}"])))}) for f in FEATURES}
     bins = [F.array(*[F.lit(e) for e in edges[f]]).cast("array<int>") for f in FEATURES]
     place = lambda f, b: F.size(F.filter(b, lambda e: e < F.col(f"_{f}")))
     rows = rows.withColumn("_bins", F.array(*[place(f, b) for f, b in zip(FEATURES, bins, strict=True)]))
 
-    base = log(prior / (1 - prior))
     made: list = []
-    scored = settle(rows.withColumn("_f", F.lit(base)))
+    scored = settle(rows.withColumn("_f", F.lit(0.0)))
     for _ in range(trees):
         tree = _grow(scored, edges, depth)
         made.append(tree)
         scored = settle(scored.withColumn("_f", F.col("_f") + _value(tree)))
-    return Boosted(shares, prior, base, made)
+    return Boosted(shares, 0.0, made)
 
 
 def _grow(scored: DataFrame, edges: dict[str, list[int]], depth: int) -> object:
@@ -197,13 +197,13 @@ def _path(above: list) -> Column:
 def best_split(bins: dict[int, dict[int, tuple[int, int]]], edges: dict[str, list[int]]) -> tuple[tuple[str, int] | None, float]:
     """The split of largest gain (ties: the first feature, the lowest edge), None if none gains, and the value of the node as a leaf.
 
-    ``bins`` has (gradient, curvature) in units of ONE by feature and bin.
+    ``bins`` has (gradient, curvature) in units of ONE times EVEN by feature and bin.
     """
     some = next(iter(bins.values()))
     g, h = sum(x[0] for x in some.values()), sum(x[1] for x in some.values())
-    ridge = RIDGE * ONE
+    ridge = RIDGE * ONE * EVEN
     worth = lambda a, b: a * a / (b + ridge)
-    best, gain = None, ONE * 1e-3
+    best, gain = None, ONE * EVEN * 1e-3
     for i, f in enumerate(FEATURES):
         left_g = left_h = 0
         for b, edge in enumerate(edges[f]):
@@ -216,7 +216,7 @@ def best_split(bins: dict[int, dict[int, tuple[int, int]]], edges: dict[str, lis
 
 def score(pages: DataFrame, model: Boosted, keep: tuple[str | Column, ...]) -> DataFrame:
     """``keep`` and score (0 to 1, higher: blocked likelier) of each row of ``pages``, by its URL alone."""
-    rows = _with_shares(lexical(pages, F.struct(*keep).alias("_keep")), model.shares, model.prior)
+    rows = _with_shares(lexical(pages, F.struct(*keep).alias("_keep")), model.shares)
     odds = reduce(lambda a, b: a + b, map(_value, model.trees), F.lit(model.base))
     return rows.select("_keep.*", (1 / (1 + F.exp(-odds))).alias("score"))
 

@@ -1,5 +1,6 @@
 """URL filters: rules, features and trees against plain versions."""
 
+import itertools
 import math
 import random
 import re
@@ -83,16 +84,19 @@ def plain_boost(rows, trees, depth):
     ordered = {f: sorted(x[f] for x, _ in rows) for f in url_filter.FEATURES}
     edges = {}
     for f, v in ordered.items():
-        at = [(len(v) - 1) * i / url_filter.BINS for i in range(1, url_filter.BINS)]
-        edges[f] = sorted({int(v[int(a)] + (a - int(a)) * (v[min(int(a) + 1, len(v) - 1)] - v[int(a)])) for a in at})
-    prior = sum(y for _, y in rows) / len(rows)
-    odds = [math.log(prior / (1 - prior))] * len(rows)
+        at = [(len(v) - 1) * i / url_filter.BINS for i in range(url_filter.BINS + 1)]
+        values = sorted({v[int(a)] + (a - int(a)) * (v[min(int(a) + 1, len(v) - 1)] - v[int(a)]) for a in at})
+        edges[f] = sorted({math.floor((a + b) / 2) for a, b in itertools.pairwise(values)})
+    k = sum(y for _, y in rows)
+    even = [round(url_filter.EVEN * len(rows) / (2 * (k if y else len(rows) - k))) for _, y in rows]
+    one = url_filter.ONE * url_filter.EVEN
+    odds = [0.0] * len(rows)
     made = []
 
     def grow(members, level):
         g, h = sum(gs[i] for i in members), sum(hs[i] for i in members)
-        worth = lambda a, b: a * a / (b + url_filter.ONE)
-        best, gain = None, url_filter.ONE * 1e-3
+        worth = lambda a, b: a * a / (b + one)
+        best, gain = None, one * 1e-3
         for f in url_filter.FEATURES if level < depth else ():
             for e in edges[f]:
                 low = [i for i in members if rows[i][0][f] <= e]
@@ -100,7 +104,7 @@ def plain_boost(rows, trees, depth):
                 if 0 < lh < h and (now := worth(lg, lh) + worth(g - lg, h - lh) - worth(g, h)) > gain:
                     best, gain = (f, e), now
         if best is None:
-            return url_filter.RATE * g / (h + url_filter.ONE)
+            return url_filter.RATE * g / (h + one)
         f, e = best
         return f, e, grow([i for i in members if rows[i][0][f] <= e], level + 1), grow([i for i in members if rows[i][0][f] > e], level + 1)
 
@@ -111,11 +115,11 @@ def plain_boost(rows, trees, depth):
 
     for _ in range(trees):
         ps = [1 / (1 + math.exp(-o)) for o in odds]
-        gs = [math.floor((y - p) * url_filter.ONE + 0.5) if y > p else -math.floor((p - y) * url_filter.ONE + 0.5) for (_, y), p in zip(rows, ps, strict=True)]
-        hs = [math.floor(p * (1 - p) * url_filter.ONE + 0.5) for p in ps]
+        gs = [e * (math.floor((y - p) * url_filter.ONE + 0.5) if y > p else -math.floor((p - y) * url_filter.ONE + 0.5)) for (_, y), p, e in zip(rows, ps, even, strict=True)]
+        hs = [e * math.floor(p * (1 - p) * url_filter.ONE + 0.5) for p, e in zip(ps, even, strict=True)]
         made.append(grow(range(len(rows)), 0))
         odds = [o + value(made[-1], x) for o, (x, _) in zip(odds, rows, strict=True)]
-    return lambda x: math.log(prior / (1 - prior)) + sum(value(t, x) for t in made)
+    return lambda x: sum(value(t, x) for t in made)
 
 
 def test_trees_against_row_by_row(spark, pages):
@@ -123,15 +127,16 @@ def test_trees_against_row_by_row(spark, pages):
     known = {r["url"]: r["blocked"] for r in pages.select("url").collect() if (rule := plain_rule(r["url"])) for r in [{"url": r["url"], "blocked": int(RULES[rule] == "block")}]}
     bits = {r["url"]: r["_entropy"] for r in url_filter.lexical(pages, pages["url"]).collect()}
     features = {u: plain_features(u) for u in bits}
-    prior = sum(known.values()) / len(known)
+    n, k = len(known), sum(known.values())
+    even = {1: round(url_filter.EVEN * n / (2 * k)), 0: round(url_filter.EVEN * n / (2 * (n - k)))}
     counts = {(s, v): [0, 0] for u in known for s, v in features[u][1].items()}
     for u, y in known.items():
         for s, v in features[u][1].items():
-            counts[s, v][0] += 1
-            counts[s, v][1] += y
+            counts[s, v][0] += even[y]
+            counts[s, v][1] += y * even[y]
     half_up = lambda x: math.floor(x + 0.5)
-    share = {k: half_up((y + url_filter.PRIOR * prior) / (n + url_filter.PRIOR) * url_filter.STEPS) for k, (n, y) in counts.items()}
-    whole = lambda u: features[u][0] | {"entropy": bits[u]} | {f"{s}_share": share.get((s, v), round(prior * url_filter.STEPS)) for s, v in features[u][1].items()}
+    share = {k: half_up((y + url_filter.PRIOR * url_filter.EVEN // 2) / (n + url_filter.PRIOR * url_filter.EVEN) * url_filter.STEPS) for k, (n, y) in counts.items()}
+    whole = lambda u: features[u][0] | {"entropy": bits[u]} | {f"{s}_share": share.get((s, v), url_filter.STEPS // 2) for s, v in features[u][1].items()}
     odds = plain_boost([(whole(u), y) for u, y in known.items()], url_filter.TREES, url_filter.DEPTH)
     for r in url_filter.judge(pages, keep=("url",)).collect():
         assert abs(r["score"] - 1 / (1 + math.exp(-odds(whole(r["url"]))))) < 1e-9
