@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfold.functions.geo import haversine_km
 from emberfold.functions.numbers import confidence_weight
 from emberfold.operators.graph import components
-from emberfold.operators.spatial import around, place_cells
+from emberfold.operators.spatial import around, cells, place_cells
 from emberfold.runtime import settle
 
 #: Links between cells up to which one task merges them.
 ALONE = 200_000
+#: Pairs of members of two cells that are looked at as they are, and how often busier cells are cut.
+PAIRS, DEPTH = 4_096, 3
+#: Members above which a cell is busy.
+BUSY = 64
 
 
 def close_pairs(dets: DataFrame, km: float = 5.0, hours: float = 6.0) -> DataFrame:
@@ -30,23 +34,115 @@ def close_pairs(dets: DataFrame, km: float = 5.0, hours: float = 6.0) -> DataFra
     return both.select(F.col("det").alias("u"), "v", d.alias("km")).where(F.col("km") <= km)
 
 
-def cluster(dets: DataFrame, km: float = 5.0, hours: float = 6.0) -> DataFrame:
-    """``dets`` with ``cluster``, the smallest det that links reach.
+def _groups(places: DataFrame, *keys: str) -> DataFrame:
+    """A row for each group of ``places``: how many it has, its box, and its outermost places in each direction and in time."""
+    place = F.struct("lat", "lon", "ms")
+    ways = [F.col("lat"), F.col("lon"), F.col("lat") + F.col("lon"), F.col("lat") - F.col("lon"), F.col("ms")]
+    ends = F.array_distinct(F.array(*[f(place, w) for w in ways for f in (F.min_by, F.max_by)]))
+    box = [f(c).alias(f"{name}_{c}") for c in ("lat", "lon", "ms") for name, f in (("lo", F.min), ("hi", F.max))]
+    return places.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *box, ends.alias("ends"))
 
-    Whatever shares a cell whose diagonal is below ``km``, and a step of ``hours``, is linked. Its smallest det stands for
-    it, so that a site with many detections makes no pairs within itself; links are looked for between cells alone.
+
+def _side(df: DataFrame, side: str, *keep: str) -> DataFrame:
+    return df.select(*keep, *[F.col(c).alias(f"{c}_{side}") for c in df.columns if c not in keep])
+
+
+def _reach(km: float, step: float) -> Column:
+    """Whether boxes a and b are so near that members can be linked; degrees count a little less than they are long."""
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"lo_{c}_a") - F.col(f"hi_{c}_b"), F.col(f"lo_{c}_b") - F.col(f"hi_{c}_a"))
+    far = F.greatest(*[F.abs(f"{end}_lat_{side}") for end in ("lo", "hi") for side in "ab"])
+    dy, dx = gap("lat") * 110.5, gap("lon") * 110.5 * F.cos(F.radians(far))
+    return (gap("ms") <= step) & (dy * dy + dx * dx <= km * km)
+
+
+def _cells_around(df: DataFrame, km: float, size: float) -> DataFrame:
+    """``df`` with its cell (cx, cy, slot) replaced by each cell that its members can be linked with, the cell itself among them."""
+    south, north = F.col("cy") * size, (F.col("cy") + 1) * size
+    up = km / 110.5
+    aside = km / (111.1 * F.greatest(F.lit(0.05), F.cos(F.radians(F.greatest(F.abs(south), F.abs(north)) + up))))
+    boxed = df.withColumns({"w": F.col("cx") * size - aside, "e": (F.col("cx") + 1) * size + aside, "s": south - up, "n_": north + up, "own": F.col("slot")})
+    out = cells(boxed.drop("cx", "cy"), F.col("w"), F.col("s"), F.col("e"), F.col("n_"), size)
+    return out.withColumn("slot", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1))).drop("w", "e", "s", "n_", "own")
+
+
+def busy_links(placed: DataFrame, busy: DataFrame, km: float, hours: float, size: float) -> DataFrame:
+    """(u, v): the pairs of a ``busy`` cell (rep, cx, cy, slot) and another one, by their ``rep``, of which any members
+    (rep, cx, cy, slot, lat, lon, ms) of ``placed`` are linked.
+
+    One link of two cells is enough. Outermost members show it for most pairs of busy cells; of other pairs, up to PAIRS
+    pairs of members are looked at. Beyond that both cells are cut into 64 parts, DEPTH times at most, and what is compared
+    are parts whose boxes are near enough, so that two busy cells meet along their border alone.
     """
-    size, step = km / 158.0, hours * 3_600_000
-    placed = place_cells(dets.where("ms is not null and lat is not null and lon is not null").select("det", "lat", "lon", "ms"), size).withColumn("slot", F.floor(F.col("ms") / step))
-    cell = ["cx", "cy", "slot"]
-    placed = settle(placed.join(placed.groupBy(*cell).agg(F.min("det").alias("rep")), cell))
+    step, cell, fine = hours * 3_600_000, ["cx", "cy", "slot"], 4**DEPTH
+    linked = lambda x, y: (F.abs(x["ms"] - y["ms"]) <= step) & (haversine_km(x["lat"], x["lon"], y["lat"], y["lon"]) <= km)
+    within = lambda c, unit, whole: F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((F.col(c) / unit - F.col(whole)) * fine)))
+    places = placed.select("rep", *cell, "lat", "lon", "ms", within("lon", size, "cx").alias("x"), within("lat", size, "cy").alias("y"), within("ms", step, "slot").alias("t")).distinct()
+
+    def part(depth: int) -> Column:
+        """The part of its cell that a place is in after so many cuts."""
+        return F.concat_ws("/", *[F.floor(F.col(c) / 4 ** (DEPTH - depth)).cast("string") for c in "xyt"]) if depth else F.lit("")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """Pairs of groups within reach: whether outermost members are linked, and whether there are others to look at."""
+        met = F.exists("ends_a", lambda p: F.exists("ends_b", lambda q: linked(p, q)))
+        more = (F.col("n_a") > F.size("ends_a")) | (F.col("n_b") > F.size("ends_b"))
+        return settle(pairs.where(_reach(km, step)).select("u", "v", "part_a", "part_b", "n_a", "n_b", met.alias("met"), more.alias("more")))
+
+    near = _cells_around(busy, km, size).select(*cell).distinct()
+    groups = settle(_groups(places.join(near, cell, "left_semi"), "rep", *cell))
+    hot = busy.select("rep", F.lit(True).alias("hot"))
+    groups = groups.join(hot, "rep", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    left, right = _cells_around(groups.where("hot"), km, size), groups
+    both = _side(left, "a", *cell).join(_side(right, "b", *cell), cell).where("rep_a < rep_b or (rep_a <> rep_b and not hot_b)")
+    seen = judged(both.select("*", F.col("rep_a").alias("u"), F.col("rep_b").alias("v"), F.lit("").alias("part_a"), F.lit("").alias("part_b")))
+    links, left = seen.where("met").select("u", "v"), seen.where("not met and more")
+    for depth in range(DEPTH + 1):
+        if not left.head(1):
+            break
+        few = left if depth == DEPTH else left.where(F.col("n_a") * F.col("n_b") <= PAIRS)
+        members = places.select("rep", part(depth).alias("part"), F.struct("lat", "lon", "ms").alias("p"))
+        pairs = few.select("u", "v", "part_a", "part_b").join(_side(members, "a").withColumnRenamed("rep_a", "u"), ["u", "part_a"])
+        pairs = pairs.join(_side(members, "b").withColumnRenamed("rep_b", "v"), ["v", "part_b"])
+        links = links.union(pairs.where(linked(F.col("p_a"), F.col("p_b"))).select("u", "v").distinct())
+        if depth == DEPTH:
+            break
+        # the parts of what is left, less the pairs of cells of which parts are linked already
+        parts = _groups(places.withColumns({"whole": part(depth), "part": part(depth + 1)}), "rep", "whole", "part")
+        wide = left.where(F.col("n_a") * F.col("n_b") > PAIRS).select("u", "v", F.col("part_a").alias("whole_a"), F.col("part_b").alias("whole_b"))
+        wide = wide.join(_side(parts, "a").withColumnRenamed("rep_a", "u"), ["u", "whole_a"]).join(_side(parts, "b").withColumnRenamed("rep_b", "v"), ["v", "whole_b"])
+        seen = judged(wide)
+        done = seen.where("met").select("u", "v").distinct()
+        links, left = links.union(done), settle(seen.where("not met and more").join(done, ["u", "v"], "left_anti"))
+    return links.distinct()
+
+
+def _few_links(placed: DataFrame, km: float, hours: float, size: float) -> DataFrame:
+    """(u, v): the pairs of cells, by their ``rep``, of which any members are linked, by looking at all members."""
+    step, cell = hours * 3_600_000, ["cx", "cy", "slot"]
     own = [F.col(c).alias(f"own_{c}") for c in cell]
     left = around(placed.select("det", "rep", "lat", "lon", "ms", *own), km, size)
     left = left.withColumn("slot", F.explode(F.sequence(F.col("own_slot") - 1, F.col("own_slot") + 1))).where("cx <> own_cx or cy <> own_cy or slot <> own_slot")
     right = placed.select(*cell, *[F.col(c).alias(f"v_{c}") for c in ("det", "rep", "lat", "lon", "ms")])
     near = haversine_km(F.col("lat"), F.col("lon"), F.col("v_lat"), F.col("v_lon")) <= km
     both = left.join(right, cell).where((F.col("det") < F.col("v_det")) & (F.abs(F.col("ms") - F.col("v_ms")) <= step) & near)
-    found = components(both.select(F.col("rep").alias("u"), F.col("v_rep").alias("v")), alone=ALONE)
+    return both.select(F.col("rep").alias("u"), F.col("v_rep").alias("v"))
+
+
+def cluster(dets: DataFrame, km: float = 5.0, hours: float = 6.0) -> DataFrame:
+    """``dets`` with ``cluster``, the smallest det that links reach.
+
+    Whatever shares a cell whose diagonal is below ``km``, and a step of ``hours``, is linked. Its smallest det stands for
+    it, so that a site with many detections makes no pairs within itself; of two cells one link is looked for.
+    """
+    size, step = km / 158.0, hours * 3_600_000
+    placed = place_cells(dets.where("ms is not null and lat is not null and lon is not null").select("det", "lat", "lon", "ms"), size).withColumn("slot", F.floor(F.col("ms") / step))
+    cell = ["cx", "cy", "slot"]
+    placed = settle(placed.join(placed.groupBy(*cell).agg(F.min("det").alias("rep"), (F.count(F.lit(1)) > BUSY).alias("busy")), cell))
+    links = _few_links(placed.where("not busy"), km, hours, size)
+    busy = placed.where("busy").select("rep", *cell).distinct()
+    if busy.head(1):
+        links = links.union(busy_links(placed, settle(busy), km, hours, size))
+    found = components(links, alone=ALONE)
     told = placed.select("det", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("det", F.coalesce("component", "rep").alias("cluster"))
     return dets.join(told.groupBy("det").agg(F.min("cluster").alias("cluster")), "det", "left").withColumn("cluster", F.coalesce("cluster", "det"))
 

@@ -49,6 +49,29 @@ def test_clusters(spark, lat):
     assert [got[i] for i in range(400)] == components(400, links)
 
 
+@pytest.mark.parametrize(("lat", "pairs"), [(0.0, 1), (38.0, 1), (70.0, 4096)])
+def test_clusters_of_busy_cells(spark, monkeypatch, lat, pairs):
+    monkeypatch.setattr(clusters, "BUSY", 1)
+    monkeypatch.setattr(clusters, "PAIRS", pairs)
+    rng, rows = random.Random(4), []
+    for _ in range(6):
+        y, x, t = lat + rng.uniform(-0.15, 0.15), 20 + rng.uniform(-0.3, 0.3), rng.uniform(0, 8e7)
+        rows += [(len(rows) + i, y + rng.gauss(0, 0.008), x + rng.gauss(0, 0.012), t + rng.gauss(0, 4e6)) for i in range(50)]
+    rows += [(300 + i, *rows[0][1:]) for i in range(5)]
+    got = {r["det"]: r["cluster"] for r in clusters.cluster(spark.createDataFrame(rows, "det long, lat double, lon double, ms double")).collect()}
+    links = [(a[0], b[0]) for a, b in combinations(rows, 2) if abs(a[3] - b[3]) <= 6 * 3_600_000 and km(a[1:3], b[1:3]) <= 5]
+    assert [got[i] for i in range(305)] == components(305, links)
+
+
+@pytest.mark.parametrize(("apart", "n"), [(0.0, 1), (0.058, 2)])
+def test_two_adjoining_cells_of_fifty_thousand(spark, apart, n):
+    """All pairs of the two would be 2.5 thousand million; those that are apart have no link that ends the search."""
+    lon = F.when(F.col("id") < 50_000, 20 - F.rand(2) * 0.03).otherwise(20 + apart + F.rand(3) * 0.03)
+    hot = spark.range(100_000).select(F.col("id").alias("det"), (38 + F.rand(1) * 0.01).alias("lat"), lon.alias("lon"), (F.rand(5) * 2e7).alias("ms"))
+    got = clusters.cluster(hot).groupBy("cluster").count().collect()
+    assert len(got) == n and sum(r["count"] for r in got) == 100_000
+
+
 def observations(rows):
     return [(i, float(la), float(lo), m * 60_000.0, fam, fam, float(frp)) for i, (la, lo, m, fam, frp) in enumerate(rows)]
 
