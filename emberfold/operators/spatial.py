@@ -6,7 +6,7 @@ that results are always aggregated by minima, which repeats do not change.
 
 The nearest is searched in rings: all points look a little way first, in small cells, and only those that found nothing
 look farther. Lines and places are tables of assets, far smaller than the points; up to a size that is checked their
-cells are broadcast, so that no cell with many points is one task's.
+cells are broadcast; beyond it ``meet`` deals out the points of hot cells, so that no cell with many points is one task's.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfold.functions.geo import KM_LAT, angle_diff, bearing_deg, haversine_km, km_per_lon
-from emberfold.runtime import settle, small
+from emberfold.runtime import BROADCAST_ROWS, settle
 
 CELL = 0.5
 #: Each ring of a search is so many times as wide as the one before.
 WIDER, RINGS = 4.0, 3
+#: Points of a cell above which they are dealt out in shares, where assets are too many to be broadcast.
+HOT = 20_000
 #: Samples that every point looks at.
 LATTICE = 1_000
 
@@ -70,6 +72,24 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+def meet(points: DataFrame, assets: DataFrame, key: str) -> DataFrame:
+    """``points`` (key) joined to ``assets`` on their cells (cx, cy).
+
+    Up to a number of rows the assets are broadcast. Beyond it both are shuffled by cell: the points of a cell that has more
+    than HOT are dealt out in shares by their key, and its assets, which are few beside them, are copied to each share.
+    """
+    if assets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return points.join(F.broadcast(assets), ["cx", "cy"])
+    hot = points.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    hot = settle(hot.select("cx", "cy", F.ceil(F.col("n") / HOT).cast("int").alias("shares")))
+    # a hot cell stands for more than HOT points, so that this table is slim; it is broadcast if it is known to be small
+    near = F.broadcast(hot) if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hot
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = points.join(near, ["cx", "cy"], "left").withColumn("share", F.pmod(F.hash(key), shares)).drop("shares")
+    copied = assets.join(near, ["cx", "cy"], "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
+    return dealt.join(copied, ["cx", "cy", "share"]).drop("share")
+
+
 def fixed(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that are computed once a row, whatever is built on them.
 
@@ -86,7 +106,7 @@ def line_hits(points: DataFrame, segs: DataFrame, km: float, size: float | None
     size = size or cell_for(km)
     asked = spread(points.select("det", "lat", "lon", km_per_lon(F.col("lat")).alias("kx")), "det")
     c = F.col
-    hits = around(asked, km, size).join(small(segment_cells(segs, size)), ["cx", "cy"])
+    hits = meet(around(asked, km, size), segment_cells(segs, size), "det")
     hits = fixed(hits, ax=(c("a_lon") - c("lon")) * c("kx"), ay=(c("a_lat") - c("lat")) * KM_LAT, dx=(c("b_lon") - c("a_lon")) * c("kx"), dy=(c("b_lat") - c("a_lat")) * KM_LAT)
     hits = fixed(hits, den=c("dx") * c("dx") + c("dy") * c("dy"))
     hits = fixed(hits, t=F.when(c("den") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(c("ax") * c("dx") + c("ay") * c("dy")) / c("den")))).otherwise(0.0))
@@ -100,7 +120,7 @@ def point_hits(points: DataFrame, places: DataFrame, km: float, size: float | No
     """(det, sub, km, sub_lat, sub_lon) of ``places`` (sub, lat, lon) within ``km``."""
     size = size or cell_for(km)
     there = place_cells(places, size).select("cx", "cy", "sub", F.col("lat").alias("sub_lat"), F.col("lon").alias("sub_lon"))
-    hits = around(spread(points.select("det", "lat", "lon"), "det"), km, size).join(small(there), ["cx", "cy"])
+    hits = meet(around(spread(points.select("det", "lat", "lon"), "det"), km, size), there, "det")
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("sub_lat"), F.col("sub_lon"))
     return hits.select("det", "sub", d.alias("km"), "sub_lat", "sub_lon").where(F.col("km") <= km)
 
@@ -199,7 +219,7 @@ def lines_in_sector(events: DataFrame, segs: DataFrame, half: float, most_km: fl
     room = F.col("half_km") * 1.1 + 1
     along, aside = x * F.col("ux") + y * F.col("uy") + room, F.abs(x * F.col("uy") - y * F.col("ux"))
     near = (along >= 0) & (along <= F.col("reach") * 1.1 + room * 2) & (aside <= along * math.tan(math.radians(half + 3)) + room) if half < 80 else F.lit(True)
-    hits = asked.join(small(segment_cells(own, size)), ["cx", "cy"]).where(near)
+    hits = meet(asked, segment_cells(own, size), "event").where(near)
     mid = [(F.col(f"a_{x}") + F.col(f"b_{x}")) / 2 for x in ("lat", "lon")]
     hits = _in_sector(hits, {"a": (F.col("a_lat"), F.col("a_lon")), "b": (F.col("b_lat"), F.col("b_lon")), "mid": (mid[0], mid[1])}, half)
     best = hits.groupBy("event", "asset_key").agg(F.min(F.struct("hit.km", "sid", "hit.bearing")).alias("b"))
@@ -209,7 +229,7 @@ def lines_in_sector(events: DataFrame, segs: DataFrame, half: float, most_km: fl
 def places_in_sector(events: DataFrame, places: DataFrame, half: float, most_km: float, size: float | None = None) -> DataFrame:
     size = size or cell_for(most_km)
     there = place_cells(places, size).select("cx", "cy", "sub", F.col("lat").alias("sub_lat"), F.col("lon").alias("sub_lon"))
-    hits = sector_cells(spread(events.where("direction is not null"), "event"), half, most_km, size).join(small(there), ["cx", "cy"])
+    hits = meet(sector_cells(spread(events.where("direction is not null"), "event"), half, most_km, size), there, "event")
     hits = _in_sector(hits, {"sub": (F.col("sub_lat"), F.col("sub_lon"))}, half)
     best = hits.groupBy("event", "sub").agg(F.min(F.struct("hit.km", "hit.bearing")).alias("b"))
     return best.select("event", "sub", "b.km", "b.bearing")

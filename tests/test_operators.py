@@ -72,6 +72,20 @@ def test_two_adjoining_cells_of_fifty_thousand(spark, apart, n):
     assert len(got) == n and sum(r["count"] for r in got) == 100_000
 
 
+def test_hot_cells_of_distance_joins(spark, monkeypatch):
+    """What is too large to be broadcast meets by cell, hot cells in shares: with the same hits."""
+    rng = random.Random(2)
+    points = spark.createDataFrame([(i, 38 + rng.random() * (0.01 if i < 300 else 1), 29 + rng.random() * (0.01 if i < 300 else 1)) for i in range(400)], "det long, lat double, lon double")
+    places = spark.createDataFrame([(i, 38 + rng.random(), 29 + rng.random()) for i in range(60)], "sub long, lat double, lon double")
+    want = sorted(map(tuple, spatial.point_hits(points, places, 30.0).collect()))
+    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(spatial, "HOT", 20)
+    got = spatial.point_hits(points, places, 30.0)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 300
+    shares = spatial.place_cells(points, 0.09).groupBy("cx", "cy").count().agg(F.max("count")).first()[0]
+    assert shares > 10 * spatial.HOT
+
+
 def observations(rows):
     return [(i, float(la), float(lo), m * 60_000.0, fam, fam, float(frp)) for i, (la, lo, m, fam, frp) in enumerate(rows)]
 
