@@ -6,6 +6,8 @@ are ordered by how rare they are in the documents, and each window is looked for
 of that shingle says where the window would have to begin, which must lie inside the document, and the words there are
 then compared with the window's.
 
+Of the documents' shingles only those of the benchmark go on, by a broadcast, or by a sieve of bits and a join of what it leaves.
+
 Copies of a text are looked up once: until the last join, documents are known by the digest of their text.
 """
 
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfold.llm.columns import covered, let, shingle_hashes
-from emberfold.llm.common import ascii_lower, settle, small
+from emberfold.llm.common import among, ascii_lower, settle, small
 
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 4
@@ -51,7 +53,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     grams = wanted.select("window", "length", F.posexplode(let(F.split("window", " "), lambda w: F.when(F.size(w) >= shingle, shingle_hashes(w, shingle)).otherwise(F.array(F.xxhash64(w))))).alias("offset", "gram"))
     grams = settle(grams)
     sizes = [r[0] for r in grams.select(F.least("length", F.lit(shingle)).alias("k")).distinct().collect()]
-    asked = small(grams.select("gram").distinct())
+    asked = settle(grams.select("gram").distinct())
 
     def hashed(words: Column) -> Column:
         """Position and hash of the shingles of every size that windows have."""
@@ -60,7 +62,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     seen = None
     if sizes:
         each = docs.select(_key(F.col("text")).alias("key"), let(item_words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), hashed(w).alias("grams"))).alias("s"))
-        seen = each.select("key", F.col("s.n").alias("n"), F.inline("s.grams")).join(asked, "gram")
+        seen = among(each.select("key", F.col("s.n").alias("n"), F.inline("s.grams")), asked, "gram")
     if seen is None:
         none = docs.select("doc_id", _key(F.col("text")).alias("key"), F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
         return none.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "contaminated": F.lit(False)})
@@ -76,7 +78,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     near = settle(near)
 
     # only texts with candidates move, and each of them once; what is found comes to the documents by the texts' digests
-    texts = docs.select(_key(F.col("text")).alias("key"), "text").join(small(near.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    texts = among(docs.select(_key(F.col("text")).alias("key"), "text"), near.select("key"), "key").dropDuplicates(["key"])
     size = F.aggregate("near", F.lit(64), lambda a, x: a + F.octet_length(x["window"]) + 48)
     sure = lambda w: F.filter(F.sort_array("near"), lambda c: F.array_join(F.slice(w, c["start"] + 1, c["stop"] - c["start"]), " ") == c["window"])
     told = let(item_words(F.col("text")), lambda w: let(sure(w), lambda s: F.struct(covered(s).alias("n_hit"), F.array_distinct(F.transform(s, lambda x: x["window"])).alias("windows"))))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberfold.llm.columns import let
-from emberfold.llm.common import LOWER, UPPER, settle, small
+from emberfold.llm.common import LOWER, UPPER, among, settle, small
 
 #: Pattern and replacement, applied in this order to lower-cased text; read alike by Java and RE2.
 STEPS: tuple[tuple[str, str], ...] = (
@@ -216,7 +216,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     meet = several.select("license", "paragraphs", F.explode(F.array_distinct("paragraphs")).alias("part"))
     near = settle(rows.where("size(parts) > 0").select("key", F.explode("parts").alias("part")).distinct().join(small(meet), "part").select("key", "license", "paragraphs").distinct())
     near_keys = near.select("key").distinct()
-    full = docs.select(key.alias("key"), text.alias("text")).join(small(near_keys), "key", "left_semi").dropDuplicates(["key"]).select("key", _paragraphs(F.col("text")).alias("own"))
+    full = among(docs.select(key.alias("key"), text.alias("text")), near_keys, "key").dropDuplicates(["key"]).select("key", _paragraphs(F.col("text")).alias("own"))
     n = F.size("paragraphs")
     within = F.exists(F.sequence(F.lit(1), F.size("own") - n + 1), lambda i: F.slice("own", i, n) == F.col("paragraphs"))
     rowed = near.join(full, "key").where(F.size("own") >= n).where(within).groupBy("key").agg(F.collect_set("license").alias("rowed"))

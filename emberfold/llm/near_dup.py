@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberfold.llm.common import LOWER, SPACE, UPPER, settle, small
+from emberfold.llm.common import LOWER, SPACE, UPPER, among, settle, small
 from emberfold.llm.textbits import BYTES, mix, piece_hash, prefix_sums, whole
 from emberfold.operators.graph import components
 
@@ -117,7 +117,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": part["doc_id"].values, "items": [s.view(np.int64) for s in sets]})
 
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    return asked.join(small(ids), "doc_id", "left_semi").mapInPandas(rows, "doc_id long, items array<long>")
+    return among(asked, ids, "doc_id").mapInPandas(rows, "doc_id long, items array<long>")
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:

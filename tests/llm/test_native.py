@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from emberfold.llm import decontaminate, licenses, quality_rules, secret_scan
+from emberfold.llm import common, decontaminate, licenses, quality_rules, secret_scan
 from tests.llm.conftest import SCHEMA, awkward_rows, by_id
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -229,3 +229,29 @@ def test_query_digests(spark, tmp_path):
     got = {r["doc_id"]: r for r in QUERIES["op4_secrets"](spark, str(tmp_path)).collect()}
     text = ",".join(f"{'assign access hex'.split()[k]}:{a}:{b}" for a, k, b in plain_base(SECRETS[0]))
     assert got[1]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[2]["spans"] == ""
+
+
+def test_sieve_keeps_all_keys_and_few_others(spark):
+    keys = spark.range(0, 1_000_000, 10).selectExpr("unhex(md5(cast(id as string))) AS key")
+    rows = spark.range(100_000).selectExpr("unhex(md5(cast(id as string))) AS key", "id")
+    got = common.sieve(rows, keys, "key")
+    assert got.columns == ["key", "id"] and got.where("id % 10 = 0").count() == 10_000
+    # a hundred thousand of eight million bits are set
+    assert got.where("id % 10 <> 0").count() < 90_000 * 0.02
+
+
+def test_many_benchmark_shingles(spark, monkeypatch, awkward):
+    """Beyond a broadcast the documents' shingles are sieved before they are shuffled, with the same result."""
+    text = {r[0]: r[1] for r in awkward_rows()}
+    w = item_words(text[1])
+    items = spark.createDataFrame([(1, " ".join(w[:15])), (2, " ".join(w[40:60])), (3, "never seen words here"), (4, None)], "item_id long, text string")
+    want = Counter(map(str, decontaminate.contamination(awkward, items).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    assert Counter(map(str, decontaminate.contamination(awkward, items).collect())) == want
+    grams = spark.range(50).selectExpr("id AS gram")
+    rows = spark.range(1000).selectExpr("id % 200 AS gram", "id")
+    plan = common.among(rows, grams, "gram")._jdf.queryExecution().optimizedPlan().toString()
+    # the bits are looked up below the join that shuffles: the outer one has no bits in its condition
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 2 and "bits" not in joins[0] and "bits" in joins[1]
+    assert common.among(rows, grams, "gram").count() == 250
