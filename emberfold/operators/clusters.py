@@ -178,3 +178,11 @@ def source_counts(members: DataFrame) -> DataFrame:
     each = members.groupBy("cluster", F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     named = F.transform(F.sort_array(F.collect_list(F.struct("source", "n"))), lambda s: F.concat_ws(":", s["source"], s["n"].cast("string")))
     return each.groupBy("cluster").agg(F.sum("n").alias("n"), F.array_join(named, ",").alias("sources"))
+
+
+def event_names(summary: DataFrame, country: str) -> DataFrame:
+    """``summary`` with ``name`` (country, day of the first detection, and a digest of the smallest member) in the order that
+    events are shown in: the latest first, the smallest of equals."""
+    day = F.date_format("earliest", "yyyyMMdd")
+    name = F.concat_ws("-", F.lit(country), F.lit("fire"), day, F.substring(F.md5(F.col("cluster").cast("string").cast("binary")), 1, 10))
+    return summary.withColumn("name", name).orderBy(F.desc("latest_ms"), "cluster")

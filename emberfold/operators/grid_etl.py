@@ -254,3 +254,26 @@ def coverage(features: DataFrame, regions: DataFrame) -> DataFrame:
     r = F.broadcast(regions.select("region", *[F.col(c).alias(f"r_{c}") for c in "wsen"]))
     hit = r.join(features, (F.col("w") <= F.col("r_e")) & (F.col("e") >= F.col("r_w")) & (F.col("s") <= F.col("r_n")) & (F.col("n") >= F.col("r_s")), "left")
     return hit.groupBy("region").agg(F.count_if(F.col("power").isin(*LINES)).alias("lines"), F.count_if(F.col("power") == "substation").alias("substations"))
+
+
+def voltage_layer(group: Column) -> Column:
+    """The layer of a line by its voltage group; groups that are not known, or null, are ``unknown``."""
+    return F.when(group.isin("300-500kV", ">500kV"), "400").when(group == "66-300kV", "154").when(group.isin("20-66kV", "<20kV"), "33").otherwise("unknown")
+
+
+def country_layers(features: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """``features`` (kind, voltage_group, points: array of [lon, lat]) that belong to a box, with ``layer`` and points of five decimals.
+
+    Lines belong to it if their boxes overlap or touch, and go by voltage; a substation is the middle of its own box, which
+    must lie inside. Other kinds, and features without points, are left out.
+    """
+    lon, lat = F.transform("points", lambda p: F.get(p, F.lit(0))), F.transform("points", lambda p: F.get(p, F.lit(1)))
+    ends = {"w": F.array_min(lon), "e": F.array_max(lon), "s": F.array_min(lat), "n": F.array_max(lat)}
+    rows = features.where("kind in ('line', 'minor_line', 'substation') and size(points) > 0").withColumns({f"box_{k}": v for k, v in ends.items()})
+    rows = rows.where((F.col("box_e") >= west) & (F.col("box_w") <= east) & (F.col("box_n") >= south) & (F.col("box_s") <= north))
+    station = F.col("kind") == "substation"
+    mid = [(F.col("box_w") + F.col("box_e")) / 2, (F.col("box_s") + F.col("box_n")) / 2]
+    rows = rows.where(~station | (mid[0].between(west, east) & mid[1].between(south, north)))
+    points = F.transform(F.when(station, F.array(F.array(*mid))).otherwise(F.col("points")), lambda p: F.transform(p, lambda x: F.round(x, 5)))
+    layer = F.when(station, "substations").otherwise(voltage_layer(F.coalesce("voltage_group", F.lit("unknown"))))
+    return rows.withColumns({"layer": layer, "points": points}).drop(*[f"box_{k}" for k in ends])

@@ -26,6 +26,33 @@ def nearest_hour(rows: DataFrame, target: Column, values: Sequence[str], keep: S
     return best.select(*keep, "b.time", *[f"b.{v}" for v in values])
 
 
+#: Fixed names of the hourly weather values, and the level whose speed and direction a map shows.
+WEATHER = (
+    "wind_speed_10m", "wind_direction_10m", "wind_gusts_10m", "temperature_2m", "relative_humidity_2m",
+    "precipitation", "wind_speed_850hPa", "wind_direction_850hPa", "wind_speed_700hPa", "wind_direction_700hPa",
+)
+LEVELS = ("10m", "850hPa", "700hPa")
+
+
+def finite(value: Column) -> Column:
+    """Null for what is no number."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def weather_at(rows: DataFrame, target: Column, keep: Sequence[str] = ("sample",)) -> DataFrame:
+    """All weather values of each point in the hour nearest to ``target``; what is no finite number is null."""
+    got = nearest_hour(rows, target, WEATHER, keep)
+    return got.withColumns({v: finite(F.col(v)) for v in WEATHER})
+
+
+def wind_at(rows: DataFrame, target: Column, level: str = "10m", keep: Sequence[str] = ("sample",)) -> DataFrame:
+    """(keep, time, speed, direction, level) of each point in the hour nearest to ``target``; an unknown level is that of 10 m."""
+    level = level if level in LEVELS else LEVELS[0]
+    names = [f"wind_speed_{level}", f"wind_direction_{level}"]
+    got = nearest_hour(rows, target, names, keep)
+    return got.select(*keep, "time", finite(F.col(names[0])).alias("speed"), finite(F.col(names[1])).alias("direction"), F.lit(level).alias("level"))
+
+
 def clean(value: Column) -> Column:
     """Null for negative values."""
     return F.when(value >= 0, value)
