@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberfold.llm.common import settle, small
@@ -35,13 +36,15 @@ from emberfold.llm.textbits import grouped, mix, piece_hash, prefix_sums
 
 LEAST, GRAM = 50, 16
 SPAN = LEAST - GRAM + 1  # grams in a window
-#: Bytes of text in a task whose runs are compared before they are dealt out.
-AHEAD = 8 << 20
+#: Bytes of text in a task whose runs are compared before they are dealt out, and bytes that are turned into arrays at a time.
+AHEAD, AT_ONCE = 4 << 20, 1 << 18
+#: Bytes of rows that Spark hands to Python at a time (10,000 texts otherwise).
+BATCH = 8 << 20
 #: Runs of an anchor go to one of so many parts for each shuffle partition (and LEAST_PARTS at least), which Spark deals out.
 #: A task settles a few parts at a time.
-SHARE, LEAST_PARTS = 16, 1 << 12
+SHARE, LEAST_PARTS = 16, 1 << 10
 #: Runs for which a task takes parts together, runs of one part that it holds before equal ones are put together, and windows that it sorts at once.
-TOGETHER, HELD, SORTED = 100_000, 1_000_000, 200_000
+TOGETHER, HELD, SORTED = 50_000, 400_000, 100_000
 LAST = (1 << 63) - 1
 #: Anchors with about so many runs are split; they are counted in one of SAMPLE texts.
 CROWD, SAMPLE, MOST_SPLIT = 4_000, 8, 1 << 18
@@ -59,7 +62,7 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     The run hash covers the windows' bytes and where the anchor is among them.
     """
     out: list[list[np.ndarray]] = [[], [], [], [], []]
-    for group in grouped(texts, LEAST - 1):
+    for group in grouped(texts, LEAST - 1, AT_ONCE):
         buf = np.frombuffer(b"".join(p for _, _, p in group) + bytes(GRAM + 8), np.uint8)
         lens = np.array([len(p) for _, _, p in group])
         stops = np.cumsum(lens)
@@ -184,7 +187,8 @@ def _deal(batches: Iterator[pd.DataFrame], bits: int, crowded: np.ndarray | None
         seen = np.zeros(len(doc), bool)
         seen[order] = doc[order] > leader
         keep = order[~seen[order]]
-        dealt = np.where(np.isin((anchor[keep] & ANCHOR).astype(np.int64), split), mix(anchor[keep] ^ run[keep]), anchor[keep])
+        # anchors are the smallest hashes, whose upper bits are alike
+        dealt = mix(np.where(np.isin((anchor[keep] & ANCHOR).astype(np.int64), split), anchor[keep] ^ run[keep], anchor[keep]))
         part = (dealt >> np.uint64(64 - bits)).astype(np.int64)
         by_part = np.argsort(part, kind="stable")
         keep, part = keep[by_part], part[by_part]
@@ -246,7 +250,7 @@ def _settle_runs(batches: Iterator[pd.DataFrame], crowded: np.ndarray | None = N
         spread = np.maximum.reduceat(doc, starts) > np.minimum.reduceat(doc, starts)
         sizes = np.diff(np.concatenate((starts, [len(anchor)])))
         look = np.flatnonzero(np.repeat(((kinds > 1) & spread) | np.isin(anchor[starts].astype(np.int64), split), sizes))
-        for at in np.array_split(look, len(look) // 100_000 + 1):
+        for at in np.array_split(look, len(look) // 50_000 + 1):
             yield pd.DataFrame({"doc": doc[at], "twin": twin[at], "anchor": pd.array(anchor[at].astype(np.int64), "Int64"), "first": first[at], "n": n[at]})
 
     for b in batches:
@@ -295,7 +299,7 @@ def _contexts(batches: Iterator[pd.DataFrame], crowded: np.ndarray | None = None
         gone = _merged(doc[bad], twin[bad], first[bad], np.ones(int(bad.sum()), np.int64))
         yield gone.assign(spot=gone["first"] ^ gone["doc"], bytes=None)[names]
         left = np.flatnonzero(~bad)
-        for at in np.array_split(left, len(left) // 100_000 + 1):
+        for at in np.array_split(left, len(left) // 50_000 + 1):
             own = [rows[r][5][o : o + LEAST] for r, o in zip(row[at], offset[at], strict=True)]
             spot = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True) for w in own]
             yield pd.DataFrame({"spot": np.array(spot, np.int64), "doc": doc[at], "twin": twin[at], "first": first[at], "n": 1, "bytes": own})
@@ -313,7 +317,7 @@ def _contexts(batches: Iterator[pd.DataFrame], crowded: np.ndarray | None = None
                     size += s["n"]
                 else:
                     rows.append(one)
-            if len(rows) >= 50_000:
+            if len(rows) >= 20_000:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
             if size >= SORTED:
@@ -407,6 +411,21 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush(pd.concat(held, ignore_index=True))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """For what runs meanwhile, rows reach Python in batches of about BATCH bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
 
 
@@ -431,26 +450,26 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(30, (max(LEAST_PARTS, SHARE * parts) - 1).bit_length())
-    crowded = _crowded(fresh)
-    dealt = fresh.mapInPandas(partial(_deal, bits=bits, crowded=crowded), DEALT).repartition(parts, "part").sortWithinPartitions("part")
-    found = settle(dealt.mapInPandas(partial(_settle_runs, crowded=crowded), SPANS))
-    look = found.where("anchor is not null").groupBy("doc", "twin").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("look"))
-    contexts = fresh.join(look, ["doc", "twin"]).mapInPandas(partial(_contexts, crowded=crowded), CONTEXTS)
-    looked = settle(contexts.repartition(parts, "spot").sortWithinPartitions("spot").mapInPandas(_look, SPANS))
-    gone = found.where("anchor is null").union(looked).groupBy("doc", "twin").agg(F.collect_list(F.struct("first", "n")).alias("gone"))
+    with _small_batches(spark):
+        crowded = _crowded(fresh)
+        dealt = fresh.mapInPandas(partial(_deal, bits=bits, crowded=crowded), DEALT).repartition(parts, "part").sortWithinPartitions("part")
+        found = settle(dealt.mapInPandas(partial(_settle_runs, crowded=crowded), SPANS))
+        look = found.where("anchor is not null").groupBy("doc", "twin").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("look"))
+        contexts = fresh.join(look, ["doc", "twin"]).mapInPandas(partial(_contexts, crowded=crowded), CONTEXTS)
+        looked = settle(contexts.repartition(parts, "spot").sortWithinPartitions("spot").mapInPandas(_look, SPANS))
+    gone = found.where("anchor is null").union(looked).groupBy("doc", "twin").agg(F.collect_list(F.struct("first", "n")).alias("gone")).select("doc", "twin", "gone.first", "gone.n")
 
     @F.pandas_udf(CUT)
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, firsts: pd.Series, counts: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, removed in zip(texts, spans, strict=True):
+        for text, first, n in zip(texts, firsts, counts, strict=True):
             raw = text.encode()
-            if removed is None or not len(removed):
+            if first is None or not len(first):
                 rows.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw if with_text else None))
                 continue
             mark = np.zeros(len(raw) + 1, np.int32)
-            first = np.array([s["first"] for s in removed])
             np.add.at(mark, first, 1)
-            np.add.at(mark, first + np.array([s["n"] for s in removed]) + LEAST - 1, -1)
+            np.add.at(mark, first + n + LEAST - 1, -1)
             bad = np.cumsum(mark)[:-1] > 0
             kept = np.frombuffer(raw, np.uint8)[~bad].tobytes()
             spans_n = int(bad[0]) + int((bad[1:] & ~bad[:-1]).sum())
@@ -464,7 +483,7 @@ def drop_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     kept = F.when(long, F.lit("")).otherwise(F.col("text"))
     whole = copied.select("doc_id", size.alias("n_bytes"), F.when(long, size).otherwise(zero).alias("n_removed"), long.cast("long").alias("n_spans"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"), kept.cast("binary").alias("kept_text"))
     rest = base.join(small(copies), ["doc", "digest"], "left_anti").join(gone, ["doc", "twin"], "left")
-    rest = rest.withColumn("c", cut("text", "gone")).select("doc_id", "c.*")
+    rest = rest.withColumn("c", cut("text", "first", "n")).select("doc_id", "c.*")
     out = rest.unionByName(whole)
     return out if with_text else out.drop("kept_text")
 

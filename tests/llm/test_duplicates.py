@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -243,3 +244,29 @@ def test_kept_text(spark):
     for r in got:
         sizes[r["doc_id"]].append(r["n_bytes"] - r["n_removed"] == len(r["kept_text"]))
     assert all(all(v) for v in sizes.values())
+
+
+def test_repeats_take_little_memory_in_a_task(spark):
+    """Dealing 12 MB of texts out takes a fraction of what pieces of 1 MB and flushes of 8 MB took, and parts are alike in size."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**8):x}" for _ in range(50_000)]
+    docs = pd.DataFrame({"doc": range(3000), "twin": 0, "text": [" ".join(rng.choices(words, k=520)) for _ in range(3000)]})
+    assert docs["text"].str.len().sum() > 12e6
+    sizes = Counter()
+    list(repeats._deal(iter([docs[:100]]), bits=6))
+    tracemalloc.start()
+    try:
+        for x in repeats._deal((docs[i : i + 1000] for i in range(0, 3000, 1000)), bits=6):
+            for part, size in zip(x["part"], x["size"], strict=True):
+                sizes[part] += size
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6
+    sizes = [n for part, n in sizes.items() if part >= 0]
+    assert len(sizes) == 64 and max(sizes) < 1.5 * sum(sizes) / 64
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with repeats._small_batches(spark):
+        assert int(spark.conf.get(key)) == repeats.BATCH
+    assert spark.conf.get(key) == before
