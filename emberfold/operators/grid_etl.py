@@ -188,6 +188,34 @@ def choose_union(union: Column) -> Column:
     return F.when(F.coalesce(union, F.lit(False)), "validated-union").otherwise("none")
 
 
+def compare_downloads(rows: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """One row for every two downloads, as the existing and the fresh one: which of them is published, and whether their union passes.
+
+    ``rows`` and ``diagnostics`` are those of ``collection_metrics``. The union has all of the fresh set and, of the existing
+    one, the first accepted feature of each key that no accepted feature of the fresh set has. It is built, and has metrics
+    and gates of its own, with what is known of the fresh download. Beside it: accepted keys in both and in either alone.
+    Downloads are a handful: each row takes part in the unions with all of them.
+    """
+    rows = settle(rows.select("dataset", "seq", "valid", "inside", "reason", "key", "power", "kv", "kvs", "mismatch", "name", "ref", "operator", "osm_timestamp", "parts"))
+    rest = [c for c in rows.columns if c not in ("dataset", "key")]
+    firsts = settle(rows.where("reason = 'accepted'").groupBy("dataset", "key").agg(F.min_by(F.struct(*rest), "seq").alias("r")).select("dataset", "key", "r.*"))
+    named = lambda c: F.broadcast(diagnostics.select(F.col("dataset").alias(c)))
+    pair = lambda old, new: F.to_json(F.array(old, new))
+    keys = lambda c: firsts.select(F.col("dataset").alias(c), "key")
+    fresh = rows.crossJoin(named("existing")).withColumn("dataset", pair("existing", "dataset"))
+    added = firsts.crossJoin(named("fresh")).join(keys("fresh"), ["fresh", "key"], "left_anti").withColumn("dataset", pair("dataset", "fresh"))
+    union = fresh.select(rows.columns).unionByName(added.select(rows.columns))
+    told = diagnostics.crossJoin(named("existing")).withColumn("dataset", pair("existing", "dataset")).drop("existing")
+    passed = lambda met, key, c: met.select(F.col("dataset").alias(key), F.col("gates_passed").alias(c))
+    own, unions = settle(collection_metrics(rows, diagnostics)), settle(collection_metrics(union, told))
+    shared = keys("existing").join(keys("fresh"), "key").groupBy("existing", "fresh").agg(F.count(F.lit(1)).alias("shared"))
+    n = lambda c: keys(c).groupBy(c).agg(F.count(F.lit(1)).alias(f"n_{c}"))
+    out = passed(own, "existing", "old").crossJoin(F.broadcast(passed(own, "fresh", "new"))).withColumn("pair", pair("existing", "fresh")).join(passed(unions, "pair", "both"), "pair")
+    out = out.join(shared, ["existing", "fresh"], "left").join(n("existing"), "existing", "left").join(n("fresh"), "fresh", "left").fillna(0, ["shared", "n_existing", "n_fresh"])
+    sets = ["shared", (F.col("n_fresh") - F.col("shared")).alias("only_fresh"), (F.col("n_existing") - F.col("shared")).alias("only_existing")]
+    return out.select("existing", "fresh", choose(F.col("old"), F.col("new")).alias("selected"), choose_union(F.col("both")).alias("as_union"), *sets)
+
+
 def provider_union(rows: DataFrame, by: str = "country") -> DataFrame:
     """Of ``rows`` (by, provider first or second, key, ...), all of the first provider, and those of the second one whose key the first one lacks."""
     first = rows.where("provider = 'first'")

@@ -11,7 +11,7 @@ from emberfold.operators import grid_etl as G
 from emberfold.operators import series
 from emberfold.plans import tables as T
 from emberfold.plans.scalar import KVS
-from emberfold.runtime import settle, shared_folder
+from emberfold.runtime import shared_folder
 from emberfold.streaming import detections as streams
 from emberfold.streaming.progress import Progress
 
@@ -95,9 +95,12 @@ def _described(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"valid": valid, "inside": in_region(la, lo, T.REGION[:1]), "mismatch": mismatch, "parts": parts})
 
 
+def _downloads(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DOWNLOADS, "dataset string, partial boolean, failed_requests long, failed_listed boolean, gap_tiles long, exceeded_tiles long")
+
+
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame(DOWNLOADS, "dataset string, partial boolean, failed_requests long, failed_listed boolean, gap_tiles long, exceeded_tiles long")
-    return G.collection_metrics(_collections(spark, sf_dir), known)
+    return G.collection_metrics(_collections(spark, sf_dir), _downloads(spark))
 
 
 _ends = ", ".join(f"(round({x}, 4), round({y}, 4))" for x, y in (("round(lon, 1)", "round(lat, 1)"), ("lon + k", "lat"), ("lon + k", "lat"), ("lon + k", "lat + k")))
@@ -128,13 +131,20 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir)
 
 
-@BOOK.add("A28_choose", f"WITH {METRICS} SELECT a.dataset AS existing, b.dataset AS fresh, CASE WHEN b.gates_passed THEN 'fresh' WHEN a.gates_passed THEN 'existing' ELSE 'none' END AS selected FROM met a, met b")
+_every_two = f"""g0 AS (SELECT *, {DATASET} AS dataset, {DESCRIBED} FROM f), a0 AS (SELECT * FROM g0 WHERE reason = 'accepted' AND dataset IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dataset, key ORDER BY seq) = 1), n0 AS (SELECT * FROM (VALUES {", ".join(f"('{d[0]}')" for d in DOWNLOADS)}) v(other)),
+    g AS (SELECT * FROM g0 UNION ALL SELECT g0.* REPLACE (other || '>' || dataset AS dataset) FROM g0, n0 UNION ALL SELECT a0.* REPLACE (dataset || '>' || other AS dataset) FROM a0, n0 WHERE (other, key) NOT IN (SELECT dataset, key FROM a0))"""
+_unions = tuple((f"{a[0]}>{b[0]}", *b[1:]) for a in DOWNLOADS for b in DOWNLOADS)
+
+
+@BOOK.add(
+    "A28_choose",
+    f"WITH {metrics_sql(_every_two, DOWNLOADS + _unions)}, s0 AS (SELECT x.dataset AS existing, y.dataset AS fresh, count(*) AS shared FROM a0 x JOIN a0 y USING (key) GROUP BY ALL), k0 AS (SELECT dataset, count(*) AS n FROM a0 GROUP BY dataset) "
+    "SELECT a.dataset AS existing, b.dataset AS fresh, CASE WHEN b.gates_passed THEN 'fresh' WHEN a.gates_passed THEN 'existing' ELSE 'none' END AS selected, CASE WHEN c.gates_passed THEN 'validated-union' ELSE 'none' END AS as_union, coalesce(shared, 0) AS shared, coalesce(kb.n, 0) - coalesce(shared, 0) AS only_fresh, coalesce(ka.n, 0) - coalesce(shared, 0) AS only_existing "
+    "FROM n0 na JOIN met a ON a.dataset = na.other CROSS JOIN n0 nb JOIN met b ON b.dataset = nb.other JOIN met c ON c.dataset = a.dataset || '>' || b.dataset LEFT JOIN s0 ON existing = a.dataset AND fresh = b.dataset LEFT JOIN k0 ka ON ka.dataset = a.dataset LEFT JOIN k0 kb ON kb.dataset = b.dataset",
+)
 def choose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every two of a handful of downloads, as the existing and the fresh one."""
-    met = settle(_metrics(spark, sf_dir).select("dataset", "gates_passed"))
-    old, new = met.toDF("existing", "old"), met.toDF("fresh", "new")
-    both = old.crossJoin(F.broadcast(new))
-    return both.select("existing", "fresh", G.choose(F.col("old"), F.col("new")).alias("selected"))
+    """Every two of a handful of downloads, as the existing and the fresh one, and the union of both."""
+    return G.compare_downloads(_collections(spark, sf_dir), _downloads(spark))
 
 
 #: Two providers that share keys. One country has all features, one accepted ones only, and of one the union's download was partial.
