@@ -9,7 +9,7 @@ from emberfold.functions.geo import haversine_km
 from emberfold.functions.numbers import confidence_weight
 from emberfold.operators.graph import components
 from emberfold.operators.spatial import around, cells, place_cells
-from emberfold.runtime import settle
+from emberfold.runtime import settle, wide
 
 #: Links between cells up to which one task merges them.
 ALONE = 200_000
@@ -30,7 +30,7 @@ def close_pairs(dets: DataFrame, km: float = 5.0, hours: float = 6.0) -> DataFra
     left = left.withColumn("slot", F.explode(F.sequence(F.floor(F.col("ms") / step) - 1, F.floor(F.col("ms") / step) + 1)))
     right = place_cells(dets, size).select("cx", "cy", F.floor(F.col("ms") / step).alias("slot"), F.col("det").alias("v"), F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), F.col("ms").alias("v_ms"))
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("v_lat"), F.col("v_lon"))
-    both = left.join(right, ["cx", "cy", "slot"]).where((F.col("det") < F.col("v")) & (F.abs(F.col("ms") - F.col("v_ms")) <= step))
+    both = wide(left).join(right, ["cx", "cy", "slot"]).where((F.col("det") < F.col("v")) & (F.abs(F.col("ms") - F.col("v_ms")) <= step))
     return both.select(F.col("det").alias("u"), "v", d.alias("km")).where(F.col("km") <= km)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberfold.functions.geo import KM_LAT, angle_diff, bearing_deg, haversine_km, km_per_lon
-from emberfold.runtime import BROADCAST_ROWS, settle
+from emberfold.runtime import BROADCAST_ROWS, settle, wide
 
 CELL = 0.5
 #: Each ring of a search is so many times as wide as the one before.
@@ -87,7 +87,7 @@ def meet(points: DataFrame, assets: DataFrame, key: str) -> DataFrame:
     shares = F.coalesce("shares", F.lit(1))
     dealt = points.join(near, ["cx", "cy"], "left").withColumn("share", F.pmod(F.hash(key), shares)).drop("shares")
     copied = assets.join(near, ["cx", "cy"], "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
-    return dealt.join(copied, ["cx", "cy", "share"]).drop("share")
+    return wide(dealt).join(copied, ["cx", "cy", "share"]).drop("share")
 
 
 def fixed(df: DataFrame, **columns: Column) -> DataFrame:

@@ -15,7 +15,7 @@ from emberfold.functions.geo import haversine_km
 from emberfold.operators.clusters import cluster
 from emberfold.operators.graph import components
 from emberfold.operators.spatial import around, place_cells
-from emberfold.runtime import settle, small
+from emberfold.runtime import settle, small, wide
 from emberfold.streaming.detections import read_files, replay
 
 ACTIVE = "det long, lat double, lon double, ms double, cluster long"
@@ -29,7 +29,7 @@ def touching(new: DataFrame, old: DataFrame, km: float, hours: float) -> DataFra
     left = left.withColumn("slot", F.explode(F.sequence(F.floor(F.col("ms") / step) - 1, F.floor(F.col("ms") / step) + 1)))
     right = place_cells(old, size).select("cx", "cy", F.floor(F.col("ms") / step).alias("slot"), F.col("cluster").alias("v"), F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), F.col("ms").alias("v_ms"))
     near = haversine_km(F.col("lat"), F.col("lon"), F.col("v_lat"), F.col("v_lon")) <= km
-    both = left.join(right, ["cx", "cy", "slot"]).where((F.abs(F.col("ms") - F.col("v_ms")) <= step) & near)
+    both = wide(left).join(right, ["cx", "cy", "slot"]).where((F.abs(F.col("ms") - F.col("v_ms")) <= step) & near)
     return both.select(F.col("cluster").alias("u"), "v").distinct()
 
 
