@@ -13,6 +13,8 @@ from emberfold.runtime import settle
 
 #: Edges of a node up to which it is joined as one key, and nodes above it that are broadcast as a table of hubs.
 DEGREE, HUBS = 1_000, 100_000
+#: Edges that a task holds beside the forest of those before.
+HELD = 1_000_000
 
 
 def _with_least(edges: DataFrame, sides: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
@@ -48,12 +50,8 @@ def _sign(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(key)).first())
 
 
-def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, component) of all edges of a task: each node takes the least label beside it, again and again."""
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    u, v = (np.concatenate([b[c].to_numpy() for b in parts]) for c in "uv")
+def _labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the component of each: each node takes the least label beside it, again and again."""
     nodes, place = np.unique(np.concatenate((u, v)), return_inverse=True)
     a, b = place[: len(u)], place[len(u) :]
     label = np.arange(len(nodes))
@@ -65,7 +63,36 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         label = label[label]
         if (label == before).all():
             break
-    yield pd.DataFrame({"node": nodes, "component": nodes[label]})
+    return nodes, nodes[label]
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, component) of all edges of a task; of what has come so far, a forest is kept."""
+    u = v = np.empty(0, np.int64)
+    parts, n = [], 0
+    for b in batches:
+        parts.append((b["u"].to_numpy(), b["v"].to_numpy()))
+        n += len(b)
+        if n > HELD:
+            u, v = _labels(*(np.concatenate([own, *[p[i] for p in parts]]) for i, own in enumerate((u, v))))
+            parts, n = [], 0
+    if n or len(u):
+        nodes, component = _labels(*(np.concatenate([own, *[p[i] for p in parts]]) for i, own in enumerate((u, v))))
+        yield pd.DataFrame({"node": nodes, "component": component})
+
+
+def components_nearby(edges: DataFrame, near: str, alone: int = 0) -> DataFrame:
+    """(node, component) as ``components`` of ``edges`` (u, v: long), of which those with one value of ``near`` mostly belong together.
+
+    Tasks join the edges of such values first, so that only what their components have in common is left for the rounds.
+    """
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = edges.where("u <> v").repartition(n, near).select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    local = settle(own.mapInPandas(_joined, "node long, component long"))
+    root = settle(local.groupBy("node").agg(F.min("component").alias("root"), (F.count(F.lit(1)) > 1).alias("shared")))
+    links = local.join(root.where("shared"), "node").select(F.col("component").alias("u"), F.col("root").alias("v"))
+    found = components(links, alone=alone).select(F.col("node").alias("root"), "component")
+    return root.select("node", "root").join(found, "root", "left").select("node", F.coalesce("component", "root").alias("component"))
 
 
 def components(edges: DataFrame, rounds: int = 60, alone: int = 0) -> DataFrame:

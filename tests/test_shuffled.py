@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from emberfold.operators import association, boundary, clusters, spatial
+from emberfold.operators import association, boundary, clusters, graph, spatial
 from emberfold.streaming import clusters as stream_clusters
 
 
@@ -63,3 +63,21 @@ def test_polygons_around_islands(spark):
     rows = spark.createDataFrame([(i, "Polygon", p) for i, p in shapes], "id long, shape string, points array<array<double>>")
     got = boundary.around_marks(rows, of, "id")
     assert {r["id"] for r in got.collect()} == {1, 3, 4}
+
+
+def test_cells_are_joined_before_members_are_compared(spark, monkeypatch):
+    """Sixty cells in a row are one cluster by their first members, so that no pair of other members is looked at."""
+    seen = []
+    plain = clusters._few_links
+    monkeypatch.setattr(clusters, "_few_links", lambda placed, pairs, *rest: seen.append(pairs.count()) or plain(placed, pairs, *rest))
+    rows = spark.range(6_000).select(F.col("id").alias("det"), F.lit(38.0).alias("lat"), (20 + F.col("id") % 60 * 0.04).alias("lon"), (F.col("id") % 7 * 1e5).alias("ms"))
+    assert clusters.cluster(rows).select("cluster").distinct().count() == 1 and seen == [0]
+
+
+def test_components_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr("emberfold.operators.graph.HELD", 50)
+    rng = random.Random(8)
+    links = [(rng.randrange(3_000), rng.randrange(3_000), rng.randrange(7)) for _ in range(2_000)] + [(i, i + 1, i // 10) for i in range(5_000, 5_400)]
+    df = spark.createDataFrame(links, "u long, v long, block long")
+    key = lambda r: (r["node"], r["component"])
+    assert sorted(map(key, graph.components_nearby(df, "block").collect())) == sorted(set(map(key, graph.components(df).collect())))
