@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,17 +14,33 @@ from emberfold.operators import spatial
 from emberfold.runtime import settle
 
 
-def analyze_detections(dets: DataFrame, segs: DataFrame, subs: DataFrame, km: float = 25.0, near_km: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nearest assets of each det with distance and band; the lines within ``near_km``; the substations within ``near_km``.
-
-    The nearest are searched in rings up to ``km``; the lists look no farther than they reach.
-    """
-    close = min(near_km, km)
+def analyze_detections(dets: DataFrame, segs: DataFrame, subs: DataFrame, km: float = 25.0) -> DataFrame:
+    """Nearest assets of each det with distance and band, searched in rings up to ``km``."""
     near = dets.select("det").join(spatial.nearest_lines(dets, segs, km), "det", "left").join(spatial.nearest_places(dets, subs, km), "det", "left")
     near = near.withColumn("min_km", F.least("line_km", "sub_km"))
-    near = near.withColumn("band", R.impact_band(F.col("min_km")))
-    close_subs = spatial.point_hits(dets, subs, close).groupBy("det", "sub").agg(F.min("km").alias("km"))
-    return near, settle(spatial.lines_within(spatial.line_hits(dets, segs, close), close)), close_subs
+    return near.withColumn("band", R.impact_band(F.col("min_km")))
+
+
+def near_events(members: DataFrame, search: Callable[[DataFrame, DataFrame | None, float], DataFrame], key: str, km: float) -> DataFrame:
+    """(event, key): the assets within ``km`` of any of an event's members (event, det, lat, lon).
+
+    ``search`` (points, assets that are asked for or None, radius) gives (det, key, km). A member of each event and cell looks
+    first, as much farther as the cell is wide: what it finds within ``km`` is near. All members look for the rest alone, so
+    that the pairs made are those of an event's area with its assets, however many members it has.
+    """
+    size = km / 2 / 111.0
+    slack = size * 111.4 * 2**0.5 * 1.02 + 0.1
+    placed = spatial.place_cells(members.select("event", "det", "lat", "lon"), size)
+    first = placed.groupBy("event", "cx", "cy").agg(F.min_by(F.struct("det", "lat", "lon"), "det").alias("p"), (F.count(F.lit(1)) > 1).alias("more"))
+    first = settle(first.select("event", "p.*", "more"))
+    seen = search(first, None, km + slack).join(first.select("det", "event", "more"), "det")
+    seen = settle(seen.groupBy("event", key).agg((F.min("km") <= km).alias("near"), F.max("more").alias("more")))
+    near, open_ = seen.where("near").select("event", key), seen.where("not near and more").select("event", key)
+    if open_.head(1):
+        asked = members.join(open_.select("event").distinct(), "event", "left_semi").select("event", "det", "lat", "lon")
+        rest = search(asked, open_.select(key).distinct(), km).where(F.col("km") <= km).join(asked.select("det", "event"), "det")
+        near = near.union(rest.select("event", key).join(open_, ["event", key], "left_semi").distinct())
+    return near
 
 
 def evidence_order(dist: Column, confidence: Column, frp: Column, ms: Column, key: Column) -> Column:
@@ -30,20 +48,24 @@ def evidence_order(dist: Column, confidence: Column, frp: Column, ms: Column, ke
     return F.struct(round_up(dist, 3), -confidence_weight(confidence), -F.coalesce(frp, F.lit(0.0)), -ms, key)
 
 
-def analyze_events(members: DataFrame, events: DataFrame, segs: DataFrame, subs: DataFrame, wind: DataFrame, as_of_ms: float, km: float = 25.0) -> DataFrame:
+def analyze_events(members: DataFrame, events: DataFrame, segs: DataFrame, subs: DataFrame, wind: DataFrame, as_of_ms: float, km: float = 25.0, near_km: float = 10.0) -> DataFrame:
     """One row of each event (event, lat, lon, max_frp, latest_ms, n) with its nearest assets, score, corridor and evidence.
 
     ``members`` has (event, det, lat, lon, ms, frp, confidence, key). Distances and assets come from the members, the
     nearest of which decides; wind comes from the nearest sample, and the corridor from the event's centre.
     """
-    near, lines, places = analyze_detections(members, segs, subs, km)
+    near, close = analyze_detections(members, segs, subs, km), min(near_km, km)
     own = members.select("det", "event", "ms", "frp", "confidence", "key")
     near = near.join(own, "det")
     cols = ["line_km", "line_sid", "line_asset_key", "line_grid_class", "line_mid_lat", "line_mid_lon", "sub_km", "sub", "sub_lat", "sub_lon", "min_km"]
     best = near.groupBy("event").agg(F.min_by(F.struct(*cols), F.struct(F.coalesce("min_km", F.lit(float("inf"))), F.col("ms"), F.col("det"))).alias("b")).select("event", "b.*")
+    best = settle(best)
 
-    counts_l = lines.join(own.select("det", "event"), "det").groupBy("event").agg(F.sort_array(F.collect_set("asset_key")).alias("lines"))
-    counts_s = places.join(own.select("det", "event"), "det").groupBy("event").agg(F.sort_array(F.collect_set("sub")).alias("subs"))
+    of = lambda assets, asked, key: assets if asked is None else assets.join(asked, key, "left_semi")
+    lines = near_events(members, lambda points, asked, far: spatial.line_hits(points, of(segs, asked, "asset_key"), far).select("det", "asset_key", "km"), "asset_key", close)
+    places = near_events(members, lambda points, asked, far: spatial.point_hits(points, of(subs, asked, "sub"), far).select("det", "sub", "km"), "sub", close)
+    counts_l = lines.groupBy("event").agg(F.sort_array(F.collect_set("asset_key")).alias("lines"))
+    counts_s = places.groupBy("event").agg(F.sort_array(F.collect_set("sub")).alias("subs"))
 
     air = spatial.nearest_sample(events.withColumnRenamed("event", "_e"), wind, "_e", ("speed", "direction")).withColumnRenamed("_e", "event")
     blown = events.join(air, "event", "left").withColumn("downwind", F.pmod(F.col("direction") + 180, F.lit(360.0)))
@@ -72,7 +94,10 @@ def analyze_events(members: DataFrame, events: DataFrame, segs: DataFrame, subs:
 
     # evidence: the best member for the event's nearest line, among members that have it within ten kilometres
     named = best.where("line_asset_key is not null").select("event", F.col("line_asset_key").alias("asset_key"))
-    cand = lines.join(own, "det").join(named, ["event", "asset_key"])
+    # members meet their own event's line alone
+    asked = members.select("event", "det", "lat", "lon", spatial.km_per_lon(F.col("lat")).alias("kx"))
+    cand = spatial.segment_hits(asked.join(named.join(segs, "asset_key"), "event"), close, ("event",))
+    cand = cand.groupBy("event", "det").agg(F.min(F.struct("km", "sid")).alias("b")).select("event", "det", "b.*").join(own.drop("event"), "det")
     order = evidence_order(F.col("km"), F.col("confidence"), F.col("frp"), F.col("ms"), F.col("key"))
     seen = cand.groupBy("event").agg(F.min_by(F.struct("det", "km", "sid"), order).alias("e")).select("event", F.col("e.det").alias("evidence_det"), F.col("e.km").alias("evidence_km"), F.col("e.sid").alias("evidence_sid"))
     return out.join(seen, "event", "left")

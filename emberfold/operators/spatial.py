@@ -105,15 +105,19 @@ def line_hits(points: DataFrame, segs: DataFrame, km: float, size: float | None
     """
     size = size or cell_for(km)
     asked = spread(points.select("det", "lat", "lon", km_per_lon(F.col("lat")).alias("kx")), "det")
+    return segment_hits(meet(around(asked, km, size), segment_cells(segs, size), "det"), km)
+
+
+def segment_hits(hits: DataFrame, km: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``line_hits`` of rows that hold a point (det, lat, lon, kx) and a segment each, with the columns ``keep`` beside."""
     c = F.col
-    hits = meet(around(asked, km, size), segment_cells(segs, size), "det")
     hits = fixed(hits, ax=(c("a_lon") - c("lon")) * c("kx"), ay=(c("a_lat") - c("lat")) * KM_LAT, dx=(c("b_lon") - c("a_lon")) * c("kx"), dy=(c("b_lat") - c("a_lat")) * KM_LAT)
     hits = fixed(hits, den=c("dx") * c("dx") + c("dy") * c("dy"))
     hits = fixed(hits, t=F.when(c("den") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(c("ax") * c("dx") + c("ay") * c("dy")) / c("den")))).otherwise(0.0))
     hits = fixed(hits, x=c("ax") + c("t") * c("dx"), y=c("ay") + c("t") * c("dy"))
     hits = hits.withColumn("km", F.sqrt(c("x") * c("x") + c("y") * c("y"))).where(c("km") <= km)
     mid = [((F.col(f"a_{x}") + F.col(f"b_{x}")) / 2).alias(f"mid_{x}") for x in ("lat", "lon")]
-    return hits.select("det", "lat", "lon", "sid", "asset_key", "grid_class", "km", (c("lat") + c("y") / KM_LAT).alias("near_lat"), (c("lon") + c("x") / c("kx")).alias("near_lon"), *mid)
+    return hits.select(*keep, "det", "lat", "lon", "sid", "asset_key", "grid_class", "km", (c("lat") + c("y") / KM_LAT).alias("near_lat"), (c("lon") + c("x") / c("kx")).alias("near_lon"), *mid)
 
 
 def point_hits(points: DataFrame, places: DataFrame, km: float, size: float | None = None) -> DataFrame:

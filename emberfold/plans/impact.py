@@ -106,7 +106,7 @@ def impact_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def min_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each strong recent detection with its nearest asset."""
     strong = T.recent(spark, sf_dir).where(F.col("frp") >= THRESHOLD)
-    near, _, _ = risk.analyze_detections(strong, T.segments(spark, sf_dir), T.substations(spark, sf_dir))
+    near = risk.analyze_detections(strong, T.segments(spark, sf_dir), T.substations(spark, sf_dir))
     return strong.select("det", "frp").join(near.select("det", r6(F.col("min_km"), "min_km"), "band"), "det")
 
 
