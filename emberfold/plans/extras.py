@@ -198,6 +198,10 @@ def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.load_counts(feeds.load_archive(spark, _stored_archive(spark, sf_dir), "P", "TR", T.REGION))
 
 
+#: Features of a stored page at most.
+PAGE = 20_000
+
+
 @BOOK.add("S8_S10_S11_fire_power", f"WITH {T.D} SELECT DISTINCT det % 40 AS fid, 'MTG FCI FRP' AS product, 'mtg-fci-frp' AS source_id, round(37.5e0 + det % 40 / 1e2, 6) AS lat, round(29.8e0 + det % 40 / 1e2, 6) AS lon, det % 40 * 2.5e0 AS frp, TIMESTAMP '2024-01-15 10:00:00' + to_minutes(CAST(det % 40 AS INT)) AS detected_at FROM det_ WHERE det % 40 <> 7")
 def fire_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of features, in which features repeat and one has no geometry."""
@@ -205,7 +209,9 @@ def fire_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.date_format(F.lit("2024-01-15 10:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), k.cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     place = F.struct(F.lit("Point").alias("type"), F.array(29.8 + k / 100.0, 37.5 + k / 100.0).alias("coordinates"))
     one = F.struct(F.lit("Feature").alias("type"), k.cast("string").alias("id"), F.when(k != 7, place).alias("geometry"), F.struct((k * 2.5).alias("FRP"), at.alias("time"), F.lit("MTI1").alias("Satellite")).alias("properties"))
-    pages = T.detections(spark, sf_dir).groupBy((F.col("det") % 8).alias("page")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(one).alias("features"))).alias("doc"))
+    # more detections make more pages, not larger ones
+    page = F.col("det") % 8 + 8 * F.floor(F.col("det") / (8 * PAGE))
+    pages = T.detections(spark, sf_dir).groupBy(page.alias("page")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(one).alias("features"))).alias("doc"))
     folder = shared_folder(spark, "pages")
     pages.write.partitionBy("page").text(folder)
     rows = feeds.load_fire_power(spark, folder, "mtg-fci-frp", "MTG FCI FRP", "TR", T.REGION)

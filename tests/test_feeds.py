@@ -78,3 +78,16 @@ def test_published_layers(spark):
     df = lambda rows: spark.createDataFrame(rows, "asset_id string, country string, grid_class string, kv double, lat double, lon double, label_source string")
     assert set(assets.violations(df([good]), "TR", BOX).first()) == {0}
     assert tuple(assets.violations(df([good, *bad]), "TR", BOX).first()) == (1, 1, 1, 2, 1, 1)
+
+
+def test_pages_of_fire_power_are_bounded(spark, monkeypatch):
+    """A page holds no more features than it may; all pages together hold every detection."""
+    from emberfold.plans import extras
+
+    monkeypatch.setattr(extras, "PAGE", 10)
+    folders = []
+    plain = extras.feeds.load_fire_power
+    monkeypatch.setattr(extras.feeds, "load_fire_power", lambda spark, folder, *rest: folders.append(folder) or plain(spark, folder, *rest))
+    assert extras.fire_power(spark, "/root/testdata/sf0.001").count() == 39
+    sizes = [r["value"].count('"Feature"') for r in spark.read.text(folders[0]).collect()]
+    assert max(sizes) <= 10 and sum(sizes) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
